@@ -17,9 +17,11 @@ one of those. Sets of under 64 elements always emit single elements.
 Bands hold sizes 4**j to 4**(j+1) - 1; sets in a band's last quarter, which can link with the next band, emit for both.
 
 Groups. Sets that are equal are joined under their smallest doc_id first, so copies cost one row each. In a bucket of
-one signature, every document is checked against the bucket's smallest id; components follow; and only pairs of a
-bucket that are still in different components are checked after that. So a bucket of g near copies costs g checks.
-Every check computes both sets and counts their intersection.
+one signature, every document is checked against the one whose shingles are the most common, which in a group of
+edited copies is the least edited; components follow; and only pairs of a bucket that are still in different
+components are checked after that. So a bucket of g near copies costs about g checks. Before that, the elements that
+no other document of such a bucket has are counted: they bound the intersection of any pair from above, and pairs
+that cannot reach the similarity for that are left out. Every check computes both sets and counts their intersection.
 """
 
 from __future__ import annotations
@@ -111,6 +113,12 @@ def _signatures_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _rank(h: np.ndarray, counts: np.ndarray) -> int:
+    """Least for the sets whose elements are the most common; the lower 32 bits are the size."""
+    common = int(8 * np.log2(1.0 + counts[(h >> _U64(64 - SLOT_BITS)).astype(np.int64)]).mean()) if len(h) else 0
+    return (255 - min(common, 255)) << 32 | len(h)
+
+
 def _signatures(blobs):
     """blobs: a broadcast of the counts, of fixed size."""
 
@@ -123,11 +131,20 @@ def _signatures(blobs):
                 sigs = [_signatures_of(h, counts) for h in found]
                 n = [len(x) for x in sigs]
                 if sum(n):
-                    yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), n)), pa.array(np.repeat(np.array([len(h) for h in found], dtype=np.int32), n))], names=["sig", "doc", "size"])
+                    rank = np.array([_rank(h, counts) for h in found], dtype=np.int64)
+                    yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ids, dtype=np.int64), n)), pa.array(np.repeat(rank, n))], names=["sig", "doc", "rank"])
 
     return run
 
 
+def _elements(batches):
+    for whole in batches:
+        for batch in C.slices(whole, "text"):
+            found = list(C.shingles(batch.column("text"), WIDTH))
+            ids = np.array(batch.column("doc").to_pylist(), dtype=np.int64)
+            yield pa.record_batch([pa.array(np.repeat(ids, [len(h) for h in found])), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
+
+
 def _verify(batches):
     """Pairs that link, of pairs with both texts."""
     for whole in batches:
@@ -165,14 +182,17 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
 
     of_set = rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
     reps = docs.join(of_set.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = reps.mapInArrow(_signatures(blobs), "sig long, doc long, size int")
-    by_sig = Window.partitionBy("sig").orderBy("doc")
-    chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_size": F.first("size").over(by_sig), "then": F.lead("doc").over(by_sig)})
-    buckets = ws.save(chained.where("lead <> doc or then <> doc").drop("then"), "buckets")  # else the document is alone in it
+    sigs = reps.mapInArrow(_signatures(blobs), "sig long, doc long, rank long")
+    by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
+    chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
+    size_of = lambda rank: F.expr(f"{rank} & 4294967295")
+    buckets = chained.where("lead <> doc or then <> doc")  # else the document is alone in it
+    buckets = ws.save(buckets.select("sig", "doc", size_of("rank").alias("size"), "lead", size_of("lead_rank").alias("lead_size")), "buckets")
     C.free_shuffles(spark)
 
     sized = lambda a, b: (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-    stars = ws.save(buckets.where(F.col("lead") != F.col("doc")).where(sized("lead_size", "size")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    stars = buckets.where(F.col("lead") != F.col("doc")).where(sized("lead_size", "size"))
+    stars = ws.save(stars.select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct(), "stars")
     texts = ws.save(docs.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     C.free_shuffles(spark)
 
@@ -182,17 +202,30 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
 
     same = rows.where("doc_id is not null and n_shingles > 0").join(of_set.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = ws.save(verified(stars).union(same), "links")
+    C.free_shuffles(spark)
     first = C.connected_components(ws, links, "first")
 
-    # pairs of a bucket that the stars left in different components
+    # what the stars left in different components of one bucket
+    def still_open(part: DataFrame) -> DataFrame:
+        mixed = part.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        return part.join(mixed, "sig", "left_semi")
+
     part = buckets.select("sig", "doc", "size").join(first.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_sigs = part.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    left = ws.save(part.join(open_sigs, "sig", "left_semi"), "open")
-    x, y = (left.select("sig", F.col("doc").alias(d), F.col("size").alias(f"size_{d}"), F.col("component").alias(f"component_{d}")) for d in "ab")
-    rest = x.join(y, "sig").where("a < b and component_a <> component_b").where(sized("size_a", "size_b")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    left = ws.save(still_open(part), "open")
+    open_texts = texts.withColumnRenamed("doc_id", "doc").join(left.select("doc").distinct(), "doc", "left_semi")
+    alone = open_texts.mapInArrow(_elements, "doc long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n = 1").groupBy("doc").agg(F.count("*").alias("own"))
+    repeated = texts.groupBy(F.col("doc_id").alias("doc")).count().where("count > 1").select("doc")
+    own = ws.save(alone.join(repeated, "doc", "left_anti"), "own")
+    # at most size - own of a document's elements are in any other; so many must do for a link with an equal set of those
+    left = left.join(own, "doc", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("shared") * DEN >= F.col("size") * NUM)
+    left = ws.save(still_open(left), "narrow")
+    x, y = (left.select("sig", F.col("doc").alias(d), F.col("size").alias(f"size_{d}"), F.col("shared").alias(f"shared_{d}"), F.col("component").alias(f"component_{d}")) for d in "ab")
+    both = F.least("shared_a", "shared_b")
+    within = (both * DEN >= (F.col("size_a") + F.col("size_b") - both) * NUM) & sized("size_a", "size_b")
+    rest = x.join(y, "sig").where("a < b and component_a <> component_b").where(within).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = ws.save(verified(rest), "more")
     components = C.connected_components(ws, links.union(more), "last") if more.limit(1).count() else first
-    ws.drop("buckets", "stars", "texts", "links", "open", "more")
+    ws.drop("buckets", "stars", "texts", "links", "open", "own", "narrow", "more")
     return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
