@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op3_fingerprints
 from .langid import op8_langid
 from .licenses import op10_licenses
+from .line_dedup import op5_line_dedup
 from .ngram_join import op1_ngram_join
 from .packing import op4_packing
 from .sentencepieces import op2_sentencepiece
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,

@@ -6,7 +6,8 @@ r = ln((toxic texts with it + s) / (all toxic + 2 s)) - ln((others with it + s)
 regression on these values, with an L2 penalty, gives the weights.
 
 The model is fitted on at most ``TRAIN`` labelled rows (those of the least hashed ids) and at most ``TRAIN_CHARS``
-characters of each; scores read whole texts. Features that fewer than ``LEAST`` training texts hold have no weight.
+characters of each; scores read whole texts. Features that fewer than ``LEAST`` training texts hold, and those whose
+log-likelihood ratio between the classes is under ``GAIN``, have no weight.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .langid import _GAP, held_out
 
 #: Bounds of the training sample: labelled rows, and characters of each.
 TRAIN, TRAIN_CHARS = 8000, 12_000
-DIM_BITS, GRAMS, LEAST = 20, (4, 5), 3
+DIM_BITS, GRAMS, LEAST, GAIN = 20, (4, 5), 3, 12.0
 SMOOTH, PENALTY, STEPS = 0.5, 3e-4, 300
 
 
@@ -87,7 +88,11 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     in_toxic = np.bincount(f, weights=y[r], minlength=dim)
     n1, n0 = y.sum(), (1 - y).sum()
     ratio = np.log((in_toxic + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((in_all - in_toxic + SMOOTH) / (n0 + 2 * SMOOTH))
-    used = (in_all >= LEAST) & (np.abs(ratio) >= 0.5)
+    # twice the log-likelihood ratio of a feature's counts in the two classes
+    share = (n1 + n0) / np.array([[n1], [n0]])
+    seen = np.stack([in_toxic, in_all - in_toxic])
+    gain = 2 * (seen * np.log(np.maximum(seen, 1e-9) * share / np.maximum(in_all, 1))).sum(axis=0)
+    used = (in_all >= LEAST) & (gain >= GAIN)
     keep = used[f]
     f, r = f[keep], r[keep]
     name = np.flatnonzero(used)
