@@ -18,10 +18,9 @@ Bands hold sizes 4**j to 4**(j+1) - 1; sets in a band's last quarter, which can
 
 Groups. Sets that are equal are joined under their smallest doc_id first, so copies cost one row each. In a bucket of
 one signature, every document is checked against the one whose shingles are the most common, which in a group of
-edited copies is the least edited; components follow; and only pairs of a bucket that are still in different
-components are checked after that. So a bucket of g near copies costs about g checks. Before that, the elements that
-no other document of such a bucket has are counted: they bound the intersection of any pair from above, and pairs
-that cannot reach the similarity for that are left out. Every check computes both sets and counts their intersection.
+edited copies is among the least edited; components follow. After that, only documents outside the component of their
+bucket's lead meet the others of its buckets, in blocks of documents: a pair is looked at if it shares a signature and
+is still in different components, and no row is made for it unless it links. Every check counts an intersection.
 """
 
 from __future__ import annotations
@@ -43,6 +42,8 @@ SLOT_BITS, PIECES = 20, 64
 SLACK = 1.5
 #: Counts of tasks that one step adds up.
 FAN_IN = 128
+#: Documents that meet as many others in one step.
+BLOCK = 64
 
 _U64 = np.uint64
 
@@ -137,14 +138,6 @@ def _signatures(blobs):
     return run
 
 
-def _elements(batches):
-    for whole in batches:
-        for batch in C.slices(whole, "text"):
-            found = list(C.shingles(batch.column("text"), WIDTH))
-            ids = np.array(batch.column("doc").to_pylist(), dtype=np.int64)
-            yield pa.record_batch([pa.array(np.repeat(ids, [len(h) for h in found])), pa.array(np.concatenate(found).view(np.int64))], names=["doc", "h"])
-
-
 def _verify(batches):
     """Pairs that link, of pairs with both texts."""
     for whole in batches:
@@ -159,6 +152,88 @@ def _verify(batches):
                 yield pa.record_batch([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], names=["a", "b"])
 
 
+def _verify_blocks(batches):
+    """Links between two blocks of documents that some signature's bucket holds: pairs in different components, with a
+    signature in common and sizes that allow a link."""
+
+    def block(docs):
+        found = list(C.shingles(pa.array([d["text"] for d in docs], pa.string()), WIDTH))
+        sigs = [np.array(d["sigs"], dtype=np.int64) for d in docs]
+        return [d["doc"] for d in docs], np.array([d["component"] for d in docs]), np.array([len(h) for h in found]), found, sigs
+
+    def owners(parts):
+        return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
+
+    def common(one, owner, values, n):
+        one = np.sort(one)
+        at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+        return np.bincount(owner[one[at] == values], minlength=n)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids_a, of_a, n_a, sets_a, sigs_a = block(row["some"])
+            ids_b, of_b, n_b, sets_b, sigs_b = block(row["many"])
+            elements, signed = owners(sets_b), owners(sigs_b)
+            out = []
+            for i, h in enumerate(sets_a):
+                open_ = (of_b != of_a[i]) & (n_b * DEN >= n_a[i] * NUM) & (n_a[i] * DEN >= n_b * NUM)
+                if open_.any() and len(h):
+                    open_ &= common(sigs_a[i], *signed, len(ids_b)) > 0
+                if open_.any() and len(h):
+                    both = common(h, *elements, len(ids_b))
+                    out += [(min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])) for j in np.flatnonzero(open_ & (both * DEN >= (n_a[i] + n_b - both) * NUM))]
+            if out:
+                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+
+def _counts(ws: C.Workspace, profile: DataFrame):
+    """A broadcast of the counts of all tasks, added up FAN_IN at a time."""
+    counts = profile.where("piece is not null").select("piece", "task", "counts")
+    tasks = counts.agg(F.max("task")).first()[0]
+    while tasks:
+        counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("piece", "task").applyInArrow(_add_counts, "piece int, task long, counts binary")
+        tasks //= FAN_IN
+    pieces = {r.piece: bytes(r.counts) for r in counts.collect()}  # PIECES rows
+    return ws.spark.sparkContext.broadcast(b"".join(pieces.get(i, bytes(4 * (1 << SLOT_BITS) // PIECES)) for i in range(PIECES)))
+
+
+def _buckets(ws: C.Workspace, docs: DataFrame, reps: DataFrame, blobs) -> DataFrame:
+    """(sig, doc, size, lead, lead_size): the documents of each signature that more than one has."""
+    sigs = docs.join(reps, "doc_id", "left_semi").mapInArrow(_signatures(blobs), "sig long, doc long, rank long")
+    by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
+    chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
+    size_of = lambda rank: F.expr(f"{rank} & 4294967295")
+    rows = chained.where("lead <> doc or then <> doc")  # else the document is alone in it
+    return ws.save(rows.select("sig", "doc", size_of("rank").alias("size"), "lead", size_of("lead_rank").alias("lead_size")), "buckets")
+
+
+def _star_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the lead of a bucket and its other documents."""
+    sized = (F.col("lead_size") * DEN >= F.col("size") * NUM) & (F.col("size") * DEN >= F.col("lead_size") * NUM)
+    stars = buckets.where(F.col("lead") != F.col("doc")).where(sized).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return ws.save(stars.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "stars")
+
+
+def _other_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
+    """Links in a bucket that join different components. Of two documents in different components, one is not in that
+    of the lead; so such documents meet all documents of buckets with the same lead, BLOCK by BLOCK."""
+    member = buckets.join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    member = ws.save(member.groupBy("lead", "doc", "component").agg(F.collect_list("sig").alias("sigs")), "members")  # a document's signatures
+    lead_of = components.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
+    member = member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead"))
+    size = ws.save(member.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart")).where("n_apart > 0"), "sizes")
+    full = member.join(size, "lead").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+
+    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
+        """BLOCK documents each, about, by a hash of the id."""
+        block = F.expr(f"pmod(xxhash64(doc), {n} div {BLOCK} + 1)").alias("block")
+        return rows.select("lead", block, F.struct("doc", "component", "sigs", "text").alias("d")).groupBy("lead", "block").agg(F.collect_list("d").alias(name)).drop("block")
+
+    pairs = blocks(full.where("apart"), "n_apart", "some").join(blocks(full, "n", "many"), "lead").select("some", "many")
+    return ws.save(pairs.mapInArrow(_verify_blocks, "a long, b long").distinct(), "others")
+
+
 def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -171,61 +246,21 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = ws.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_key binary, piece int, task long, counts binary"), "profile")
     rows = profile.where("piece is null").select("doc_id", "n_shingles", "set_key")
+    sets = ws.save(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
+    same = rows.where("doc_id is not null").join(sets.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    counts = profile.where("piece is not null").select("piece", "task", "counts")
-    tasks = counts.agg(F.max("task")).first()[0]
-    while tasks:
-        counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("piece", "task").applyInArrow(_add_counts, "piece int, task long, counts binary")
-        tasks //= FAN_IN
-    pieces = {r.piece: bytes(r.counts) for r in counts.collect()}
-    blobs = spark.sparkContext.broadcast(b"".join(pieces.get(i, bytes(4 * (1 << SLOT_BITS) // PIECES)) for i in range(PIECES)))
-
-    of_set = rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"))
-    reps = docs.join(of_set.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = reps.mapInArrow(_signatures(blobs), "sig long, doc long, rank long")
-    by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
-    chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
-    size_of = lambda rank: F.expr(f"{rank} & 4294967295")
-    buckets = chained.where("lead <> doc or then <> doc")  # else the document is alone in it
-    buckets = ws.save(buckets.select("sig", "doc", size_of("rank").alias("size"), "lead", size_of("lead_rank").alias("lead_size")), "buckets")
+    buckets = _buckets(ws, docs, sets.select(F.col("rep").alias("doc_id")).distinct(), _counts(ws, profile))
     C.free_shuffles(spark)
-
-    sized = lambda a, b: (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-    stars = buckets.where(F.col("lead") != F.col("doc")).where(sized("lead_size", "size"))
-    stars = ws.save(stars.select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct(), "stars")
     texts = ws.save(docs.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     C.free_shuffles(spark)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
-
-    same = rows.where("doc_id is not null and n_shingles > 0").join(of_set.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = ws.save(verified(stars).union(same), "links")
+    links = _star_links(ws, buckets, texts).union(ws.save(same, "same"))
+    C.free_shuffles(spark)
+    components = C.connected_components(ws, links, "first")
+    more = _other_links(ws, buckets, texts, components)
     C.free_shuffles(spark)
-    first = C.connected_components(ws, links, "first")
-
-    # what the stars left in different components of one bucket
-    def still_open(part: DataFrame) -> DataFrame:
-        mixed = part.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        return part.join(mixed, "sig", "left_semi")
-
-    part = buckets.select("sig", "doc", "size").join(first.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    left = ws.save(still_open(part), "open")
-    open_texts = texts.withColumnRenamed("doc_id", "doc").join(left.select("doc").distinct(), "doc", "left_semi")
-    alone = open_texts.mapInArrow(_elements, "doc long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n = 1").groupBy("doc").agg(F.count("*").alias("own"))
-    repeated = texts.groupBy(F.col("doc_id").alias("doc")).count().where("count > 1").select("doc")
-    own = ws.save(alone.join(repeated, "doc", "left_anti"), "own")
-    # at most size - own of a document's elements are in any other; so many must do for a link with an equal set of those
-    left = left.join(own, "doc", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("shared") * DEN >= F.col("size") * NUM)
-    left = ws.save(still_open(left), "narrow")
-    x, y = (left.select("sig", F.col("doc").alias(d), F.col("size").alias(f"size_{d}"), F.col("shared").alias(f"shared_{d}"), F.col("component").alias(f"component_{d}")) for d in "ab")
-    both = F.least("shared_a", "shared_b")
-    within = (both * DEN >= (F.col("size_a") + F.col("size_b") - both) * NUM) & sized("size_a", "size_b")
-    rest = x.join(y, "sig").where("a < b and component_a <> component_b").where(within).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = ws.save(verified(rest), "more")
-    components = C.connected_components(ws, links.union(more), "last") if more.limit(1).count() else first
-    ws.drop("buckets", "stars", "texts", "links", "open", "own", "narrow", "more")
+    if more.limit(1).count():
+        components = C.connected_components(ws, links.union(more), "last")
+    ws.drop("sets", "buckets", "texts", "stars", "same", "members", "sizes", "others")
     return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
