@@ -9,6 +9,7 @@ from .line_dedup import op5_line_dedup
 from .ngram_join import op1_ngram_join
 from .packing import op4_packing
 from .sentencepieces import op2_sentencepiece
+from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op9_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
