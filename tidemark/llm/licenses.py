@@ -158,8 +158,18 @@ def _keyword(keyword: str) -> str:
     return f"[{GAP}]+".join(keyword.split(" ")) + (f"(?![^{GAP}])" if keyword in _WHOLE else "")
 
 
-#: One search of a raw text; (?i) knows A-Z alone.
-ANY_KEYWORD = f"(?i)(?<![^{GAP}])(?:{'|'.join(sorted({_keyword(w) for w in [r.keyword for r in RULES] + [phrase for phrase, _ in BASE]}))})"
+def _any_keyword() -> str:
+    """One search of a raw text. Keywords are gathered by their first letters, so that most words fail at once; (?i)
+    knows A-Z alone."""
+    found: dict[str, set[str]] = {}
+    for word in {r.keyword for r in RULES} | {phrase for phrase, _ in BASE}:
+        found.setdefault(word[0], set()).add(_keyword(word)[1:])
+    letters = sorted(found)
+    branches = "|".join(f"{a}(?:{'|'.join(sorted(found[a]))})" for a in letters)
+    return f"(?i)(?<![^{GAP}])(?=[{''.join(letters)}])(?:{branches})"
+
+
+ANY_KEYWORD = _any_keyword()
 
 
 def _line(text: Column) -> Column:

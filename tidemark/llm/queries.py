@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audio import op7_audio
 from .fingerprints import op3_fingerprints
 from .langid import op8_langid
 from .licenses import op10_licenses
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_audio": op7_audio,
     "op8_langid": op8_langid,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,

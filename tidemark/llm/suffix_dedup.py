@@ -239,8 +239,9 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, name: str = "suffixes") -> DataFrame:
+def remove_repeats(docs: DataFrame, name: str = "suffixes", as_text: bool = False) -> DataFrame:
     """``docs`` with kept (binary, the bytes that stay), n_bytes, n_removed and n_spans (longs: maximal removed runs).
+    With ``as_text``, kept is a string, without the bytes of characters that a cut went through.
 
     A null text counts as empty. Rows with the same doc_id and text are separate places of that text, so texts of
     WIDTH bytes or more that are there twice go altogether. Null doc_ids are as good as any. Other columns stay.
@@ -265,9 +266,9 @@ def remove_repeats(docs: DataFrame, name: str = "suffixes") -> DataFrame:
                     n.append(len(data))
                     gone.append(len(data) - len(kept[-1]))
                     count.append(len(cut))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
