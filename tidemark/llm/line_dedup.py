@@ -37,7 +37,7 @@ def _with(value: Column, use) -> Column:
 
 def _hashes(line: Column) -> Column:
     """Hashes of the shingles of a line, in their places."""
-    words = F.filter(F.split(F.lower(line), " "), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(line), " "), "")
 
     def of(w: Column) -> Column:
         runs = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, WIDTH)]))
@@ -46,24 +46,24 @@ def _hashes(line: Column) -> Column:
     return _with(words, of)
 
 
-def _tokens(line: Column, classes: bytes) -> Column:
-    """Distinct tokens, rarest first: 5 bits of rarity above 58 bits of hash."""
-    table = F.lit(classes)
-    key = lambda h: F.shiftleft((F.ascii(F.substring(table, (h.bitwiseAND(SLOTS - 1) + 1).cast("int"), F.lit(1)).cast("string")) - 64).cast("bigint"), 58).bitwiseOR(h.bitwiseAND(_LOW))
-    return F.array_sort(F.array_distinct(F.transform(_hashes(line), key)))
+def _tokens(line: Column, classes: str) -> Column:
+    """Distinct tokens, rarest first: 5 bits of rarity above 58 bits of hash. classes: the rarity of each slot."""
+    table = F.split(F.lit(classes), ",").cast("array<bigint>")
+    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(SLOTS - 1).cast("int")), 58).bitwiseOR(h.bitwiseAND(_LOW))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), key)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
-def _classes(docs: DataFrame) -> bytes:
-    """A letter for each slot of hashes: the power of two of its tokens. SLOTS rows reach the driver."""
+def _classes(docs: DataFrame) -> str:
+    """The power of two of the tokens of each slot of hashes, joined by commas. SLOTS rows reach the driver."""
     rows = _lines(docs).select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).count().collect()
-    out = bytearray(b"@" * SLOTS)
+    out = [0] * SLOTS
     for slot, n in rows:
-        out[slot] = 64 + min(31, int(math.log2(n)))
-    return bytes(out)
+        out[slot] = min(31, int(math.log2(n)))
+    return ",".join(map(str, out))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -71,51 +71,76 @@ def _needed(n: Column, m: Column) -> Column:
     return F.floor(((n + m) * NUM + (DEN + NUM - 1)) / (DEN + NUM))
 
 
-def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
-    """(doc_id, pos) of every line to remove, of documents (doc_id long, text) without null doc_ids or texts."""
-    spark = docs.sparkSession
-    ws = C.Workspace(spark, name)
-    keyed = _lines(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(1))})
-    counts = ws.save(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "keys")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """The length and the positional filter."""
+    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.least(n - i, m - j) >= _needed(n, m))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return _lines(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(1))})
+
+
+def _hot(docs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """Lines with (d0, p0), the first place of their text, if it is one of the at most HOT_SHARE frequent ones."""
     hot = F.broadcast(counts.where(F.col("n") >= max(50, total // HOT_SHARE + 1)).select("k1", "k2", F.col("first.doc_id").alias("d0"), F.col("first.pos").alias("p0")))
-    rows = keyed.join(hot, ["k1", "k2"], "left").withColumn("hot_copy", F.coalesce((F.col("doc_id") != F.col("d0")) | (F.col("pos") != F.col("p0")), F.lit(False)))
+    return _keyed(docs).join(hot, ["k1", "k2"], "left").withColumn("hot_copy", F.coalesce((F.col("doc_id") != F.col("d0")) | (F.col("pos") != F.col("p0")), F.lit(False)))
+
+
+def _same(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(doc_id, pos) of lines whose text is that of an earlier one."""
+    rows = _hot(docs, counts, total)
     cold = rows.where("d0 is null").select("k1", "k2", "doc_id", "pos").join(counts.where("n > 1").select("k1", "k2", "first"), ["k1", "k2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos")))
-    same = ws.save(rows.where("hot_copy").select("doc_id", "pos").union(cold.select("doc_id", "pos")), "same")
-    C.free_shuffles(spark)
+    return ws.save(rows.where("hot_copy").select("doc_id", "pos").union(cold.select("doc_id", "pos")), "same")
 
-    classes = _classes(docs)
-    filed = rows.where("not hot_copy").select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")).where("size(t) > 0")
+
+def _files(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int, classes: str) -> DataFrame:
+    """(token, doc_id, pos, n, i, lead): lines under each of their first tokens that another line is filed under too."""
+    filed = _hot(docs, counts, total).where("not hot_copy").select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")).where("size(t) > 0")
     filed = filed.select("doc_id", "pos", F.size("t").alias("n"), F.posexplode(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
     by_token = Window.partitionBy("token").orderBy("doc_id", "pos")
     chained = filed.withColumns({"lead": F.first(F.struct("doc_id", "pos", "n", "i")).over(by_token), "then": F.lead("doc_id").over(by_token)})
-    files = ws.save(chained.where((F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos")) | F.col("then").isNotNull()).drop("then"), "files")
-    C.free_shuffles(spark)
+    return ws.save(chained.where((F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos")) | F.col("then").isNotNull()).drop("then"), "files")
 
-    def possible(n: Column, i: Column, m: Column, j: Column) -> Column:
-        return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.least(n - i, m - j) >= _needed(n, m))
 
-    earlier = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos"))
-    stars = files.where(earlier & possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.col("lead.doc_id").alias("da"), F.col("lead.pos").alias("pa"), F.col("doc_id").alias("db"), F.col("pos").alias("pb")).distinct()
-    stars = ws.save(stars.join(same.select(F.col("doc_id").alias("db"), F.col("pos").alias("pb")), ["db", "pb"], "left_anti"), "stars")
+def _texts(ws: C.Workspace, docs: DataFrame, files: DataFrame, classes: str) -> DataFrame:
+    """(doc_id, pos, t): tokens of the lines that share a file."""
     of_docs = files.select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_set("pos").alias("want"))  # lines of one document
-    texts = docs.join(of_docs, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "want").where(F.array_contains("want", F.col("pos")))
-    texts = ws.save(texts.select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")), "tokens")
+    rows = docs.join(of_docs, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "want").where(F.array_contains("want", F.col("pos")))
+    return ws.save(rows.select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")), "tokens")
+
+
+def _matches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, pos) of the later lines of pairs that match."""
+    a, b = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(shared * DEN >= (F.size("ta") + F.size("tb") - shared) * NUM).select(F.col("db").alias("doc_id"), F.col("pb").alias("pos")).distinct()
+
+
+def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
+    """(doc_id, pos) of every line to remove, of documents (doc_id long, text) without null doc_ids or texts."""
+    spark = docs.sparkSession
+    ws = C.Workspace(spark, name)
+    counts = ws.save(_keyed(docs).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "keys")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    same = _same(ws, docs, counts, total)
+    C.free_shuffles(spark)
+    classes = _classes(docs)
+    files = _files(ws, docs, counts, total, classes)
+    C.free_shuffles(spark)
+    texts = _texts(ws, docs, files, classes)
     C.free_shuffles(spark)
 
-    def matches(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        return pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(shared * DEN >= (F.size("ta") + F.size("tb") - shared) * NUM).select(F.col("db").alias("doc_id"), F.col("pb").alias("pos")).distinct()
-
-    near = ws.save(matches(stars), "near")
-    gone = near.union(same)
-    open_lines = files.select("token", "doc_id", "pos", "n", "i").join(gone, ["doc_id", "pos"], "left_anti")
-    # the first line of a file is compared with all others, so a pair needs two others
-    later = open_lines.join(files.select("token", F.col("lead.doc_id").alias("d0"), F.col("lead.pos").alias("p0")).distinct(), "token").where("doc_id <> d0 or pos <> p0").select("token", F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    others = files.where(earlier).join(same, ["doc_id", "pos"], "left_anti").select("token", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    rest = later.join(others, "token").where("da < db or (da = db and pa < pb)").where(possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("da", "pa", "db", "pb").distinct().join(stars, ["da", "pa", "db", "pb"], "left_anti")
-    out = ws.save(gone.union(matches(rest)).distinct(), "removed")
+    later = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos"))
+    stars = files.where(later & _possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.col("lead.doc_id").alias("da"), F.col("lead.pos").alias("pa"), F.col("doc_id").alias("db"), F.col("pos").alias("pb")).distinct()
+    stars = ws.save(stars.join(same.select(F.col("doc_id").alias("db"), F.col("pos").alias("pb")), ["db", "pb"], "left_anti"), "stars")
+    gone = ws.save(_matches(texts, stars), "near").union(same)
+    C.free_shuffles(spark)
+    # the first line of a file is compared with all others, so a pair that is left is of two others
+    others = files.where(later).join(same, ["doc_id", "pos"], "left_anti")
+    a = others.select("token", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = others.join(gone, ["doc_id", "pos"], "left_anti").select("token", F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    rest = b.join(a, "token").where("da < db or (da = db and pa < pb)").where(_possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("da", "pa", "db", "pb").distinct().join(stars, ["da", "pa", "db", "pb"], "left_anti")
+    out = ws.save(gone.union(_matches(texts, rest)).distinct(), "removed")
     ws.drop("keys", "same", "files", "stars", "tokens", "near")
     return out
 
