@@ -217,13 +217,29 @@ def _star_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame) -> DataFr
 
 def _other_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
     """Links in a bucket that join different components. Of two documents in different components, one is not in that
-    of the lead; so such documents meet all documents of buckets with the same lead, BLOCK by BLOCK."""
+    of the lead; so such documents meet all documents of buckets with the same lead, BLOCK by BLOCK.
+
+    Linked documents share many signatures if they are of about one size: both emit k + 1 for the largest partner they
+    can have, and at most (a + b) / 7 of those can differ. A document that shares fewer signatures with others than it
+    would with any partner of the sizes that occur under its lead stays out.
+    """
+    total = buckets.groupBy("doc").agg(F.count("*").alias("shared"))
     member = buckets.join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    member = ws.save(member.groupBy("lead", "doc", "component").agg(F.collect_list("sig").alias("sigs")), "members")  # a document's signatures
+    member = member.groupBy("lead", "doc", "component", "size").agg(F.collect_list("sig").alias("sigs")).join(total, "doc")  # a document's signatures
+    member = ws.save(member, "members")
+    sizes = member.groupBy("lead").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     lead_of = components.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
+    top = "(cast(pow(4, floor(log2(size) / 2) + 1) as bigint) - 1)"
+    high, low = f"least(most, size * {DEN} div {NUM})", f"greatest(least, (size * {NUM} + {DEN - 1}) div {DEN})"
+    differ = lambda a, b: f"(({a} + {b}) * {DEN - NUM} div {DEN + NUM})"
+    up = f"{differ('size', f'least(size * {DEN} div {NUM}, {top})')} + 1 - {differ('size', high)}"
+    down = f"{differ(low, f'least({low} * {DEN} div {NUM}, {top})')} + 1 - {differ('size', low)}"
+    member = member.join(sizes, "lead").where(f"shared >= least({up}, {down})").drop("least", "most")
     member = member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead"))
-    size = ws.save(member.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart")).where("n_apart > 0"), "sizes")
-    full = member.join(size, "lead").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    size = member.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"), F.countDistinct("component").alias("parts"))
+    full = ws.save(member.join(size.where("n_apart > 0 and parts > 1"), "lead").select("lead", "doc", "component", "sigs", "apart", "n", "n_apart"), "open")
+    C.free_shuffles(ws.spark)
+    full = full.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
 
     def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
         """BLOCK documents each, about, by a hash of the id."""
@@ -260,7 +276,7 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     C.free_shuffles(spark)
     if more.limit(1).count():
         components = C.connected_components(ws, links.union(more), "last")
-    ws.drop("sets", "buckets", "texts", "stars", "same", "members", "sizes", "others")
+    ws.drop("sets", "buckets", "texts", "stars", "same", "members", "open", "others")
     return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
