@@ -88,21 +88,24 @@ def _rules() -> list[Rule]:
         ("libpng", "libpng", ["libpng license"], []),
         ("isc", "isc", ["isc license"], []),
         ("unlicense", "unlicense", ["(?:the )?unlicense"], []),
-        ("mit", "mit", ["mit(?: x11| style)? licen[cs]e", "expat license"], []),
+        ("mit", "mit licen", ["mit licen[cs]e"], []),
+        ("mit", "mit style", ["mit style licen[cs]e"], []),
+        ("mit", "expat", ["expat licen[cs]e"], []),
         ("x11", "x11", ["x11 license", "mit x11"], []),
         ("postgresql", "postgresql", ["postgresql license"], []),
         ("openssl", "openssl", ["openssl license"], []),
-        ("vim", "vim", ["vim license"], []),
+        ("vim", "vim license", ["vim license"], []),
         ("ruby", "ruby", ["ruby license", "ruby s license"], []),
         ("ijg", "jpeg", ["independent jpeg group license"], []),
-        ("beerware", "beer", ["beer ?ware(?: license)?"], ["42"]),
+        ("beerware", "beerware", ["beerware(?: license)?"], ["42"]),
+        ("beerware", "beer ware", ["beer ware(?: license)?"], ["42"]),
         ("json", "json", ["json license"], []),
         ("cc0", "cc0", ["cc0", "creative commons zero", "cc zero"], ["1.0"]),
         ("cc0", "creative commons", ["creative commons (?:cc)?0", "creative commons zero", "creative commons public domain dedication"], ["1.0"]),
     ]
     kinds = [("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?deriv(?:ative)?s?(?: works)?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?")]
     for kind, long in kinds:
-        families.append((f"cc-{kind}", "cc", [f"cc {kind.replace('-', ' ')}", f"cc{kind.replace('-', ' ')}"], ["1.0", "2.0", "2.5", "3.0", "4.0"]))
+        families.append((f"cc-{kind}", "cc by", [f"cc {kind.replace('-', ' ')}"], ["1.0", "2.0", "2.5", "3.0", "4.0"]))
         families.append((f"cc-{kind}", "creative commons", [f"creative commons {long}", f"creative commons {kind.replace('-', ' ')}"], ["1.0", "2.0", "2.5", "3.0", "4.0"]))
     for n, clause in ((0, "zero"), (2, "simplified"), (3, "new|revised|modified"), (4, "original|old")):
         families.append((f"bsd-{n}-clause", "bsd", [f"(?:bsd {n} clause|{n} clause bsd|(?:{clause}) bsd)(?: licen[cs]e)?"], []))
@@ -127,7 +130,7 @@ def _rules() -> list[Rule]:
         ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
         ("bsd", "redistribution and use", "redistribution and use in source and binary forms"),
         ("gpl", "free software", "free software you can redistribute it and or modify it under the terms"),
-        ("zlib", "as is", "this software is provided as is without any express or implied warranty in no event will the authors"),
+        ("zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors"),
         ("boost", "boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
         ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
         ("wtfpl", "do what the", "do what the fuck you want to public license"),
@@ -183,6 +186,13 @@ def _n_words(line: Column) -> Column:
     return F.length(F.regexp_replace(line, "[^ ]+", "x")) - F.length(F.regexp_replace(line, "[^ ]+", ""))
 
 
+def _count(text: Column) -> Column:
+    """Words of a raw text: what gaps part, without an empty first or last piece."""
+    blank = lambda x: F.when(x == "", 1).otherwise(0)
+    n = lambda a: F.size(a) - blank(F.element_at(a, 1)) - F.when(F.size(a) > 1, blank(F.element_at(a, -1))).otherwise(0)
+    return F.element_at(F.transform(F.array(F.split(text, f"[{GAP}]+")), n), 1).cast("long")
+
+
 def _places(line: Column, pattern: Column) -> Column:
     """array<struct<start, stop>>: intervals of words that ``pattern`` matches."""
     pattern = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
@@ -222,7 +232,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> Data
     columns other than those named make no difference.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select("*", F.regexp_count(raw, F.lit(f"[^{GAP}]+")).cast("long").alias("n_words"), F.when(F.regexp_like(raw, F.lit(ANY_KEYWORD)), _line(raw)).alias("_line"))
+    rows = docs.select("*", _count(raw).alias("n_words"), F.when(F.regexp_like(raw, F.lit(ANY_KEYWORD)), _line(raw)).alias("_line"))
     line = F.col("_line")
     names = F.array(*[F.lit(r.label) for r in rules])
 
