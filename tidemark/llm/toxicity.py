@@ -5,8 +5,8 @@ before and after the text) that a text holds, each counted once. A feature's val
 r = ln((toxic texts with it + s) / (all toxic + 2 s)) - ln((others with it + s) / (all others + 2 s)). A logistic
 regression on these values, with an L2 penalty, gives the weights.
 
-The model is fitted on at most ``TRAIN`` labelled rows (those of the least hashed ids) and at most ``TRAIN_CHARS``
-characters of each; scores read whole texts. Features that fewer than ``LEAST`` training texts hold, and those whose
+The model is fitted on at most ``TRAIN`` labelled rows (half of each class, those of the least hashed ids) and at most
+``TRAIN_CHARS`` characters of each; scores read whole texts. Features that fewer than ``LEAST`` training texts hold, and those whose
 log-likelihood ratio between the classes is under ``GAIN``, have no weight.
 """
 
@@ -23,7 +23,7 @@ from . import _common as C
 from .langid import _GAP, held_out
 
 #: Bounds of the training sample: labelled rows, and characters of each.
-TRAIN, TRAIN_CHARS = 8000, 12_000
+TRAIN, TRAIN_CHARS = 3000, 12_000
 DIM_BITS, GRAMS, LEAST, GAIN = 20, (4, 5), 3, 12.0
 SMOOTH, PENALTY, STEPS = 0.5, 3e-4, 300
 
@@ -79,8 +79,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         share = float(y.mean()) if len(y) else 0.5
         return Model(np.zeros(dim, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     found = []
-    for i in range(0, len(texts), 256):
-        f, r = distinct(*hashes(pa.array(texts[i : i + 256], pa.string())))
+    for i in range(0, len(texts), 64):
+        f, r = distinct(*hashes(pa.array(texts[i : i + 64], pa.string())))
         found.append((f.astype(np.int32), (r + i).astype(np.int32)))
     f, r = (np.concatenate([x[k] for x in found]) for k in (0, 1))
     del found
@@ -131,7 +131,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, allowed) -> Model:
     """Fits on the rows of ``labels`` with a label toxic for which the column ``allowed`` of doc_id holds."""
-    chosen = labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(9)), "doc_id").limit(TRAIN)
+    known = labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    part = lambda c: known.where(c).orderBy(F.xxhash64(F.col("doc_id"), F.lit(9)), "doc_id").limit(TRAIN // 2)
+    chosen = part("toxic = 1").union(part("toxic <> 1"))
     rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null")
     got = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect(), key=lambda r: r.doc_id)  # at most TRAIN rows
     return fit([r.text for r in got], [int(r.toxic) for r in got])
