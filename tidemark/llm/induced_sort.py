@@ -64,20 +64,37 @@ class Queue:
         for i in range(0, len(a), BLOCK):
             self.parts.append(self.spool.put(a[i : i + BLOCK]))
 
+    def _block(self, at: int, step: int) -> tuple[list, int]:
+        """Parts from ``at`` on, up or down, with about BLOCK positions; the place after them."""
+        out, n = [], 0
+        while 0 <= at < len(self.parts) and n < BLOCK:
+            x = self.parts[at]
+            n += len(x) if isinstance(x, np.ndarray) else x[1]
+            out.append(x)
+            at += step
+        return out, at
+
+    def _join(self, parts: list) -> np.ndarray:
+        return self.spool.get(parts[0]) if len(parts) == 1 else np.concatenate([self.spool.get(x) for x in parts])
+
     def pop(self) -> np.ndarray | None:
         """The next positions, or None while there are no more."""
         if self.read == len(self.parts):
             return None
-        self.read += 1
-        return self.spool.get(self.parts[self.read - 1])
+        parts, self.read = self._block(self.read, 1)
+        return self._join(parts)
 
     def backward(self) -> Iterator[np.ndarray]:
-        for x in reversed(self.parts):
-            yield self.spool.get(x)[::-1]
+        at = len(self.parts) - 1
+        while at >= 0:
+            parts, at = self._block(at, -1)
+            yield self._join(parts[::-1])[::-1]
 
     def forward(self) -> Iterator[np.ndarray]:
-        for x in self.parts:
-            yield self.spool.get(x)
+        at = 0
+        while at < len(self.parts):
+            parts, at = self._block(at, 1)
+            yield self._join(parts)
 
 
 def smaller(t: np.ndarray) -> np.ndarray:
