@@ -64,7 +64,8 @@ class Graph:
         return self
 
     def reversed(self) -> Graph:
-        return Graph(self.vertices, self.edges.withColumnsRenamed({"src": "dst", "dst": "src"}), self.model)
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), self.model)
 
     def write(self, path: str) -> None:
         """Parquet tables ``vertices`` and ``edges``, and the model in ``model``."""
