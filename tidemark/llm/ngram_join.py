@@ -16,8 +16,8 @@ one of those. Sets of under 64 elements always emit single elements.
 
 Bands hold sizes 4**j to 4**(j+1) - 1; sets in a band's last quarter, which can link with the next band, emit for both.
 
-Groups. Sets that are equal are joined under their smallest doc_id first, so copies cost one row each. In a bucket of
-one signature, every document is checked against the one whose shingles are the most common, which in a group of
+Groups. Documents with equal sets are linked to the smallest doc_id among them by a key of the set; all but that one of a
+frequent set emit no signatures, so a huge group of copies costs a row each. In a bucket of one signature, every document is checked against the one whose shingles are the most common, which in a group of
 edited copies is among the least edited; components follow. After that, only documents outside the component of their
 bucket's lead meet the others of its buckets, in blocks of documents: a pair is looked at if it shares a signature and
 is still in different components, and no row is made for it unless it links. Every check counts an intersection.
@@ -42,6 +42,8 @@ SLOT_BITS, PIECES = 20, 64
 SLACK = 1.5
 #: Counts of tasks that one step adds up.
 FAN_IN = 128
+#: A set is frequent if it makes up more than one in so many documents.
+HOT_SHARE = 20_000
 #: Documents that meet as many others in one step.
 BLOCK = 64
 
@@ -120,16 +122,17 @@ def _rank(h: np.ndarray, counts: np.ndarray) -> int:
     return (255 - min(common, 255)) << 32 | len(h)
 
 
-def _signatures(blobs):
-    """blobs: a broadcast of the counts, of fixed size."""
+def _signatures(shared):
+    """shared: a broadcast of the counts, of fixed size, and of the frequent sets' keys with their smallest ids."""
 
     def run(batches):
-        counts = np.frombuffer(blobs.value, dtype=np.uint32)
+        blob, hot = shared.value
+        counts = np.frombuffer(blob, dtype=np.uint32)
         for whole in batches:
             for batch in C.slices(whole, "text"):
                 ids = batch.column("doc_id").to_pylist()
                 found = list(C.shingles(batch.column("text"), WIDTH))
-                sigs = [_signatures_of(h, counts) for h in found]
+                sigs = [_signatures_of(h, counts) if len(h) and hot.get(_set_key(h), i) == i else h[:0] for i, h in zip(ids, found, strict=True)]
                 n = [len(x) for x in sigs]
                 if sum(n):
                     rank = np.array([_rank(h, counts) for h in found], dtype=np.int64)
@@ -186,20 +189,27 @@ def _verify_blocks(batches):
                 yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
-def _counts(ws: C.Workspace, profile: DataFrame):
-    """A broadcast of the counts of all tasks, added up FAN_IN at a time."""
+def _counts(profile: DataFrame) -> bytes:
+    """The counts of all tasks, added up FAN_IN at a time."""
     counts = profile.where("piece is not null").select("piece", "task", "counts")
     tasks = counts.agg(F.max("task")).first()[0]
     while tasks:
         counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("piece", "task").applyInArrow(_add_counts, "piece int, task long, counts binary")
         tasks //= FAN_IN
     pieces = {r.piece: bytes(r.counts) for r in counts.collect()}  # PIECES rows
-    return ws.spark.sparkContext.broadcast(b"".join(pieces.get(i, bytes(4 * (1 << SLOT_BITS) // PIECES)) for i in range(PIECES)))
+    return b"".join(pieces.get(i, bytes(4 * (1 << SLOT_BITS) // PIECES)) for i in range(PIECES))
 
 
-def _buckets(ws: C.Workspace, docs: DataFrame, reps: DataFrame, blobs) -> DataFrame:
+def _frequent(sets: DataFrame) -> dict[bytes, int]:
+    """Keys of sets that make up more than 1 / HOT_SHARE of all documents, with their smallest ids. There can be no more
+    than HOT_SHARE of them."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    return {bytes(r.set_key): r.rep for r in sets.where(F.col("n") >= max(20, total // HOT_SHARE + 1)).select("set_key", "rep").collect()}
+
+
+def _buckets(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
     """(sig, doc, size, lead, lead_size): the documents of each signature that more than one has."""
-    sigs = docs.join(reps, "doc_id", "left_semi").mapInArrow(_signatures(blobs), "sig long, doc long, rank long")
+    sigs = docs.where("doc_id is not null").mapInArrow(_signatures(shared), "sig long, doc long, rank long")
     by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
     chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
     size_of = lambda rank: F.expr(f"{rank} & 4294967295")
@@ -265,7 +275,7 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     sets = ws.save(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
     same = rows.where("doc_id is not null").join(sets.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    buckets = _buckets(ws, docs, sets.select(F.col("rep").alias("doc_id")).distinct(), _counts(ws, profile))
+    buckets = _buckets(ws, docs, spark.sparkContext.broadcast((_counts(profile), _frequent(sets))))
     C.free_shuffles(spark)
     texts = ws.save(docs.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     C.free_shuffles(spark)
