@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
@@ -21,5 +22,13 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str = "step", where: str | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows were written (for which ``where`` holds); the job that writes counts them."""
+    seen = Observation()
+    n = F.count(F.lit(1)) if where is None else F.count(F.when(F.expr(where), 1))
+    out = cut(df.observe(seen, n.alias("n")), name)
+    return out, seen.get["n"]
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import draw
 from ..graph import Graph
-from ..lineage import cut, is_empty
+from ..lineage import counted, cut
 from . import sketch
 from .cascade import closure, edge_state
 
@@ -72,8 +72,8 @@ def levels(start: DataFrame, edges_of, most: int, boosted: DataFrame | None = No
         seen = level if seen is None else seen.union(level)
         if d < most:
             paid = outgoing(level.select(*KEY)).where("cost = 1").select("sketch_id", F.col("next").alias("id")).distinct()
-            frontier = cut(paid.join(seen, KEY, "left_anti"), "level")
-            if is_empty(frontier):
+            frontier, n = counted(paid.join(seen, KEY, "left_anti"), "level")
+            if not n:
                 break
     return seen
 
@@ -101,8 +101,9 @@ def boost_sketches(g: Graph, seeds: DataFrame, attempts: int, k: int, first: int
     inner = to_centre.join(seeds, "id", "left_anti").select(*KEY)
     touched = cut(edge_states(g, inner, salt).join(to_centre.select("sketch_id", F.col("id").alias("src")), ["sketch_id", "src"], "left_semi").select("sketch_id", "src", "dst", "state"), "boost")
     centres = cut(start.join(kept, "sketch_id", "left_semi"), "boost")
-    distances, edges = compressed(touched, centres, seeds, k)
-    return BoostSketches(attempts, centres, touched, distances, edges, critical_of(touched, distances), seeds, k)
+    both = two_distances(touched, centres, seeds, k)
+    distances, edges = compressed(touched, centres, both, k)
+    return BoostSketches(attempts, centres, touched, distances, edges, cut(critical_of(touched, both), "boost"), seeds, k)
 
 
 def found_seeds(touched: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -116,12 +117,11 @@ def two_distances(touched: DataFrame, centres: DataFrame, seeds: DataFrame, k: i
     return cut(from_seeds.join(to_centre, KEY, "full"), "boost")
 
 
-def compressed(touched: DataFrame, centres: DataFrame, seeds: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Distances of the vertices that stay, and the edges (sketch_id, src, dst, state) between them. A vertex stays if
+def compressed(touched: DataFrame, centres: DataFrame, d: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Of the distances ``d``, those of the vertices that stay, and the edges (sketch_id, src, dst, state) between them. A vertex stays if
     dist_s > 0 and dist_s + dist_r <= k; what seeds reach for free is the super seed, src null, whose edges are
     LIVE_UPON_BOOST and occur once for each target; vertices that reach the centre for free link straight to it.
     """
-    d = two_distances(touched, centres, seeds, k)
     stay = cut(d.where("dist_s > 0 and dist_r is not null and dist_s + dist_r <= " + str(int(k))), "boost")
     name = lambda end, *c: stay.select("sketch_id", F.col("id").alias(end), *c)
     free = d.where("dist_s = 0").select("sketch_id", F.col("id").alias("src"))
@@ -133,9 +133,11 @@ def compressed(touched: DataFrame, centres: DataFrame, seeds: DataFrame, k: int)
 
 
 def critical_of(touched: DataFrame, distances: DataFrame) -> DataFrame:
-    """(sketch_id, id): boosting this vertex alone lets the seeds reach the centre; it has an edge from the super seed
-    and reaches the centre for free."""
-    return distances.where("dist_s = 1 and dist_r = 0").select(*KEY)
+    """(sketch_id, id): boosting this vertex alone lets the seeds reach the centre; it has an edge from what the seeds
+    reach for free, and reaches the centre for free itself."""
+    free = distances.where("dist_s = 0").select("sketch_id", F.col("id").alias("src"))
+    hit = touched.join(free, ["sketch_id", "src"], "left_semi").select("sketch_id", F.col("dst").alias("id")).distinct()
+    return hit.join(distances.where("dist_s = 1 and dist_r = 0"), KEY, "left_semi")
 
 
 def critical_by_closures(g: Graph, seeds: DataFrame, centres: DataFrame, salt: int | str = 1) -> DataFrame:
@@ -191,7 +193,7 @@ def select(s: BoostSketches, k: int, vertices: DataFrame) -> DataFrame:
         centres = cut(centres.join(covered, "sketch_id", "left_anti"), "boost")
         touched = cut(touched.join(centres.select("sketch_id"), "sketch_id", "left_semi"), "boost")
         d = two_distances(touched, centres, s.seeds, s.k, boosted)
-        gains = cut(d.where("dist_s = 1 and dist_r = 0").select(*KEY), "boost")
+        gains = cut(critical_of(touched, d), "boost")
     return spark.createDataFrame(chosen, "ord int, id long, gain long")
 
 

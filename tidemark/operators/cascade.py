@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import RANGE, draw
 from ..graph import BOOST, SEED, Graph
-from ..lineage import cut, is_empty
+from ..lineage import counted, cut, is_empty
 
 
 def closure(start: DataFrame, step, keys: list[str], most: int | None = None) -> DataFrame:
@@ -21,8 +21,8 @@ def closure(start: DataFrame, step, keys: list[str], most: int | None = None) ->
     seen = frontier = cut(start.select(*keys).distinct(), "reached")
     hop = 0
     while most is None or hop < most:
-        frontier = cut(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"), "frontier")
-        if is_empty(frontier):
+        frontier, n = counted(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"), "frontier")
+        if not n:
             break
         seen = seen.union(frontier)
         hop += 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..lineage import cut, is_empty
+from ..lineage import counted, cut, is_empty
 
 
 def _least_labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,8 +17,8 @@ def _least_labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("to"))
-        new = cut(step.join(labels.select(F.col("id").alias("to"), F.col("component").alias("then")), "to").select("id", "old", F.least("to", "then").alias("component")), "wcc")
-        if is_empty(new.where("old <> component")):
+        new, changed = counted(step.join(labels.select(F.col("id").alias("to"), F.col("component").alias("then")), "to").select("id", "old", F.least("to", "then").alias("component")), "wcc", "old <> component")
+        if not changed:
             return new.select("id", "component")
         labels = new.select("id", "component")
 
@@ -51,9 +51,9 @@ def _spread(ids: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     labels = cut(start, "colour")
     while True:
         near = edges.join(labels.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("near"))
-        new = cut(labels.join(near, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("colour")), "colour")
+        new, changed = counted(labels.join(near, "id", "left").select("id", F.col("colour").alias("old"), F.least("colour", F.coalesce("near", "colour")).alias("colour")), "colour", "old <> colour")
         labels = new.select("id", "colour")
-        if is_empty(new.where("old <> colour")):
+        if not changed:
             return labels
 
 
@@ -77,11 +77,12 @@ def scc(g: Graph, edge_filter: Column | None = None) -> DataFrame:
         hit = cut(colours.where("id = colour").select("id"), "scc")
         seen = hit
         while True:
-            hit = cut(inner.join(hit.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"), "scc")
-            if is_empty(hit):
+            hit, n = counted(inner.join(hit.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"), "scc")
+            if not n:
                 break
-            seen = cut(seen.union(hit), "scc")
+            seen = seen.union(hit)
         found.append(cut(colours.join(seen, "id", "left_semi").select("id", F.col("colour").alias("component")), "scc"))
+        seen = cut(seen, "scc")
         ids = cut(ids.join(seen, "id", "left_anti"), "scc")
         edges = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc")
         if is_empty(ids):

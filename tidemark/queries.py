@@ -18,7 +18,7 @@ from .sources import dataset, edges
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-SIMS, SKETCHES, ROUNDS, K = 20, 200, 5, 5
+SIMS, SKETCHES, K = 20, 200, 5
 
 
 def query(name: str, sql: str | None = None):
@@ -51,7 +51,7 @@ edges AS (SELECT src, dst, 1e0 / i.d AS p, least(1e0 / i.d + 1e0 / o.d, 1e0) AS
 
 
 def part_graph(spark: SparkSession, sf_dir: str, model: str = SEED) -> Graph:
-    return dataset.create_dataset(edges.part_edges(spark, sf_dir), dataset.DatasetParams(model=model))
+    return dataset.create_dataset(edges.part_edges(spark, sf_dir), dataset.DatasetParams(model=model, unweighted_ratio=1.0))
 
 
 def _sparse(df: DataFrame, step: int) -> DataFrame:
@@ -130,7 +130,7 @@ def vertex_weights_geometric(spark, sf_dir):
 
 
 @query("matrix_market_pairs", """lines AS (SELECT l_orderkey * 16 + l_linenumber AS line, min(l_partkey) AS u, max(l_suppkey) AS v FROM lineitem GROUP BY 1), pairs AS (SELECT * FROM lines WHERE u <> v),
-seen AS (SELECT id, min(at) AS at FROM (SELECT u AS id, line * 2 AS at FROM pairs UNION ALL SELECT v, line * 2 + 1 FROM pairs) GROUP BY id), num AS (SELECT id, row_number() OVER (ORDER BY at) AS k FROM seen)
+seen AS (SELECT id, min(spot) AS spot FROM (SELECT u AS id, line * 2 AS spot FROM pairs UNION ALL SELECT v, line * 2 + 1 FROM pairs) GROUP BY id), num AS (SELECT id, row_number() OVER (ORDER BY spot) AS k FROM seen)
 SELECT DISTINCT a.k AS u, b.k AS v FROM pairs JOIN num a ON a.id = u JOIN num b ON b.id = v""")
 def matrix_market_pairs(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line")).agg(F.min("l_partkey").alias("u"), F.max("l_suppkey").alias("v"))
@@ -245,7 +245,7 @@ SELECT id, min(id) OVER (PARTITION BY c0.c, c1.c) AS group_id FROM c0 JOIN c1 US
 
 @query("robust_scc_groups", ROBUST)
 def robust_scc_groups(spark, sf_dir):
-    g = dataset.create_dataset(_sparse(edges.part_edges(spark, sf_dir), 20), dataset.DatasetParams())
+    g = dataset.create_dataset(_sparse(edges.part_edges(spark, sf_dir), 20), dataset.DatasetParams(unweighted_ratio=1.0))
     return rank.robust_groups(g, 2, 1)
 
 

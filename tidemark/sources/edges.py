@@ -19,7 +19,7 @@ def pairs(lines: DataFrame, skip: int = 0) -> DataFrame:
     if skip:
         lines = lines.join(F.broadcast(lines.orderBy("line").limit(skip).select("line")), "line", "left_anti")
     part = F.split(F.trim("value"), r"\s+")
-    return lines.where(F.trim("value") != "").select("line", part[0].cast("long").alias("u"), part[1].cast("long").alias("v")).where("u <> v")
+    return lines.where(F.trim("value") != "").select("line", part[0].try_cast("long").alias("u"), part[1].try_cast("long").alias("v")).where("u <> v")
 
 
 def directed(rows: DataFrame, given: bool | None = None) -> bool:
@@ -54,7 +54,7 @@ def read_matrix_market(spark: SparkSession, path: str, mirror: bool = False) ->
     lines = numbered_lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size = lines.orderBy("line").limit(1).select("line")
     part = F.split(F.trim("value"), r"\s+")
-    edges = lines.join(F.broadcast(size), "line", "left_anti").select((part[0].cast("long") - 1).alias("src"), (part[1].cast("long") - 1).alias("dst")).where("src <> dst")
+    edges = lines.join(F.broadcast(size), "line", "left_anti").select((part[0].try_cast("long") - 1).alias("src"), (part[1].try_cast("long") - 1).alias("dst")).where("src <> dst")
     if mirror:
         edges = edges.union(edges.select(F.col("dst"), F.col("src")))
     return edges.dropDuplicates(["src", "dst"])
