@@ -19,8 +19,8 @@ Bands hold sizes 4**j to 4**(j+1) - 1; sets in a band's last quarter, which can
 Groups. Documents with equal sets are linked to the smallest doc_id among them by a key of the set; all but that one of a
 frequent set emit no signatures, so a huge group of copies costs a row each. In a bucket of one signature, every document is checked against the one whose shingles are the most common, which in a group of
 edited copies is among the least edited; components follow. After that, only documents outside the component of their
-bucket's lead meet the others of its buckets, in blocks of documents: a pair is looked at if it shares a signature and
-is still in different components, and no row is made for it unless it links. Every check counts an intersection.
+bucket's lead meet the others of buckets with that lead, in blocks of documents: a pair is looked at if it is still in
+different components, and no row is made for it unless it links. Every check counts an intersection.
 """
 
 from __future__ import annotations
@@ -156,13 +156,11 @@ def _verify(batches):
 
 
 def _verify_blocks(batches):
-    """Links between two blocks of documents that some signature's bucket holds: pairs in different components, with a
-    signature in common and sizes that allow a link."""
+    """Links between two blocks of documents: of pairs in different components with sizes that allow a link."""
 
     def block(docs):
         found = list(C.shingles(pa.array([d["text"] for d in docs], pa.string()), WIDTH))
-        sigs = [np.array(d["sigs"], dtype=np.int64) for d in docs]
-        return [d["doc"] for d in docs], np.array([d["component"] for d in docs]), np.array([len(h) for h in found]), found, sigs
+        return [d["doc"] for d in docs], np.array([d["component"] for d in docs]), np.array([len(h) for h in found]), found
 
     def owners(parts):
         return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
@@ -174,14 +172,12 @@ def _verify_blocks(batches):
 
     for batch in batches:
         for row in batch.to_pylist():
-            ids_a, of_a, n_a, sets_a, sigs_a = block(row["some"])
-            ids_b, of_b, n_b, sets_b, sigs_b = block(row["many"])
-            elements, signed = owners(sets_b), owners(sigs_b)
+            ids_a, of_a, n_a, sets_a = block(row["some"])
+            ids_b, of_b, n_b, sets_b = block(row["many"])
+            elements = owners(sets_b)
             out = []
             for i, h in enumerate(sets_a):
                 open_ = (of_b != of_a[i]) & (n_b * DEN >= n_a[i] * NUM) & (n_a[i] * DEN >= n_b * NUM)
-                if open_.any() and len(h):
-                    open_ &= common(sigs_a[i], *signed, len(ids_b)) > 0
                 if open_.any() and len(h):
                     both = common(h, *elements, len(ids_b))
                     out += [(min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])) for j in np.flatnonzero(open_ & (both * DEN >= (n_a[i] + n_b - both) * NUM))]
@@ -207,25 +203,27 @@ def _frequent(sets: DataFrame) -> dict[bytes, int]:
     return {bytes(r.set_key): r.rep for r in sets.where(F.col("n") >= max(20, total // HOT_SHARE + 1)).select("set_key", "rep").collect()}
 
 
-def _buckets(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
-    """(sig, doc, size, lead, lead_size): the documents of each signature that more than one has."""
+def _members(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
+    """(lead, doc, size, lead_size, n): the documents of each signature that more than one has, by the lead of its
+    bucket; n counts the signatures."""
     sigs = docs.where("doc_id is not null").mapInArrow(_signatures(shared), "sig long, doc long, rank long")
     by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
     chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
     size_of = lambda rank: F.expr(f"{rank} & 4294967295")
     rows = chained.where("lead <> doc or then <> doc")  # else the document is alone in it
-    return ws.save(rows.select("sig", "doc", size_of("rank").alias("size"), "lead", size_of("lead_rank").alias("lead_size")), "buckets")
+    rows = rows.select("doc", size_of("rank").alias("size"), "lead", size_of("lead_rank").alias("lead_size"))
+    return ws.save(rows.groupBy("lead", "doc", "size", "lead_size").agg(F.count("*").alias("n")), "members")
 
 
-def _star_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame) -> DataFrame:
+def _star_links(ws: C.Workspace, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the lead of a bucket and its other documents."""
     sized = (F.col("lead_size") * DEN >= F.col("size") * NUM) & (F.col("size") * DEN >= F.col("lead_size") * NUM)
-    stars = buckets.where(F.col("lead") != F.col("doc")).where(sized).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = members.where(F.col("lead") != F.col("doc")).where(sized).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return ws.save(stars.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "stars")
 
 
-def _other_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
+def _other_links(ws: C.Workspace, members: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
     """Links in a bucket that join different components. Of two documents in different components, one is not in that
     of the lead; so such documents meet all documents of buckets with the same lead, BLOCK by BLOCK.
 
@@ -233,11 +231,9 @@ def _other_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame, componen
     can have, and at most (a + b) / 7 of those can differ. A document that shares fewer signatures with others than it
     would with any partner of the sizes that occur under its lead stays out.
     """
-    total = buckets.groupBy("doc").agg(F.count("*").alias("shared"))
-    member = buckets.join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    member = member.groupBy("lead", "doc", "component", "size").agg(F.collect_list("sig").alias("sigs")).join(total, "doc")  # a document's signatures
-    member = ws.save(member, "members")
-    sizes = member.groupBy("lead").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    total = members.groupBy("doc").agg(F.sum("n").alias("shared"))
+    member = members.groupBy("lead", "doc").agg(F.max("size").alias("size")).join(total, "doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = members.groupBy("lead").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     lead_of = components.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
     top = "(cast(pow(4, floor(log2(size) / 2) + 1) as bigint) - 1)"
     high, low = f"least(most, size * {DEN} div {NUM})", f"greatest(least, (size * {NUM} + {DEN - 1}) div {DEN})"
@@ -245,16 +241,16 @@ def _other_links(ws: C.Workspace, buckets: DataFrame, texts: DataFrame, componen
     up = f"{differ('size', f'least(size * {DEN} div {NUM}, {top})')} + 1 - {differ('size', high)}"
     down = f"{differ(low, f'least({low} * {DEN} div {NUM}, {top})')} + 1 - {differ('size', low)}"
     member = member.join(sizes, "lead").where(f"shared >= least({up}, {down})").drop("least", "most")
-    member = member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead"))
+    member = ws.save(member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead")), "kept")
     size = member.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"), F.countDistinct("component").alias("parts"))
-    full = ws.save(member.join(size.where("n_apart > 0 and parts > 1"), "lead").select("lead", "doc", "component", "sigs", "apart", "n", "n_apart"), "open")
+    full = ws.save(member.join(size.where("n_apart > 0 and parts > 1"), "lead").select("lead", "doc", "component", "apart", "n", "n_apart"), "open")
     C.free_shuffles(ws.spark)
     full = full.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
 
     def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
         """BLOCK documents each, about, by a hash of the id."""
         block = F.expr(f"pmod(xxhash64(doc), {n} div {BLOCK} + 1)").alias("block")
-        return rows.select("lead", block, F.struct("doc", "component", "sigs", "text").alias("d")).groupBy("lead", "block").agg(F.collect_list("d").alias(name)).drop("block")
+        return rows.select("lead", block, F.struct("doc", "component", "text").alias("d")).groupBy("lead", "block").agg(F.collect_list("d").alias(name)).drop("block")
 
     pairs = blocks(full.where("apart"), "n_apart", "some").join(blocks(full, "n", "many"), "lead").select("some", "many")
     return ws.save(pairs.mapInArrow(_verify_blocks, "a long, b long").distinct(), "others")
@@ -275,18 +271,18 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     sets = ws.save(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
     same = rows.where("doc_id is not null").join(sets.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    buckets = _buckets(ws, docs, spark.sparkContext.broadcast((_counts(profile), _frequent(sets))))
+    members = _members(ws, docs, spark.sparkContext.broadcast((_counts(profile), _frequent(sets))))
     C.free_shuffles(spark)
-    texts = ws.save(docs.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = ws.save(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     C.free_shuffles(spark)
-    links = _star_links(ws, buckets, texts).union(ws.save(same, "same"))
+    links = _star_links(ws, members, texts).union(ws.save(same, "same"))
     C.free_shuffles(spark)
     components = C.connected_components(ws, links, "first")
-    more = _other_links(ws, buckets, texts, components)
+    more = _other_links(ws, members, texts, components)
     C.free_shuffles(spark)
     if more.limit(1).count():
         components = C.connected_components(ws, links.union(more), "last")
-    ws.drop("sets", "buckets", "texts", "stars", "same", "members", "open", "others")
+    ws.drop("sets", "members", "texts", "stars", "same", "kept", "open", "others")
     return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
