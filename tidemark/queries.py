@@ -251,7 +251,7 @@ def robust_scc_groups(spark, sf_dir):
 
 @query("robust_scc_seeds")
 def robust_scc_seeds(spark, sf_dir):
-    return rank.robust_scc(part_graph(spark, sf_dir), 3, 2, SKETCHES)
+    return rank.robust_scc(part_graph(spark, sf_dir), 3, 1, SKETCHES)
 
 
 # --- cascades -----------------------------------------------------------------------------------------------------
@@ -382,13 +382,13 @@ def prr_sketch_critical(spark, sf_dir):
 @query("prr_sketch_stats")
 def prr_sketch_stats(spark, sf_dir):
     g = part_graph(spark, sf_dir, BOOST)
-    return boost.stats(boost.boost_sketches(g, _seeds(g), SKETCHES, 2))
+    return boost.stats(boost.boost_sketches(g, _seeds(g), 50, 2))
 
 
 @query("prr_full_select")
 def prr_full_select(spark, sf_dir):
     g = part_graph(spark, sf_dir, BOOST)
-    return boost.select(boost.boost_sketches(g, _seeds(g), SKETCHES, 2), 3, g.vertices)
+    return boost.select(boost.boost_sketches(g, _seeds(g), 50, 2), 2, g.vertices)
 
 
 @query("seed_candidates", f"{PART}, {_model('part_edges')}, s AS (SELECT ids.id, round(coalesce(sum(p), 0), 9) AS strength FROM ids LEFT JOIN edges ON src = ids.id GROUP BY 1) SELECT id FROM s ORDER BY strength DESC, id LIMIT (SELECT floor(count(*) * 0.1::DOUBLE)::BIGINT FROM ids)")
