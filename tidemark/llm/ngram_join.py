@@ -19,8 +19,8 @@ Bands hold sizes 4**j to 4**(j+1) - 1; sets in a band's last quarter, which can
 Groups. Documents with equal sets are linked to the smallest doc_id among them by a key of the set; all but that one of a
 frequent set emit no signatures, so a huge group of copies costs a row each. In a bucket of one signature, every document is checked against the one whose shingles are the most common, which in a group of
 edited copies is among the least edited; components follow. After that, only documents outside the component of their
-bucket's lead meet the others of buckets with that lead, in blocks of documents: a pair is looked at if it is still in
-different components, and no row is made for it unless it links. Every check counts an intersection.
+bucket's lead meet the others of buckets with that lead: many of them in blocks of documents, where no row is made for a
+pair unless it links; few of them as pairs that share as many signatures as linked sets of their sizes must. Every check counts an intersection.
 """
 
 from __future__ import annotations
@@ -215,45 +215,76 @@ def _members(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
     return ws.save(rows.groupBy("lead", "doc", "size", "lead_size").agg(F.count("*").alias("n")), "members")
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+
+
 def _star_links(ws: C.Workspace, members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the lead of a bucket and its other documents."""
     sized = (F.col("lead_size") * DEN >= F.col("size") * NUM) & (F.col("size") * DEN >= F.col("lead_size") * NUM)
     stars = members.where(F.col("lead") != F.col("doc")).where(sized).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return ws.save(stars.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "stars")
+    return ws.save(_verified(stars, texts), "stars")
 
 
-def _other_links(ws: C.Workspace, members: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
-    """Links in a bucket that join different components. Of two documents in different components, one is not in that
-    of the lead; so such documents meet all documents of buckets with the same lead, BLOCK by BLOCK.
+def _differ_sql(a: str, b: str) -> str:
+    return f"(({a} + {b}) * {DEN - NUM} div {DEN + NUM})"
+
+
+def _top_sql(size: str) -> str:
+    return f"(cast(pow(4, floor(log2({size}) / 2) + 1) as bigint) - 1)"
+
+
+def _open_members(ws: C.Workspace, members: DataFrame, components: DataFrame) -> DataFrame:
+    """(lead, doc, size, n, component, apart, n_docs, n_apart): documents under a lead that are not all of one component;
+    ``apart``: not in that of the lead.
 
     Linked documents share many signatures if they are of about one size: both emit k + 1 for the largest partner they
     can have, and at most (a + b) / 7 of those can differ. A document that shares fewer signatures with others than it
     would with any partner of the sizes that occur under its lead stays out.
     """
     total = members.groupBy("doc").agg(F.sum("n").alias("shared"))
-    member = members.groupBy("lead", "doc").agg(F.max("size").alias("size")).join(total, "doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    member = members.groupBy("lead", "doc").agg(F.max("size").alias("size"), F.sum("n").alias("n")).join(total, "doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sizes = members.groupBy("lead").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     lead_of = components.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-    top = "(cast(pow(4, floor(log2(size) / 2) + 1) as bigint) - 1)"
     high, low = f"least(most, size * {DEN} div {NUM})", f"greatest(least, (size * {NUM} + {DEN - 1}) div {DEN})"
-    differ = lambda a, b: f"(({a} + {b}) * {DEN - NUM} div {DEN + NUM})"
-    up = f"{differ('size', f'least(size * {DEN} div {NUM}, {top})')} + 1 - {differ('size', high)}"
-    down = f"{differ(low, f'least({low} * {DEN} div {NUM}, {top})')} + 1 - {differ('size', low)}"
-    member = member.join(sizes, "lead").where(f"shared >= least({up}, {down})").drop("least", "most")
-    member = ws.save(member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead")), "kept")
-    size = member.groupBy("lead").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("n_apart"), F.countDistinct("component").alias("parts"))
-    full = ws.save(member.join(size.where("n_apart > 0 and parts > 1"), "lead").select("lead", "doc", "component", "apart", "n", "n_apart"), "open")
+    up = f"{_differ_sql('size', f'least(size * {DEN} div {NUM}, {_top_sql("size")})')} + 1 - {_differ_sql('size', high)}"
+    down = f"{_differ_sql(low, f'least({low} * {DEN} div {NUM}, {_top_sql("size")})')} + 1 - {_differ_sql('size', low)}"
+    member = member.join(sizes, "lead").where(f"shared >= least({up}, {down})").drop("least", "most", "shared")
+    member = ws.save(member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead")).drop("lead_component"), "kept")
+    size = member.groupBy("lead").agg(F.count("*").alias("n_docs"), F.sum(F.col("apart").cast("int")).alias("n_apart"), F.countDistinct("component").alias("parts"))
+    return ws.save(member.join(size.where("n_apart > 0 and parts > 1").drop("parts"), "lead"), "open")
+
+
+def _other_links(ws: C.Workspace, members: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
+    """Links in a bucket that join different components. Of two documents in different components, one is not in that of
+    the lead.
+
+    Under a lead with more than BLOCK documents, those that are apart meet all others block by block. Under the others
+    pairs are listed, and a pair that is under none of the large ones is compared if it shares as many signatures as
+    linked sets of its sizes must.
+    """
+    full = _open_members(ws, members, components)
+    C.free_shuffles(ws.spark)
+    side = lambda d: full.where(F.col("n_docs") <= BLOCK).select("lead", F.col("doc").alias(d), *[F.col(c).alias(f"{c}_{d}") for c in ("size", "n", "component", "apart")])
+    pairs = side("a").join(side("b"), "lead").where("apart_a and a <> b and component_a <> component_b and (not apart_b or a < b)")
+    pairs = pairs.where((F.col("size_a") * DEN >= F.col("size_b") * NUM) & (F.col("size_b") * DEN >= F.col("size_a") * NUM))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("size_a", "size_b").alias("s"), F.greatest("size_a", "size_b").alias("t"), F.least("n_a", "n_b").alias("n"))
+    pairs = pairs.groupBy("a", "b").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.sum("n").alias("n"))
+    reach = lambda x: _differ_sql(x, f"least({x} * {DEN} div {NUM}, {_top_sql('t')})")
+    pairs = ws.save(pairs.where(f"n >= least({reach('s')}, {reach('t')}) + 1 - {_differ_sql('s', 't')}").select("a", "b"), "pairs")
+    few = ws.save(_verified(pairs, texts), "few")
     C.free_shuffles(ws.spark)
-    full = full.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    many = full.where(F.col("n_docs") > BLOCK).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
 
     def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
         """BLOCK documents each, about, by a hash of the id."""
         block = F.expr(f"pmod(xxhash64(doc), {n} div {BLOCK} + 1)").alias("block")
         return rows.select("lead", block, F.struct("doc", "component", "text").alias("d")).groupBy("lead", "block").agg(F.collect_list("d").alias(name)).drop("block")
 
-    pairs = blocks(full.where("apart"), "n_apart", "some").join(blocks(full, "n", "many"), "lead").select("some", "many")
-    return ws.save(pairs.mapInArrow(_verify_blocks, "a long, b long").distinct(), "others")
+    met = blocks(many.where("apart"), "n_apart", "some").join(blocks(many, "n_docs", "many"), "lead").select("some", "many")
+    return ws.save(met.mapInArrow(_verify_blocks, "a long, b long").union(few).distinct(), "others")
 
 
 def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
@@ -282,7 +313,7 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     C.free_shuffles(spark)
     if more.limit(1).count():
         components = C.connected_components(ws, links.union(more), "last")
-    ws.drop("sets", "members", "texts", "stars", "same", "kept", "open", "others")
+    ws.drop("sets", "members", "texts", "stars", "same", "kept", "open", "pairs", "few", "others")
     return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
