@@ -276,7 +276,8 @@ def _other_links(ws: C.Workspace, members: DataFrame, texts: DataFrame, componen
     pairs = ws.save(pairs.where(f"n >= least({reach('s')}, {reach('t')}) + 1 - {_differ_sql('s', 't')}").select("a", "b"), "pairs")
     few = ws.save(_verified(pairs, texts), "few")
     C.free_shuffles(ws.spark)
-    many = full.where(F.col("n_docs") > BLOCK).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    # dealt by lead once: grouping into blocks and joining them need no other shuffle of texts
+    many = full.where(F.col("n_docs") > BLOCK).join(texts.withColumnRenamed("doc_id", "doc"), "doc").repartition("lead")
 
     def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
         """BLOCK documents each, about, by a hash of the id."""
