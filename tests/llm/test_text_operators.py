@@ -131,6 +131,29 @@ def test_language_identification(spark):
     assert langid.predict(odd(spark), model).count() == 5
 
 
+def test_unlearned_languages_and_junk_are_rejected_and_short_texts_stay():
+    parts = {"x": ["the", "ing", "tion", "er", "and"], "y": ["ción", "que", "los", "ado", "ñ"], "z": ["sch", "ung", "keit", "ich", "ä"]}
+    rng = np.random.default_rng(5)
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang], rng.integers(1, 4))) for _ in range(n))
+
+    sample = [(text(k, int(rng.integers(3, 120))), k) for k in parts for _ in range(200)]
+    model = langid.fit([t for t, _ in sample], [k for _, k in sample])
+
+    def accepted(texts):
+        v = langid.vectors(pa.array(texts), model.idf)
+        cosine = v @ model.centroids.T
+        best = cosine.argmax(axis=1)
+        return cosine.max(axis=1) >= model.reached(model.of[best], (v > 0).sum(axis=1))
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق."]
+    junk = ["".join(rng.choice(list(alphabet), n)) for n in (40, 600, 3000) for alphabet in (letters, letters + "    ", letters + letters.upper() + "0123456789+/")]
+    assert not accepted(other + junk).any()
+    assert accepted([text(k, n) for k in parts for n in (2, 3, 5, 8) for _ in range(25)]).mean() >= 0.97
+
+
 def test_toxicity(spark):
     data = [(i, prose(i, 60) + (" you idiot moron " if i % 4 == 0 else " ") + prose(i + 1000, 30), None, None, None) for i in range(300)]
     df = table(spark, data)

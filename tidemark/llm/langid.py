@@ -3,8 +3,9 @@
 A text is a vector of hashed byte n-grams (2 to 4 bytes, A-Z in lower case, other ASCII signs as one gap), weighted by
 (1 + ln tf) * idf and scaled to length 1. Each language's training vectors are clustered by spherical k-means into a
 few centroids; a text gets the language of the centroid with the greatest cosine. The score is that cosine. A text is
-rejected when its distance, 1 - cosine, is beyond what the language's training texts reach; texts without a letter are
-undetermined.
+rejected when its distance, 1 - cosine, is beyond what texts of the language reach; texts without a letter are
+undetermined. Since the cosine grows with the number of different n-grams, that reach is a curve over this number: it
+is measured on pieces of several lengths of every ``HOLD``-th labelled text, which the centroids have not seen.
 
 The model is fitted on at most ``TRAIN`` labelled texts (those of the least hashed ids, as many for each language as
 there are, up to an equal share) and the least ``TRAIN_CHARS`` characters of each; predictions read whole texts.
@@ -23,9 +24,14 @@ from . import _common as C
 
 #: Bounds of the training sample: texts, and characters of each.
 TRAIN, TRAIN_CHARS = 4000, 20_000
-DIM_BITS, GRAMS, CENTROIDS, ROUNDS = 13, (2, 3, 4), 4, 12
-#: A text is rejected when its cosine is under this share of the low (1 in 1000) training cosine of its language.
-REJECT_SHARE = 0.25
+#: With 2^15 slots the n-grams of unlearned languages and junk hardly meet learned ones by chance.
+DIM_BITS, GRAMS, CENTROIDS, ROUNDS = 15, (2, 3, 4), 4, 12
+#: A text is rejected when its cosine is under this quantile of those of pieces with as many n-grams, of its language.
+REJECT_QUANTILE, HOLD, PIECES = 0.01, 4, (8, 16, 32, 64, 128, 256, 1024, 4096)
+#: A language of fewer texts than LEAST has none to spare: then this share of its least training cosine counts.
+LEAST, REJECT_SHARE = 100, 0.25
+#: Texts that one vectorised step takes.
+STEP = 64
 UNDETERMINED = "und"
 
 _GAP = np.arange(256, dtype=np.uint8)
@@ -39,7 +45,15 @@ class Model:
     of: np.ndarray  # language of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    least: np.ndarray  # least cosine of each language
+    least: list[tuple[np.ndarray, np.ndarray]]  # of each language: logarithms of numbers of n-grams, least cosines there
+
+    def reached(self, of: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The least cosine that stands, for languages and numbers of different n-grams."""
+        at = np.log2(np.maximum(grams, 1))
+        out = np.zeros(len(of))
+        for k, (x, y) in enumerate(self.least):
+            out[of == k] = np.interp(at[of == k], x, y)
+        return out
 
 
 def counts(array: pa.Array) -> np.ndarray:
@@ -75,30 +89,66 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1e-9)
 
 
+def _pieces(texts: list[str], size: int, seed: int) -> list[str]:
+    """A piece of about ``size`` bytes of each text that has so many, if there is a letter in it."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    found = []
+    for raw in (t.encode() for t in texts):
+        if len(raw) >= size:
+            at = int(rng.integers(len(raw) - size + 1))
+            found.append(raw[at : at + size].decode(errors="ignore"))
+    return [x for x in found if _has_letter(x)]
+
+
+def _reach(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The curve of least cosines, measured on pieces of texts that the centroids have not seen."""
+    x, y = [], []
+    for size in PIECES:
+        pieces = _pieces(texts, size, size)
+        if len(pieces) < LEAST // HOLD:
+            continue
+        cosine, grams = [], []
+        for i in range(0, len(pieces), STEP):
+            v = vectors(pa.array(pieces[i : i + STEP], pa.string()), idf)
+            cosine.append((v @ centroids.T).max(axis=1))
+            grams.append((v > 0).sum(axis=1))
+        x.append(np.median(np.log2(np.maximum(np.concatenate(grams), 1))))
+        y.append(np.quantile(np.concatenate(cosine), REJECT_QUANTILE))
+    return (np.array(x), np.array(y)) if x else (np.zeros(1), np.zeros(1))
+
+
 def fit(texts: list[str], languages: list[str]) -> Model:
     """A language with fewer texts than centroids gets a centroid for each of them."""
     names = sorted(set(languages))
     if not names:
-        return Model([], np.zeros(0, int), np.ones(1 << DIM_BITS, np.float32), np.zeros((0, 1 << DIM_BITS), np.float32), np.zeros(0))
-    parts = [vectors(pa.array(texts[i : i + 256], pa.string())) for i in range(0, len(texts), 256)]
-    x = np.concatenate(parts)
-    del parts
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    for i in range(0, len(x), 256):
-        x[i : i + 256] = scaled(x[i : i + 256] * idf)
+        return Model([], np.zeros(0, int), np.ones(1 << DIM_BITS, np.float32), np.zeros((0, 1 << DIM_BITS), np.float32), [])
+    x = np.empty((len(texts), 1 << DIM_BITS), np.float16)
+    having = np.zeros(1 << DIM_BITS)
+    for i in range(0, len(x), STEP):
+        x[i : i + STEP] = vectors(pa.array(texts[i : i + STEP], pa.string()))
+        having += (x[i : i + STEP] > 0).sum(axis=0)
+    idf = (np.log((1 + len(x)) / (1 + having)) + 1).astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(8))
     y = np.array([names.index(v) for v in languages])
     centroids, of, least = [], [], []
     for k in range(len(names)):
-        own = x[y == k]
+        rows = np.flatnonzero(y == k)
+        spare = rows[HOLD - 1 :: HOLD] if len(rows) >= LEAST else rows[:0]
+        rows = np.setdiff1d(rows, spare)
+        own = np.empty((len(rows), 1 << DIM_BITS), np.float32)
+        for i in range(0, len(rows), STEP):
+            own[i : i + STEP] = scaled(x[rows[i : i + STEP]] * idf)
         c = own[np.sort(rng.permutation(len(own))[:CENTROIDS])]
         for _ in range(ROUNDS):
             at = (own @ c.T).argmax(axis=1)
             c = scaled(np.stack([own[at == j].sum(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
         centroids.append(c)
         of += [k] * len(c)
-        least.append(np.quantile((own @ c.T).max(axis=1), 0.001) * REJECT_SHARE)
-    return Model(names, np.array(of), idf, np.concatenate(centroids).astype(np.float32), np.array(least))
+        if len(spare):
+            least.append(_reach([texts[i] for i in spare], idf, c.astype(np.float32)))
+        else:
+            least.append((np.zeros(1), np.full(1, (own @ c.T).max(axis=1).min() * REJECT_SHARE)))
+    return Model(names, np.array(of), idf, np.concatenate(centroids).astype(np.float32), least)
 
 
 def train(docs: DataFrame, allowed) -> Model:
@@ -135,15 +185,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         for whole in batches:
             for batch in C.slices(whole, text, C.STEP_BYTES):
-                for at in range(0, len(batch), 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, len(batch), STEP):
+                    part = batch.slice(at, STEP)
                     letters = np.array([_has_letter(x) for x in part.column(text).to_pylist()])
                     if len(m.of):
-                        cosine = vectors(part.column(text), m.idf) @ m.centroids.T
+                        v = vectors(part.column(text), m.idf)
+                        cosine = v @ m.centroids.T
                         best = cosine.argmax(axis=1)
                         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
                         of = m.of[best]
-                        rejected = ~letters | (score < m.least[of])
+                        rejected = ~letters | (score < m.reached(of, (v > 0).sum(axis=1)))
                         names = [m.languages[k] if ok else UNDETERMINED for k, ok in zip(of, letters, strict=True)]
                     else:
                         score, rejected, names = np.zeros(len(part)), np.ones(len(part), bool), [UNDETERMINED] * len(part)
