@@ -106,3 +106,14 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     out = {r.id: r.component for r in C.connected_components(ws, edges).collect()}
     assert out == {i: 0 for i in range(41)} | {i: 90 for i in (90, 95, 100)}
+
+
+def test_components_of_long_chains(spark):
+    n = 400
+    shuffled = np.random.default_rng(3).permutation(n).tolist()
+    chains = [shuffled, [0, *range(n - 1, 0, -1)], list(range(n - 1, -1, -1)), list(range(n))]
+    links = [(1000 * k + a, 1000 * k + b) for k, c in enumerate(chains) for a, b in zip(c, c[1:], strict=False)]
+    links += [(4999, 4000 + i) for i in range(n)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    out = {r.id: r.component for r in C.connected_components(C.Workspace(spark, "test"), edges).collect()}
+    assert out == {1000 * k + i: 1000 * k for k in range(5) for i in range(n)} | {4999: 4000}

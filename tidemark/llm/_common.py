@@ -170,23 +170,42 @@ def shingles(array: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component) for each end of an edge (a, b); component is the smallest id that can be reached.
 
-    Each round takes the least label among a node's neighbours, and then the label of that label; so a path of length
-    n takes about log n rounds. Every round is written to the shared folder, and only its count of changes reaches the
-    driver. The neighbours' labels are combined before they are shuffled, so a hub is no burden for one task.
+    In a round every node takes its least neighbour as parent. Along parents every second id only falls, so the only
+    cycles are pairs, and the lesser of a pair is the least id of its tree. Pointer jumping finds these roots, and the
+    edges between trees make the next round's graph. A tree has two nodes at least: n nodes take at most log2 n rounds,
+    of at most log2 n jumps, whatever the order of ids. All is written to the shared folder, and only whether something
+    is left reaches the driver. The least of neighbours is combined before it is shuffled, so a hub is no burden for
+    one task.
     """
-    both = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = ws.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), f"{name}-0")
-    for k in range(1, most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("component").alias("then"))
-        now = ws.save(step.join(jump, "to").select("id", "old", F.least("to", "then").alias("component")), f"{name}-{k}")
-        changed = now.where("old <> component").limit(1).count()
-        labels = now.select("id", "component")
-        if not changed:
-            ws.drop(f"{name}-edges", *(f"{name}-{j}" for j in range(k)))
+    left = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges-0")
+    labels, k = None, 0
+    while True:
+        least = ws.save(left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")), f"{name}-least-{k}")
+        after = least.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        trees = ws.save(least.join(after, "to").select("id", F.when((F.col("then") == F.col("id")) & (F.col("id") < F.col("to")), F.col("id")).otherwise(F.col("to")).alias("to")), f"{name}-trees-{k}-0")
+        used, j = [f"{name}-edges-{k}", f"{name}-least-{k}"], 0
+        while True:
+            after = trees.select(F.col("id").alias("to"), F.col("to").alias("then"))
+            now = ws.save(trees.join(after, "to").select("id", F.col("to").alias("old"), F.col("then").alias("to")), f"{name}-trees-{k}-{j + 1}")
+            used.append(f"{name}-trees-{k}-{j}")
+            j += 1
+            trees = now.select("id", "to")
+            if not now.where("old <> to").limit(1).count():
+                break
+        used.append(f"{name}-trees-{k}-{j}")
+        if labels is None:
+            labels = ws.save(trees.withColumnRenamed("to", "component"), f"{name}-{k}")
+        else:
+            further = trees.select(F.col("id").alias("component"), "to")
+            labels = ws.save(labels.join(further, "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"{name}-{k}")
+            used.append(f"{name}-{k - 1}")
+        a, b = trees.select(F.col("id").alias("a"), F.col("to").alias("at")), trees.select(F.col("id").alias("b"), F.col("to").alias("bt"))
+        left = ws.save(left.join(a, "a").join(b, "b").where("at <> bt").select(F.col("at").alias("a"), F.col("bt").alias("b")).distinct(), f"{name}-edges-{k + 1}")
+        more = left.limit(1).count()
+        ws.drop(*used, *([] if more else [f"{name}-edges-{k + 1}"]))
+        if not more:
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        k += 1
