@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -186,3 +187,43 @@ def test_licenses(spark):
     assert [d.label for d in kept.detections] == ["apache-2.0"]
     assert licenses.scan(odd(spark)).count() == 5 and licenses.scan(table(spark, [])).count() == 0
     assert len(licenses.RULES) > 300 and SCHEMA
+
+
+def expanded(pattern, rng):
+    """A random text of words that a rule's pattern matches."""
+    def walk(items):
+        out = ""
+        for op, x in items:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(x)
+            elif op == "BRANCH":
+                out += walk(rng.choice(x[1]))
+            elif op == "SUBPATTERN":
+                out += walk(x[-1])
+            elif op == "MAX_REPEAT":
+                out += walk(x[2]) * rng.randint(x[0], min(int(x[1]), x[0] + 1))
+            elif op == "IN":
+                kind, value = rng.choice(x)
+                out += chr(value) if str(kind) == "LITERAL" else "7"
+            else:
+                assert op == "ASSERT_NOT"
+        return out
+
+    return walk(re._parser.parse(pattern))
+
+
+def test_a_license_keyword_stands_in_all_that_its_rule_matches():
+    rng = random.Random(4)
+    for r in licenses.RULES:
+        for _ in range(100):
+            line = f" {expanded(r.pattern, rng)} "
+            assert f" {r.keyword}{' ' * (r.keyword in licenses._WHOLE)}" in line, (r, line)
+            assert re.search(licenses.ANY_KEYWORD, line), (r, line)
+
+
+def test_licenses_by_names_without_their_familys_keyword(spark):
+    cases = [("under the PSF license 2.0", "psf-2.0"), ("ASL 2.0", "apache-2.0"), ("Berkeley Software Distribution license", "bsd"), ("responsible AI license", "rail"), ("CC Zero 1.0", "cc0-1.0"), ("CCBY-SA 4.0", "cc-by-sa-4.0"), ("MIT X11 license", "mit"), ("MPLv2.0", "mpl-2.0"), ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", "boost")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r.labels.split(",") for r in licenses.scan(df).collect()}
+    assert all(label in out[i] for i, (_, label) in enumerate(cases)), out

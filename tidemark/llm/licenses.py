@@ -41,10 +41,10 @@ def _rules() -> list[Rule]:
     opening = "(?:licensed|released|distributed|available|published|provided|covered|governed)"
     notice = f"{opening} (?:under|by) (?:the )?(?:terms of )?(?:the )?"
     version = "(?:,? ?(?:version|ver|v|release) ?)?"
-    # label, keyword, names, versions ("" is a name without one)
+    # label, keyword, names, versions ("" is a name without one); a name that lacks the keyword has its own before it
     families = [
-        ("apache", "apache", ["apache(?: software)? license", "apache public license", "asl", "apache"], ["1.0", "1.1", "2.0", "2"]),
-        ("gpl", "general public", ["(?:gnu )?general public license", "gnu gpl"], ["1.0", "2.0", "3.0", "1", "2", "3"]),
+        ("apache", "apache", ["apache(?: software)? license", "apache public license", ("asl", "asl"), "apache"], ["1.0", "1.1", "2.0", "2"]),
+        ("gpl", "general public", ["(?:gnu )?general public license", ("gpl", "gnu gpl")], ["1.0", "2.0", "3.0", "1", "2", "3"]),
         ("gpl", "gpl", ["gnu gpl", "gplv", "gpl"], ["1.0", "2.0", "3.0", "1", "2", "3"]),
         ("lgpl", "lesser general", ["(?:gnu )?lesser general public license"], ["2.1", "3.0", "3"]),
         ("lgpl", "library general", ["(?:gnu )?library general public license"], ["2.0", "2"]),
@@ -67,7 +67,7 @@ def _rules() -> list[Rule]:
         ("busl", "business source", ["business source license"], ["1.1"]),
         ("osl", "open software", ["open software license"], ["1.0", "1.1", "2.0", "2.1", "3.0"]),
         ("afl", "academic free", ["academic free license"], ["1.1", "1.2", "2.0", "2.1", "3.0"]),
-        ("psf", "python", ["python software foundation license", "psf license"], ["2.0", "2"]),
+        ("psf", "python", ["python software foundation license", ("psf", "psf license")], ["2.0", "2"]),
         ("php", "php", ["php license"], ["3.0", "3.01"]),
         ("zpl", "zope", ["zope public license"], ["1.1", "2.0", "2.1"]),
         ("ofl", "font", ["(?:sil )?open font license"], ["1.0", "1.1"]),
@@ -82,13 +82,14 @@ def _rules() -> list[Rule]:
         ("mulan", "mulan", ["mulan (?:permissive software|psl|public) ?(?:license)?"], ["1.0", "2.0"]),
         ("sspl", "server side", ["server side public license"], ["1.0", "1"]),
         ("elastic", "elastic", ["elastic license"], ["1.0", "2.0"]),
-        ("rail", "rail", ["(?:big ?science |creativeml )?open rail(?: m)?", "responsible ai license"], ["1.0"]),
+        ("rail", "rail", ["(?:big ?science |creativeml )?open rail(?: m)?", ("responsible ai", "responsible ai license")], ["1.0"]),
         ("wtfpl", "wtfpl", ["wtfpl"], ["1.0", "2.0"]),
         ("zlib", "zlib", ["zlib(?: libpng)? license"], []),
         ("libpng", "libpng", ["libpng license"], []),
         ("isc", "isc", ["isc license"], []),
         ("unlicense", "unlicense", ["(?:the )?unlicense"], []),
         ("mit", "mit licen", ["mit licen[cs]e"], []),
+        ("mit", "mit x11", ["mit x11 licen[cs]e"], []),
         ("mit", "mit style", ["mit style licen[cs]e"], []),
         ("mit", "expat", ["expat licen[cs]e"], []),
         ("x11", "x11", ["x11 license", "mit x11"], []),
@@ -100,38 +101,43 @@ def _rules() -> list[Rule]:
         ("beerware", "beerware", ["beerware(?: license)?"], ["42"]),
         ("beerware", "beer ware", ["beer ware(?: license)?"], ["42"]),
         ("json", "json", ["json license"], []),
-        ("cc0", "cc0", ["cc0", "creative commons zero", "cc zero"], ["1.0"]),
+        ("cc0", "cc0", ["cc0", ("creative commons", "creative commons zero"), ("cc zero", "cc zero")], ["1.0"]),
         ("cc0", "creative commons", ["creative commons (?:cc)?0", "creative commons zero", "creative commons public domain dedication"], ["1.0"]),
     ]
     kinds = [("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?deriv(?:ative)?s?(?: works)?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?")]
     for kind, long in kinds:
-        families.append((f"cc-{kind}", "cc by", [f"cc {kind.replace('-', ' ')}"], ["1.0", "2.0", "2.5", "3.0", "4.0"]))
+        families.append((f"cc-{kind}", "cc by", [f"cc {kind.replace('-', ' ')}", ("ccby", f"cc{kind.replace('-', ' ')}")], ["1.0", "2.0", "2.5", "3.0", "4.0"]))
         families.append((f"cc-{kind}", "creative commons", [f"creative commons {long}", f"creative commons {kind.replace('-', ' ')}"], ["1.0", "2.0", "2.5", "3.0", "4.0"]))
     for n, clause in ((0, "zero"), (2, "simplified"), (3, "new|revised|modified"), (4, "original|old")):
         families.append((f"bsd-{n}-clause", "bsd", [f"(?:bsd {n} clause|{n} clause bsd|(?:{clause}) bsd)(?: licen[cs]e)?"], []))
-    families.append(("bsd", "bsd", ["bsd(?: style)? licen[cs]e", "berkeley software distribution licen[cs]e"], []))
+    families.append(("bsd", "bsd", ["bsd(?: style)? licen[cs]e", ("berkeley software", "berkeley software distribution licen[cs]e")], []))
 
     found: list[tuple[int, str, str, str]] = []
-    for label, keyword, names, versions in families:
-        name = f"(?:{'|'.join(names)})"
-        for v in versions:
-            words = v.replace(".", " ")
-            full = f"{label}-{v if '.' in v or label == 'beerware' else v + '.0'}"
-            mark = "(?:version |ver |v |release )?v?"
-            tail = " ?(?:international|generic|unported)?(?: (?:public )?licen[cs]e)?" if label.startswith("cc") else "(?: licen[cs]e)?"
-            ending = f"{words}(?! \\d)" if "." not in v else words
-            found.append((1, keyword, full, f"{notice}{name} {mark}{ending}{tail}"))
-            found.append((2, keyword, full, f"{name} ?{mark}{ending}{tail}"))
-        found.append((1, keyword, label, f"{notice}{name}"))
-        if len(names[0].replace("(?:", "")) > 5 or not versions:
-            found.append((3, keyword, label, name))
+    for label, first, all_names, versions in families:
+        own: dict[str, list[str]] = {}
+        for x in all_names:
+            own.setdefault(first if isinstance(x, str) else x[0], []).append(x if isinstance(x, str) else x[1])
+        alone = len(own[first][0].replace("(?:", "")) > 5 or not versions
+        for keyword, names in own.items():
+            name = f"(?:{'|'.join(names)})"
+            for v in versions:
+                words = v.replace(".", " ")
+                full = f"{label}-{v if '.' in v or label == 'beerware' else v + '.0'}"
+                mark = "(?:version |ver |v |release )?v?"
+                tail = " ?(?:international|generic|unported)?(?: (?:public )?licen[cs]e)?" if label.startswith("cc") else "(?: licen[cs]e)?"
+                ending = f"{words}(?! \\d)" if "." not in v else words
+                found.append((1, keyword, full, f"{notice}{name} {mark}{ending}{tail}"))
+                found.append((2, keyword, full, f"{name} ?{mark}{ending}{tail}"))
+            found.append((1, keyword, label, f"{notice}{name}"))
+            if alone:
+                found.append((3, keyword, label, name))
     texts = [
         ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
         ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
         ("bsd", "redistribution and use", "redistribution and use in source and binary forms"),
         ("gpl", "free software", "free software you can redistribute it and or modify it under the terms"),
         ("zlib", "provided as is", "this software is provided as is without any express or implied warranty in no event will the authors"),
-        ("boost", "boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+        ("boost", "permission is hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
         ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
         ("wtfpl", "do what the", "do what the fuck you want to public license"),
         ("public-domain", "public domain", "(?:dedicated to|placed in(?:to)?|in|into) the public domain"),
@@ -153,7 +159,7 @@ BASE_WEIGHT = 0.8
 
 
 #: Keywords that stand as whole words only; others can go on, as gpl does in gplv3.
-_WHOLE = {r.keyword for r in RULES if len(r.keyword) <= 5 and not r.keyword.endswith("gpl")}
+_WHOLE = {r.keyword for r in RULES if len(r.keyword) <= 5 and not r.keyword.endswith("gpl")} - {"asl", "mpl", "cddl", "eupl", "wtfpl", "rail", "cc0", "ccby", "cc by"}
 
 
 def _keyword(keyword: str) -> str:
