@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tests.llm.fixtures import odd, rows, table
+from tests.llm.fixtures import odd, prose, rows, table
 from tidemark.llm import audio, induced_sort, line_dedup, suffix_dedup
 from tidemark.llm import _common as C
 
@@ -72,6 +72,30 @@ def test_repeats_equal_brute_force(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == sorted(brute_repeats(data))
 
 
+def periodic(seed):
+    """A text that repeats a unit of 2 to 420 characters between other characters, every second one barely."""
+    rng = np.random.default_rng(seed)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    unit = letters(2 + seed % 419)
+    size = len(unit) + 400 + int(rng.integers(1, 40)) if seed % 2 else int(rng.integers(401, 1200))
+    return letters(int(rng.integers(0, 400))) + (unit * (1300 // len(unit) + 2))[:size] + letters(int(rng.integers(0, 400)))
+
+
+def test_repeats_of_periodic_texts_equal_brute_force(spark):
+    data = [(i, periodic(i)) for i in range(1500)] + [(2000, prose(90, 9000) + periodic(7) * 3 + prose(91, 9000))]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(8)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == sorted(brute_repeats(data))
+
+
+def test_places_of_a_key_are_counted_without_a_bound():
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 9, 500).astype(np.uint64)
+    lo = rng.integers(0, 400, 80)
+    hi, wanted = lo + rng.integers(0, 150, 80), rng.integers(0, 9, 80).astype(np.uint64)
+    exact = [int((g[a:b] == v).sum()) for v, a, b in zip(wanted, lo, hi, strict=True)]
+    assert suffix_dedup._places_within(g, wanted, lo, hi).tolist() == exact
+
+
 def test_repeats_of_odd_rows(spark):
     df = odd(spark).withColumn("text", C.F.repeat("text", 40))
     out = suffix_dedup.remove_repeats(df, as_text=True).collect()

@@ -66,6 +66,15 @@ def _rows(batch, text="text"):
         yield i, data[offsets[i] : offsets[i + 1]]
 
 
+def _places_within(g: np.ndarray, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each i, how many places p with lo[i] <= p < hi[i] have g[p] = wanted[i]."""
+    values, of = np.unique(wanted, return_inverse=True)
+    at = np.minimum(np.searchsorted(values, g), len(values) - 1)
+    places = np.flatnonzero(values[at] == g)
+    ordered = np.sort(at[places] * (len(g) + 1) + places)
+    return np.searchsorted(ordered, of * (len(g) + 1) + np.minimum(hi, len(g))) - np.searchsorted(ordered, of * (len(g) + 1) + lo)
+
+
 def _stretches(batches):
     """A row for each stretch of windows with one key, with the number of runs that have the key's hash."""
     for whole in batches:
@@ -74,15 +83,7 @@ def _stretches(batches):
             for i, data in _rows(batch):
                 for base, g, w in keys(data):
                     a, e = runs(w)
-                    hits = np.flatnonzero(np.isin(g, w[a]))
-                    # runs within a stretch's windows that have its key
-                    owner = np.searchsorted(a, hits, side="right") - 1
-                    n = np.zeros(len(a), dtype=np.int64)
-                    for back in range(3):  # a run can lie in the windows of the stretch before
-                        k = owner - back
-                        ok = (k >= 0) & (hits < e[np.maximum(k, 0)] + WIDTH - GRAM)
-                        ok[ok] &= g[hits[ok]] == w[a[k[ok]]]
-                        n += np.bincount(k[ok], minlength=len(a))
+                    n = _places_within(g, w[a], a, e + WIDTH - GRAM)
                     out.append((np.full(len(a), i), w[a], a + base, e + base, np.maximum(n, 1)))
             if out:
                 row, key, a, e, n = (np.concatenate(x) for x in zip(*out, strict=True))
