@@ -15,6 +15,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
