@@ -82,6 +82,45 @@ def test_fingerprint_collisions_estimate_the_generalised_jaccard():
     assert fingerprints.likeness(f, g) == pytest.approx(exact, abs=0.09)
 
 
+def test_fingerprints_of_unrelated_texts_differ_whatever_their_length():
+    rng = np.random.default_rng(4)
+    for n in (50, 2000, 100_000):
+        x, y = (" ".join(f"{c}{v}" for v in rng.integers(0, 10**9, n)) for c in "xy")
+        f, g, h = fingerprints.fingerprints(pa.array([x, y, x]), 512)
+        assert fingerprints.likeness(f, g) < 0.02 and (f == h).all()
+
+
+def test_collisions_equal_the_generalised_jaccard_on_average():
+    errors = []
+    for seed in range(12):
+        x = prose(seed, 1500, 8)
+        y = edited(x, seed, 60 + 50 * seed).replace("z", "a")
+        a, b = ({} for _ in "ab")
+        for out, t in ((a, x), (b, y)):
+            w = t.split(" ")
+            for pair in zip(w, w[1:], strict=False):
+                out[pair] = out.get(pair, 0) + 1
+        exact = sum(min(a.get(k, 0), b.get(k, 0)) for k in a | b) / sum(max(a.get(k, 0), b.get(k, 0)) for k in a | b)
+        f, g = fingerprints.fingerprints(pa.array([x, y]), 2048)
+        errors.append(fingerprints.likeness(f, g) - exact)
+    assert abs(np.mean(errors)) < 0.015 and max(map(abs, errors)) < 0.05
+
+
+def test_a_text_has_one_fingerprint_whatever_stands_beside_it():
+    many = [t for t in (r[1] for r in rows()) if t]
+    together = fingerprints.fingerprints(pa.array(many))
+    for i, t in enumerate(many):
+        assert (fingerprints.fingerprints(pa.array([t]))[0] == together[i]).all()
+
+
+def test_near_edited_and_near_next_follow_the_texts(spark):
+    data = [(i, prose(300 + i, 400, 10**6), None, None, None) for i in range(6)] + [(9, prose(305, 400, 10**6), None, None, None)]
+    out = {r.doc_id: r for r in fingerprints.edited_likeness(table(spark, data)).collect()}
+    assert out[5].near_next == 1.0 and all(out[i].near_next < 0.1 for i in range(5))
+    # three of four quarters are shared: about 300 of 500 pairs
+    assert all(0.35 < r.near_edited < 0.85 for i, r in out.items() if i != 5) and out[5].near_edited > 0.35
+
+
 def test_packing(spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     data = [*rows(), (900, "a<|endoftext|>b", None, None, None)]

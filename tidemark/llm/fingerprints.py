@@ -9,8 +9,10 @@ The chance that two documents have the same sample equals the generalised Jaccar
 the sum of the lesser weights over the sum of the greater. For w = 1, t is 0, so ln c + r (b - 1) is kept for each
 term, and other weights take r t from it.
 
-Draws are kept for 2 ** TERM_BITS hashed terms (three tables of 4 K bytes a term in a worker); two terms of a document
-in one slot count as one. A fingerprint is a string of 4 hexadecimal digits for each sample.
+The draws of a term come from a hash of it and of the sample's number, which chooses one of 2 ** TABLE_BITS triples (c,
+r, b). Terms themselves are 64-bit hashes, and two that have one triple for a sample are still two terms, whatever the
+length of a text: of equal ln a the term of the lesser hash stands. Terms are taken BLOCK at a time, so a text of any length takes
+bounded memory. A fingerprint is a string of 4 hexadecimal digits for each sample.
 """
 
 from __future__ import annotations
@@ -25,57 +27,101 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-SAMPLES, TERM_BITS = 64, 16
-_tables: dict[int, tuple[np.ndarray, ...]] = {}
+SAMPLES, TABLE_BITS, BLOCK = 64, 16, 2048
+#: Bytes of text of a share of the order of documents.
+SHARE = 32 << 20
+_U64 = np.uint64
 
 
-def tables(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ln a at weight 1, r, and b, for each slot and sample."""
-    if samples not in _tables:
-        rng = np.random.Generator(np.random.PCG64(977))
-        shape = (1 << TERM_BITS, samples)
-        draw = lambda: rng.random(shape, dtype=np.float32) * np.float32(0.9999999) + np.float32(1e-7)
-        r = -np.log(draw() * draw())
-        log_c = np.log(-np.log(draw() * draw()))
-        b = rng.random(shape, dtype=np.float32)
-        _tables[samples] = (log_c + r * (b - 1), r, b)
-    return _tables[samples]
+def _gamma(u: np.ndarray) -> np.ndarray:
+    """Where a gamma(2, 1) variable exceeds a share ``u`` of its values: (1 + x) exp(-x) = 1 - u, by Newton's method for
+    the logarithm of both sides, which is concave."""
+    x = np.full(len(u), 1e-3)
+    for _ in range(60):
+        x = np.maximum(x + (np.log1p(x) - x - np.log1p(-u)) * (1 + x) / x, 1e-9)
+    return x
 
 
-def term_sets(array: pa.Array):
-    """Slots and weights of each row's terms."""
+def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln c + r (b - 1); r; b. Evenly spread over the distributions (by an additive sequence in three dimensions), so
+    that the table as a whole favours no weight."""
+    i = np.arange(1 << TABLE_BITS) + 0.5
+    root = 1.2207440846057596  # of x ** 4 = x + 1
+    c, r = _gamma(i / root % 1), _gamma(i / root**2 % 1)
+    b = i / root**3 % 1
+    return (np.log(c) + r * (b - 1)).astype(np.float32), r.astype(np.float32), b.astype(np.float32)
+
+
+_AT_ONE, _R, _B = _draws()
+#: Two numbers for each sample that make its hash of a term.
+_SAMPLE = np.random.Generator(np.random.PCG64(978)).integers(0, 2**32, (2, 4096, 1), dtype=np.uint32)
+_SAMPLE[1] |= np.uint32(1)
+_NONE, _ONE = np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.int64)
+
+
+def term_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and weights of all rows' terms, ascending in each row, and the place of each row's first."""
     data, offsets = C.text_bytes(array)
     starts, ends, first = C.words(data, offsets)
     codes = C.word_hashes(data, starts, ends)
-    slots = (C.run_hashes(codes, 2) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    pairs = C.run_hashes(codes, 2)
+    terms, weights = [], []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= 2:
-            yield np.unique(slots[a : b - 1], return_counts=True)
+            t, w = np.unique(pairs[a : b - 1], return_counts=True)
         else:
-            yield np.array([int(codes[a] >> np.uint64(64 - TERM_BITS)) if b > a else 0]), np.array([1])
-
-
-def signature(slots: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
-    """16 bits for each sample, of the chosen term and its t."""
-    at_one, r, b = tables(samples)
-    log_a = at_one[slots]
-    more = np.flatnonzero(weights > 1)
-    t = None
-    if len(more):
-        rm = r[slots[more]]
-        t = np.floor(np.log(weights[more]).astype(np.float32)[:, None] / rm + b[slots[more]])
-        log_a[more] -= rm * t
-    best = log_a.argmin(axis=0)
-    level = np.zeros(samples, dtype=np.uint64)
-    if t is not None:
-        at = np.searchsorted(more, best)
-        hit = (at < len(more)) & (more[np.minimum(at, len(more) - 1)] == best)
-        level[hit] = t[at[hit], np.flatnonzero(hit)].astype(np.int64).astype(np.uint64)
-    return (C.mix(slots[best].astype(np.uint64) * np.uint64(0x100000001B3) + level) >> np.uint64(48)).astype(np.uint16)
-
-
-def fingerprints(array: pa.Array, samples: int = SAMPLES) -> list[np.ndarray]:
-    return [signature(slots, weights, samples) for slots, weights in term_sets(array)]
+            t, w = (C.mix(codes[a:b]) if b > a else _NONE), _ONE
+        terms.append(t)
+        weights.append(w)
+    at = np.cumsum([0, *map(len, terms)])[:-1]
+    return np.concatenate(terms), np.concatenate(weights), at
+
+
+def _slots(terms: np.ndarray, which: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> np.ndarray:
+    """The triple of each term for samples with the numbers ``which``; x and y are room to work in."""
+    x = np.bitwise_xor((terms >> _U64(32)).astype(np.uint32), which[0], out=x)
+    x *= which[1]
+    x ^= np.right_shift(x, np.uint32(15), out=y)
+    x *= np.uint32(0x85EBCA6B)
+    x >>= np.uint32(32 - TABLE_BITS)
+    return x
+
+
+def _levels(weights: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(weights).astype(np.float32) / _R[of] + _B[of])
+
+
+def fingerprints(array: pa.Array, samples: int = SAMPLES) -> np.ndarray:
+    """A row of samples for each text: 16 bits of the term with the least ln a, and of its t."""
+    if not len(array):
+        return np.zeros((0, samples), np.uint16)
+    terms, weights, at = term_sets(array)
+    which = _SAMPLE[:, :samples]
+    least = np.full((len(at), samples), np.inf, dtype=np.float32)
+    best = np.zeros((len(at), samples), dtype=np.int64)
+    rooms = [np.empty(samples * BLOCK, kind) for kind in (np.uint32, np.uint32, np.intp, np.float32)]
+    every = np.arange(samples)
+    for i in range(0, len(terms), BLOCK):
+        some = terms[i : i + BLOCK]
+        x, y, of, log_a = (r[: samples * len(some)].reshape(samples, len(some)) for r in rooms)
+        of[...] = _slots(some, which, x, y)
+        _AT_ONE.take(of, out=log_a, mode="clip")
+        more = np.flatnonzero(weights[i : i + BLOCK] > 1)
+        if len(more):
+            log_a[:, more] -= _R[of[:, more]] * _levels(weights[i + more], of[:, more])
+        first, stop = np.searchsorted(at, i, side="right") - 1, np.searchsorted(at, i + len(some))
+        cuts = [0, *(at[first + 1 : stop] - i), len(some)]
+        for d, a, b in zip(range(first, stop), cuts[:-1], cuts[1:], strict=True):
+            k = log_a[:, a:b].argmin(axis=1) + a
+            value = log_a[every, k]
+            less = value < least[d]
+            least[d][less] = value[less]
+            best[d][less] = k[less] + i
+    term, weight = terms[best], weights[best]
+    level = np.zeros(best.shape, dtype=np.uint64)
+    d, k = np.nonzero(weight > 1)
+    level[d, k] = _levels(weight[d, k], _slots(term[d, k], which[:, k, 0])).astype(np.int64).astype(np.uint64)
+    return (C.mix(term * _U64(0x100000001B3) + level) >> _U64(48)).astype(np.uint16)
 
 
 def to_text(f: np.ndarray) -> str:
@@ -94,26 +140,31 @@ def likeness_column(x, y, samples: int = SAMPLES):
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", samples: int = SAMPLES) -> DataFrame:
-    """Adds the fingerprint of ``text``; null counts as empty. Other columns stay as they are."""
+    """Adds the fingerprint of ``text`` as ``out``; null counts as empty. Other columns stay, but for one that is named
+    like ``out``."""
+    docs = C.without(docs, out)
 
     def run(batches):
         for whole in batches:
             for batch in C.slices(whole, text):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(to_text, fingerprints(batch.column(text), samples))), pa.string())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, f"{docs.drop(out)._jdf.schema().toDDL()}, `{out}` string")
+    return docs.mapInArrow(run, C.schema_with(docs, f"`{out}` string"))
 
 
 def with_next(docs: DataFrame, shares: int | None = None) -> DataFrame:
-    """(share, own, doc_id, text), partitioned by share and sorted within partitions, so that each document's next one
-    follows it: each share of the order of doc_id (equal ids: of the text) also has the first document of the next
-    share, with own = false, and the last share that of the first.
+    """(share, own, doc_id, text), a partition for each share, sorted, so that each document's next one follows it: each
+    share of the order of doc_id (equal ids: of the text) also has the first document of the next share, with own =
+    false, and the last share that of the first.
 
-    Only as many bounds as there are shares reach the driver. A null doc_id comes first.
+    Shares have about SHARE bytes of text each, however large the table. Only as many bounds as there are shares reach
+    the driver. A null doc_id comes first.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shares = shares or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shares:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shares = max(size // SHARE + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / shares for i in range(1, shares)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(bounds, dtype=np.int64))
 
@@ -128,7 +179,7 @@ def with_next(docs: DataFrame, shares: int | None = None) -> DataFrame:
     look = spark.createDataFrame(ahead or [(0, None)], "share int, low long")  # a row for each share
     rows = docs.withColumn("share", share_of("doc_id")).select("share", F.lit(True).alias("own"), "doc_id", "text")
     extra = docs.join(F.broadcast(look), docs.doc_id.eqNullSafe(look.low)).select("share", F.lit(False).alias("own"), "doc_id", "text")
-    return rows.unionByName(extra).repartition(shares, "share").sortWithinPartitions("share", F.desc("own"), F.asc_nulls_first("doc_id"), "text")
+    return rows.unionByName(extra).repartitionById(len(cuts) + 1, F.col("share")).sortWithinPartitions("share", F.desc("own"), F.asc_nulls_first("doc_id"), "text")
 
 
 def _pairs(samples: int):
