@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Most bytes of text that one vectorised step takes; a longer text is a step of its own.
@@ -21,6 +22,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Each name, with as many underscores after it as it takes to differ from all columns, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without its columns of these names, whatever their case; what takes their place is about to come."""
+    gone = {n.lower() for n in names}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in gone))
+
+
+def schema_with(docs: DataFrame, more: str) -> StructType:
+    """The schema of ``docs`` and the columns of the DDL string ``more``."""
+    return StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a folder of this process, as in tests;
+    on a cluster no machine-local folder can stand in, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 class Workspace:
     """A folder for intermediate tables in the shared checkpoint folder of the cluster.
 
@@ -28,11 +63,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", "")
-        if not base:
-            base = tempfile.mkdtemp(prefix="tidemark-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.root = spark, f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")

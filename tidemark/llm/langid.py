@@ -173,12 +173,14 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and rejected to ``docs``; reads ``text`` alone.
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds lang_pred, score (0 to 1) and rejected to ``docs``, under ``names``; reads ``text`` alone.
 
     A null text and one without a letter are undetermined with score 0, and rejected. Without a learned language all
-    are.
+    are. Of equally near languages the first in order of name stands. Every row is predicted by itself, from its whole
+    text, so repeated rows get the same. Other columns stay, but for those that have one of ``names``.
     """
+    docs = C.without(docs, *names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size for each language
 
     def run(batches):
@@ -195,12 +197,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
                         of = m.of[best]
                         rejected = ~letters | (score < m.reached(of, (v > 0).sum(axis=1)))
-                        names = [m.languages[k] if ok else UNDETERMINED for k, ok in zip(of, letters, strict=True)]
+                        found = [m.languages[k] if ok else UNDETERMINED for k, ok in zip(of, letters, strict=True)]
                     else:
-                        score, rejected, names = np.zeros(len(part)), np.ones(len(part), bool), [UNDETERMINED] * len(part)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names, "lang_pred", "score", "rejected"])
+                        score, rejected, found = np.zeros(len(part)), np.ones(len(part), bool), [UNDETERMINED] * len(part)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{docs.drop('lang_pred', 'score', 'rejected')._jdf.schema().toDDL()}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, C.schema_with(docs, "`{}` string, `{}` double, `{}` boolean".format(*names)))
 
 
 def held_out(modulus: int, remainder: int):

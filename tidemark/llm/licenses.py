@@ -234,36 +234,38 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> Data
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and detections to ``docs``.
 
     detections: array<struct<start, stop, level, label>> in words. Null and empty texts have no words and no labels
-    (empty strings), null places and score 0. Rows are independent of each other, so repeated rows and clashing
-    columns other than those named make no difference.
+    (empty strings), null places and score 0. Rows are independent of each other, so repeated rows get equal results. Of
+    detections with one interval and class, that of the earlier rule stays. Other columns stay, but for those that have
+    the name of a new one: the new one takes their place.
     """
+    docs = C.without(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
+    of_words, of_base_places, of_kept = C.free(docs.columns, "words", "base", "kept")
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select("*", _count(raw).alias("n_words"), F.when(F.regexp_like(raw, F.lit(ANY_KEYWORD)), _line(raw)).alias("_line"))
-    line = F.col("_line")
+    rows = docs.select("*", _count(raw).alias("n_words"), F.when(F.regexp_like(raw, F.lit(ANY_KEYWORD)), _line(raw)).alias(of_words))
+    line = F.col(of_words)
     names = F.array(*[F.lit(r.label) for r in rules])
 
-
     def base_places(phrase: str, label: str) -> Column:
         return F.transform(_places(line, F.lit(phrase)), lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))
 
     base = F.flatten(F.array(*[base_places(phrase, label) for phrase, label in BASE]))
-    rows = rows.withColumn("_base", F.when(line.isNotNull(), base)).withColumn("_kept", F.when(line.isNotNull(), _kept(_detections(line, rules))))
+    rows = rows.withColumn(of_base_places, F.when(line.isNotNull(), base)).withColumn(of_kept, F.when(line.isNotNull(), _kept(_detections(line, rules))))
     label_of = lambda x: F.element_at(names, x["rank"] + 1)
-    of_base = F.transform("_base", lambda x: x["label"])
+    of_base = F.transform(of_base_places, lambda x: x["label"])
     joined = lambda labels: F.coalesce(F.array_join(F.array_sort(F.array_distinct(labels)), ","), F.lit(""))
-    best = F.array_min(F.transform("_kept", lambda x: x["level"]))
+    best = F.array_min(F.transform(of_kept, lambda x: x["level"]))
     weight = F.when(best == 1, WEIGHT[1]).when(best == 2, WEIGHT[2]).when(best == 3, WEIGHT[3]).otherwise(0.0)
     return rows.withColumns(
         {
-            "n_base": F.when(line.isNull(), F.lit(0)).otherwise(F.size("_base")).cast("long"),
-            "first_word": F.array_min(F.transform("_base", lambda x: x["start"])).cast("long"),
-            "last_word": F.array_max(F.transform("_base", lambda x: x["start"])).cast("long"),
+            "n_base": F.when(line.isNull(), F.lit(0)).otherwise(F.size(of_base_places)).cast("long"),
+            "first_word": F.array_min(F.transform(of_base_places, lambda x: x["start"])).cast("long"),
+            "last_word": F.array_max(F.transform(of_base_places, lambda x: x["start"])).cast("long"),
             "base_labels": joined(of_base),
-            "labels": joined(F.concat(of_base, F.transform("_kept", label_of))),
-            "score": F.greatest(weight, F.when(F.size("_base") > 0, BASE_WEIGHT).otherwise(0.0)),
-            "detections": F.transform("_kept", lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("stop"), x["level"].alias("level"), label_of(x).alias("label"))),
+            "labels": joined(F.concat(of_base, F.transform(of_kept, label_of))),
+            "score": F.greatest(weight, F.when(F.size(of_base_places) > 0, BASE_WEIGHT).otherwise(0.0)),
+            "detections": F.transform(of_kept, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("stop"), x["level"].alias("level"), label_of(x).alias("label"))),
         }
-    ).drop("_line", "_base", "_kept")
+    ).drop(of_words, of_base_places, of_kept)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,14 +150,16 @@ def dedup_lines(docs: DataFrame, name: str = "lines", count: str | None = None)
 
     A null text stays null and an empty one empty. Rows with a null doc_id stay as they are. Rows that share a doc_id
     are one document's copies: a line that goes from one place of it goes from that place of each. Blank lines stay.
-    Other columns are left alone.
+    Other columns are left alone; one that is named like ``count`` gives way to it.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    lists = removed_lines(plain, name).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))  # lines of one document
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(lists, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    return out.select(*docs.columns, *([gone.alias(count)] if count else []))
+    places, key = C.free(docs.columns, "places", "of_doc")
+    lists = removed_lines(plain, name).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("pos").alias(places))  # lines of one document
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(places, i)), "\n")
+    gone = F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("long")
+    others = [c for c in docs.columns if not count or c.lower() != count.lower()]
+    out = docs.join(lists, F.col("doc_id").cast("long") == F.col(key), "left").withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(kept))
+    return out.select(*(F.col(f"`{c}`") for c in others), *([gone.alias(count)] if count else []))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,7 +204,9 @@ def codec(model: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", end: bool = True) -> DataFrame:
-    """Adds ``ids``, array<int>: the ids of ``text``, and an end id. A null text counts as empty."""
+    """Adds ``ids``, array<int>: the ids of ``text``, and an end id. A null text counts as empty. Other columns stay, but
+    for one that is named like ``ids``."""
+    docs = C.without(docs, ids)
 
     def run(batches):
         c = codec(model)
@@ -213,11 +215,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", en
                 got = [[*c.encode(x or ""), c.end] if end else c.encode(x or "") for x in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, f"{docs.drop(ids)._jdf.schema().toDDL()}, `{ids}` array<int>")
+    return docs.mapInArrow(run, C.schema_with(docs, f"`{ids}` array<int>"))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Adds ``text``, the text of ``ids``; null ids give an empty text."""
+    """Adds ``text``, the text of ``ids``; null ids give an empty text. Other columns stay, but for one that is named like
+    ``text``."""
+    docs = C.without(docs, text)
 
     def run(batches):
         c = codec(model)
@@ -225,7 +229,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
             got = [c.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, text])
 
-    return docs.mapInArrow(run, f"{docs.drop(text)._jdf.schema().toDDL()}, `{text}` string")
+    return docs.mapInArrow(run, C.schema_with(docs, f"`{text}` string"))
 
 
 def round_trip_digests(docs: DataFrame, model: str) -> DataFrame:

@@ -240,23 +240,26 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, name: str = "suffixes", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, name: str = "suffixes", as_text: bool = False, width: int = WIDTH) -> DataFrame:
     """``docs`` with kept (binary, the bytes that stay), n_bytes, n_removed and n_spans (longs: maximal removed runs).
     With ``as_text``, kept is a string, without the bytes of characters that a cut went through.
 
     A null text counts as empty. Rows with the same doc_id and text are separate places of that text, so texts of
-    WIDTH bytes or more that are there twice go altogether. Null doc_ids are as good as any. Other columns stay.
+    ``width`` bytes or more that are there twice go altogether. Null doc_ids are as good as any. Other columns stay, but
+    for those that have the name of a new one: the new one takes their place.
     """
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": F.xxhash64("text")})
-    spans = _repeated(C.Workspace(docs.sparkSession, name), keyed.where("text is not null").select(F.col("_d").alias("d"), F.col("_h").alias("h"), "text"))
-    joined = keyed.join(spans.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans")), ["_d", "_h"], "left").select(*docs.columns, "_spans")
+    docs = C.without(docs, "kept", "n_bytes", "n_removed", "n_spans")
     columns = docs.columns
+    d, h, cuts = C.free(columns, "d", "h", "spans")
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), h: F.xxhash64("text")})
+    spans = _repeated(C.Workspace(docs.sparkSession, name), keyed.where("text is not null").select(F.col(d).alias("d"), F.col(h).alias("h"), "text"), width)
+    joined = keyed.join(spans.select(F.col("d").alias(d), F.col("h").alias(h), F.col("spans").alias(cuts)), [d, h], "left").select(*columns, cuts)
 
     def run(batches):
         for whole in batches:
             for batch in C.slices(whole, "text"):
                 kept, n, gone, count = [], [], [], []
-                for text, spans_ in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                for text, spans_ in zip(batch.column("text").to_pylist(), batch.column(cuts).to_pylist(), strict=True):
                     data, cut, at = (text or "").encode(), merged(spans_), 0
                     parts = []
                     for a, b in cut:
@@ -269,7 +272,7 @@ def remove_repeats(docs: DataFrame, name: str = "suffixes", as_text: bool = Fals
                     count.append(len(cut))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(run, C.schema_with(docs, f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,9 @@ def score_texts(array: pa.Array, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5 up); reads ``text`` alone. Null and empty texts hold no feature
-    and have the score of the bias."""
+    and have the score of the bias. Every row is scored by itself, so repeated rows have equal scores. Other columns stay,
+    but for those named score or predicted."""
+    docs = C.without(docs, "score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 s = score_texts(batch.column(text), shared.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{docs.drop('score', 'predicted')._jdf.schema().toDDL()}, score double, predicted int")
+    return docs.mapInArrow(run, C.schema_with(docs, "score double, predicted int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
