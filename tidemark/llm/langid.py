@@ -8,22 +8,26 @@ undetermined. Since the cosine grows with the number of different n-grams, that
 is measured on pieces of several lengths of every ``HOLD``-th labelled text, which the centroids have not seen.
 
 The model is fitted on at most ``TRAIN`` labelled texts (those of the least hashed ids, as many for each language as
-there are, up to an equal share) and the least ``TRAIN_CHARS`` characters of each; predictions read whole texts.
+there are, up to an equal share). Whole texts are read, in training as in predictions; training texts become counts and
+a few pieces on the executors, so that no more than ``TRAIN`` rows of bounded size reach the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _common as C
 
-#: Bounds of the training sample: texts, and characters of each.
-TRAIN, TRAIN_CHARS = 4000, 20_000
+#: Most texts of the training sample.
+TRAIN = 4000
 #: With 2^15 slots the n-grams of unlearned languages and junk hardly meet learned ones by chance.
 DIM_BITS, GRAMS, CENTROIDS, ROUNDS = 15, (2, 3, 4), 4, 12
 #: A text is rejected when its cosine is under this quantile of those of pieces with as many n-grams, of its language.
@@ -89,22 +93,43 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1e-9)
 
 
-def _pieces(texts: list[str], size: int, seed: int) -> list[str]:
-    """A piece of about ``size`` bytes of each text that has so many, if there is a letter in it."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    found = []
-    for raw in (t.encode() for t in texts):
-        if len(raw) >= size:
-            at = int(rng.integers(len(raw) - size + 1))
-            found.append(raw[at : at + size].decode(errors="ignore"))
-    return [x for x in found if _has_letter(x)]
+@dataclass
+class Sample:
+    """What training keeps of a text: its language, the n-grams it holds with the logarithms of their counts, and a piece
+    of each of the lengths PIECES that it has."""
+
+    language: str
+    slots: np.ndarray
+    values: np.ndarray
+    pieces: list[str | None]
+
+
+def _pieces(text: str) -> list[str | None]:
+    """A piece of about each size in bytes, at a place that the text decides, if there is a letter in it."""
+    raw = text.encode()
+    rng = np.random.Generator(np.random.PCG64(zlib.crc32(raw)))
+    found: list[str | None] = []
+    for size in PIECES:
+        at = int(rng.integers(max(len(raw) - size, 0) + 1))
+        piece = raw[at : at + size].decode(errors="ignore") if len(raw) >= size else None
+        found.append(piece if _has_letter(piece) else None)
+    return found
+
+
+def samples(texts: pa.Array, languages: list[str]) -> list[Sample]:
+    x = np.concatenate([np.log1p(counts(texts.slice(i, STEP))).astype(np.float16) for i in range(0, len(texts), STEP)])
+    out = []
+    for row, text, language in zip(x, texts.to_pylist(), languages, strict=True):
+        slots = np.flatnonzero(row)
+        out.append(Sample(language, slots.astype(np.uint16), row[slots], _pieces(text)))
+    return out
 
 
-def _reach(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _reach(spare: list[Sample], idf: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The curve of least cosines, measured on pieces of texts that the centroids have not seen."""
     x, y = [], []
-    for size in PIECES:
-        pieces = _pieces(texts, size, size)
+    for k in range(len(PIECES)):
+        pieces = [p for p in (s.pieces[k] for s in spare) if p is not None]
         if len(pieces) < LEAST // HOLD:
             continue
         cosine, grams = [], []
@@ -118,55 +143,64 @@ def _reach(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> tuple[np
 
 
 def fit(texts: list[str], languages: list[str]) -> Model:
+    return fit_samples(samples(pa.array(texts, pa.string()), languages) if texts else [])
+
+
+def fit_samples(found: list[Sample]) -> Model:
     """A language with fewer texts than centroids gets a centroid for each of them."""
-    names = sorted(set(languages))
+    names, dim = sorted({s.language for s in found}), 1 << DIM_BITS
     if not names:
-        return Model([], np.zeros(0, int), np.ones(1 << DIM_BITS, np.float32), np.zeros((0, 1 << DIM_BITS), np.float32), [])
-    x = np.empty((len(texts), 1 << DIM_BITS), np.float16)
-    having = np.zeros(1 << DIM_BITS)
-    for i in range(0, len(x), STEP):
-        x[i : i + STEP] = vectors(pa.array(texts[i : i + STEP], pa.string()))
-        having += (x[i : i + STEP] > 0).sum(axis=0)
-    idf = (np.log((1 + len(x)) / (1 + having)) + 1).astype(np.float32)
+        return Model([], np.zeros(0, int), np.ones(dim, np.float32), np.zeros((0, dim), np.float32), [])
+    having = np.zeros(dim)
+    for s in found:
+        having[s.slots] += 1
+    idf = (np.log((1 + len(found)) / (1 + having)) + 1).astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(8))
-    y = np.array([names.index(v) for v in languages])
     centroids, of, least = [], [], []
-    for k in range(len(names)):
-        rows = np.flatnonzero(y == k)
-        spare = rows[HOLD - 1 :: HOLD] if len(rows) >= LEAST else rows[:0]
-        rows = np.setdiff1d(rows, spare)
-        own = np.empty((len(rows), 1 << DIM_BITS), np.float32)
-        for i in range(0, len(rows), STEP):
-            own[i : i + STEP] = scaled(x[rows[i : i + STEP]] * idf)
+    for k, name in enumerate(names):
+        rows = [s for s in found if s.language == name]
+        spare = rows[HOLD - 1 :: HOLD] if len(rows) >= LEAST else []
+        rows = [s for i, s in enumerate(rows) if not spare or i % HOLD != HOLD - 1]
+        own = np.zeros((len(rows), dim), np.float32)
+        for i, s in enumerate(rows):
+            own[i, s.slots] = s.values * idf[s.slots]
+        own /= np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own))[:, None], 1e-9)
         c = own[np.sort(rng.permutation(len(own))[:CENTROIDS])]
         for _ in range(ROUNDS):
             at = (own @ c.T).argmax(axis=1)
             c = scaled(np.stack([own[at == j].sum(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
         centroids.append(c)
         of += [k] * len(c)
-        if len(spare):
-            least.append(_reach([texts[i] for i in spare], idf, c.astype(np.float32)))
+        if spare:
+            least.append(_reach(spare, idf, c.astype(np.float32)))
         else:
             least.append((np.zeros(1), np.full(1, (own @ c.T).max(axis=1).min() * REJECT_SHARE)))
     return Model(names, np.array(of), idf, np.concatenate(centroids).astype(np.float32), least)
 
 
+def _sampled(batches):
+    for whole in batches:
+        for batch in C.slices(whole, "text"):
+            for at in range(0, len(batch), STEP):
+                part = batch.slice(at, STEP)
+                got = samples(part.column("text"), part.column("lang").to_pylist())
+                binary = lambda xs: pa.array([x.tobytes() for x in xs], pa.binary())
+                order = [hashlib.md5((x or "").encode(), usedforsecurity=False).digest() for x in part.column("text").to_pylist()]
+                yield pa.record_batch([part.column("doc_id"), pa.array(order, pa.binary()), part.column("lang"), binary(s.slots for s in got), binary(s.values for s in got), pa.array([s.pieces for s in got], pa.list_(pa.string()))], names=["doc_id", "digest", "lang", "slots", "weights", "pieces"])
+
+
 def train(docs: DataFrame, allowed) -> Model:
-    """Fits on rows with a non-null lang and text for which the column ``allowed`` holds."""
-    ids = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    languages = sorted(r.lang for r in ids.select("lang").distinct().collect())  # labels
-    share = max(1, TRAIN // max(1, len(languages)))
-    sample = ids.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(8)).alias("h"))
-    parts = [sample.where(F.col("lang") == v).orderBy("h", "doc_id").limit(share).select("doc_id") for v in languages]
-    if not parts:
-        return fit([], [])
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
-    rows = docs.join(F.broadcast(chosen.distinct()), "doc_id").where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = rows.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").collect()  # at most TRAIN rows
-    got = sorted(got, key=lambda r: (r.doc_id, r.text))[: 2 * TRAIN]  # repeated ids can bring more
-    return fit([r.text for r in got], [r.lang for r in got])
+    """Fits on rows with a non-null lang and text for which the column ``allowed`` of doc_id holds. A doc_id that is
+    there more than once counts as its text of the least digest."""
+    known = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    ids = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(8)).alias("h")).distinct()
+    names = ids.agg(F.count_distinct("lang")).first()[0]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # a limit for each language, applied before the shuffle
+    chosen = ids.withColumn("place", place).where(F.col("place") <= max(1, TRAIN // max(1, names))).select("doc_id").distinct()
+    rows = known.where("text is not null").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, digest binary, lang string, slots binary, weights binary, pieces array<string>")
+    first = F.min(F.struct("digest", "lang", "slots", "weights", "pieces")).alias("r")
+    got = rows.groupBy("doc_id").agg(first).select("doc_id", "r.*").toArrow().sort_by("doc_id")  # at most TRAIN rows
+    return fit_samples([Sample(r["lang"], np.frombuffer(r["slots"], np.uint16), np.frombuffer(r["weights"], np.float16), r["pieces"]) for r in got.to_pylist()])
 
 
 def _has_letter(text: str | None) -> bool:

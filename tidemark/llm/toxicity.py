@@ -5,9 +5,10 @@ before and after the text) that a text holds, each counted once. A feature's val
 r = ln((toxic texts with it + s) / (all toxic + 2 s)) - ln((others with it + s) / (all others + 2 s)). A logistic
 regression on these values, with an L2 penalty, gives the weights.
 
-The model is fitted on at most ``TRAIN`` labelled rows (half of each class, those of the least hashed ids) and at most
-``TRAIN_CHARS`` characters of each; scores read whole texts. Features that fewer than ``LEAST`` training texts hold, and those whose
-log-likelihood ratio between the classes is under ``GAIN``, have no weight.
+The model is fitted on at most ``TRAIN`` labelled rows (half of each class, those of the least hashed ids). Whole texts
+are read, in training as in scores: executors count the features of the sampled texts, and only those features reach the
+driver that at least ``LEAST`` of them hold and whose log-likelihood ratio between the classes is at least ``GAIN``; the
+others have no weight.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 from .langid import _GAP, held_out
 
-#: Bounds of the training sample: labelled rows, and characters of each.
-TRAIN, TRAIN_CHARS = 3000, 12_000
+#: Most labelled rows of the training sample.
+TRAIN = 3000
 DIM_BITS, GRAMS, LEAST, GAIN = 20, (4, 5), 3, 12.0
 SMOOTH, PENALTY, STEPS = 0.5, 3e-4, 300
 
@@ -72,32 +73,40 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _gain(in_toxic, in_all, n1: float, n0: float):
+    """Twice the log-likelihood ratio of features' counts in the two classes."""
+    share = (n1 + n0) / np.array([[n1], [n0]])
+    seen = np.stack([in_toxic, in_all - in_toxic])
+    return 2 * (seen * np.log(np.maximum(seen, 1e-9) * share / np.maximum(in_all, 1))).sum(axis=0)
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Of one class only, or without rows, every score is that class's share (0.5 without rows)."""
-    dim, y = 1 << DIM_BITS, np.array(toxic, dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
-        return Model(np.zeros(dim, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    """The model of texts that are at hand."""
     found = []
     for i in range(0, len(texts), 64):
         f, r = distinct(*hashes(pa.array(texts[i : i + 64], pa.string())))
-        found.append((f.astype(np.int32), (r + i).astype(np.int32)))
-    f, r = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-    del found
-    in_all = np.bincount(f, minlength=dim)
-    in_toxic = np.bincount(f, weights=y[r], minlength=dim)
+        found += [f[r == k].astype(np.int32) for k in range(min(64, len(texts) - i))]
+    y = np.array(toxic, dtype=np.float64)
+    every = np.concatenate(found) if found else np.zeros(0, np.int32)
+    weight = np.repeat(y, [len(f) for f in found])
+    in_all, in_toxic = (np.bincount(every, weights=w, minlength=1 << DIM_BITS) for w in (None, weight))
+    used = np.flatnonzero((in_all >= LEAST) & (_gain(in_toxic, in_all, y.sum(), (1 - y).sum()) >= GAIN)) if 0 < y.sum() < len(y) else np.zeros(0, int)
+    return fit_features([f[np.isin(f, used)] for f in found], y, used, in_toxic[used], in_all[used])
+
+
+def fit_features(found: list[np.ndarray], y: np.ndarray, name: np.ndarray, in_toxic: np.ndarray, in_all: np.ndarray) -> Model:
+    """The model of texts that hold the features ``found``, of those in ``name`` (ascending), which so many toxic texts
+    and so many of all hold. Of one class only, or without rows, every score is that class's share (0.5 without rows).
+    """
+    dim = 1 << DIM_BITS
+    if not len(y) or y.min() == y.max() or not len(name):
+        share = float(y.mean()) if len(y) else 0.5
+        return Model(np.zeros(dim, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     n1, n0 = y.sum(), (1 - y).sum()
     ratio = np.log((in_toxic + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((in_all - in_toxic + SMOOTH) / (n0 + 2 * SMOOTH))
-    # twice the log-likelihood ratio of a feature's counts in the two classes
-    share = (n1 + n0) / np.array([[n1], [n0]])
-    seen = np.stack([in_toxic, in_all - in_toxic])
-    gain = 2 * (seen * np.log(np.maximum(seen, 1e-9) * share / np.maximum(in_all, 1))).sum(axis=0)
-    used = (in_all >= LEAST) & (gain >= GAIN)
-    keep = used[f]
-    f, r = f[keep], r[keep]
-    name = np.flatnonzero(used)
-    f = np.searchsorted(name, f).astype(np.int32)
-    value = ratio[name]
+    r = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+    f = np.searchsorted(name, np.concatenate(found)).astype(np.int32)
+    value = ratio
     # logistic regression by accelerated gradient steps; classes weigh the same
     cost = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, ahead, b = np.zeros(len(name)), np.zeros(len(name)), 0.0
@@ -129,14 +138,53 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return Model(weight, float(-(low + high) / 2))
 
 
+def _counted(batches):
+    """How many of a task's texts, and of its toxic ones, hold each feature."""
+    total = np.zeros((2, 1 << DIM_BITS), dtype=np.int64)
+    for whole in batches:
+        for batch in C.slices(whole, "text"):
+            f, r = distinct(*hashes(batch.column("text")))
+            toxic = np.array(batch.column("toxic").to_pylist(), dtype=np.int64)
+            total[0] += np.bincount(f, minlength=total.shape[1])
+            total[1] += np.bincount(f, weights=toxic[r], minlength=total.shape[1]).astype(np.int64)
+    f = np.flatnonzero(total[0])
+    for i in range(0, len(f), 1 << 16):
+        some = f[i : i + (1 << 16)]
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[0, some]), pa.array(total[1, some])], names=["feature", "n", "toxic"])
+
+
+def _held(used: np.ndarray):
+    def run(batches):
+        for whole in batches:
+            for batch in C.slices(whole, "text"):
+                f, r = distinct(*hashes(batch.column("text")))
+                keep = np.isin(f, used)
+                f, r = f[keep].astype(np.int32), r[keep]
+                yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array([f[r == k].tobytes() for k in range(len(batch))], pa.binary())], names=["doc_id", "toxic", "features"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed) -> Model:
-    """Fits on the rows of ``labels`` with a label toxic for which the column ``allowed`` of doc_id holds."""
-    known = labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Fits on the rows of ``labels`` with a label toxic for which the column ``allowed`` of doc_id holds. Labels of one
+    doc_id count as the greatest of them, texts of one doc_id as the least of them."""
+    known = labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     part = lambda c: known.where(c).orderBy(F.xxhash64(F.col("doc_id"), F.lit(9)), "doc_id").limit(TRAIN // 2)
-    chosen = part("toxic = 1").union(part("toxic <> 1"))
-    rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null")
-    got = sorted(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect(), key=lambda r: r.doc_id)  # at most TRAIN rows
-    return fit([r.text for r in got], [int(r.toxic) for r in got])
+    chosen = part("toxic = 1").union(part("toxic <> 1")).select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = C.Workspace(docs.sparkSession, "toxicity").save(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")  # at most TRAIN rows
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = rows.mapInArrow(_counted, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST)
+    n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
+    if n1 and n0:
+        part_of = lambda seen, total: F.when(seen > 0, seen * F.log(seen * F.lit(float(n1 + n0)) / (F.lit(float(total)) * F.col("n")))).otherwise(0.0)
+        counts = counts.where(2 * (part_of(F.col("toxic"), n1) + part_of(F.col("n") - F.col("toxic"), n0)) >= GAIN)
+        got = counts.toArrow().sort_by("feature")  # of at most 2 ** DIM_BITS features
+        name, in_all, in_toxic = (got.column(c).to_numpy() for c in ("feature", "n", "toxic"))
+    else:
+        name = in_all = in_toxic = np.zeros(0, np.int64)
+    held = rows.mapInArrow(_held(name), "doc_id long, toxic int, features binary").toArrow().sort_by("doc_id")
+    return fit_features([np.frombuffer(x, np.int32) for x in held.column("features").to_pylist()], held.column("toxic").to_numpy().astype(np.float64), name, in_toxic, in_all)
 
 
 def score_texts(array: pa.Array, model: Model) -> np.ndarray:
