@@ -12,7 +12,9 @@ The join: tokens are ordered by rarity (how many tokens of all lines fall into t
 of two; then by hash), and a line of n tokens is filed under its first n/4 + 1. Lines that match share one of those. The
 length filter asks for sizes within 3/4 of each other; the positional filter for enough tokens after the shared one. In
 each file the first line is compared with all others, and then each line that is still there with those before it.
-Comparing counts the shared tokens.
+A pair is first compared by sketches, the parities of its
+tokens on 64 to 256 bits: two lines differ in at least as many tokens as their sketches in bits. Pairs that are not told
+apart are compared by their tokens, counting the shared ones.
 """
 
 from __future__ import annotations
@@ -93,27 +95,69 @@ def _same(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int) -> Da
     return ws.save(rows.where("hot_copy").select("doc_id", "pos").union(cold.select("doc_id", "pos")), "same")
 
 
-def _files(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int, classes: str) -> DataFrame:
-    """(token, doc_id, pos, n, i, lead): lines under each of their first tokens that another line is filed under too."""
-    filed = _hot(docs, counts, total).where("not hot_copy").select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")).where("size(t) > 0")
-    filed = filed.select("doc_id", "pos", F.size("t").alias("n"), F.posexplode(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
-    by_token = Window.partitionBy("token").orderBy("doc_id", "pos")
-    chained = filed.withColumns({"lead": F.first(F.struct("doc_id", "pos", "n", "i")).over(by_token), "then": F.lead("doc_id").over(by_token)})
-    return ws.save(chained.where((F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos")) | F.col("then").isNotNull()).drop("then"), "files")
+def _words_of(n: Column) -> Column:
+    """Words of 64 bits in the sketch of a line of n tokens."""
+    return F.when(n <= 40, 1).when(n <= 90, 2).otherwise(4)
+
+
+def _sketch(t: Column) -> Column:
+    """Four longs, the last of which are 0 for short lines: at each bit, whether an odd number of tokens fall on it."""
+
+    most = {1: 40, 2: 90, 3: 90}  # lines of no more tokens have no such word
+    word_of = lambda x: F.shiftright(x, 6).bitwiseAND(_words_of(F.size(t)).cast("long") - 1)
+    flip = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))
+
+    def word(j: int) -> Column:
+        mine = F.filter(t, lambda x: word_of(x) == j)
+        bits = lambda part: F.aggregate(part, F.lit(0).cast("long"), flip)
+        return bits(F.when(F.size(t) <= 40, t).otherwise(mine)) if not j else F.when(F.size(t) > most[j], bits(mine)).otherwise(F.lit(0).cast("long"))
 
+    return F.named_struct(*(x for j in range(4) for x in (F.lit(f"s{j}"), word(j))))
 
-def _texts(ws: C.Workspace, docs: DataFrame, files: DataFrame, classes: str) -> DataFrame:
-    """(doc_id, pos, t): tokens of the lines that share a file."""
-    of_docs = files.select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.collect_set("pos").alias("want"))  # lines of one document
-    rows = docs.join(of_docs, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "want").where(F.array_contains("want", F.col("pos")))
-    return ws.save(rows.select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")), "tokens")
 
+def _apart(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """In how many tokens two lines differ at least. A token that only one of them has flips one bit; the wider sketch is
+    folded to the width of the other."""
+    x = [a[f"s{j}"].bitwiseXOR(b[f"s{j}"]) for j in range(4)]
+    one = F.bit_count(x[0].bitwiseXOR(x[1]).bitwiseXOR(x[2]).bitwiseXOR(x[3]))
+    two = F.bit_count(x[0].bitwiseXOR(x[2])) + F.bit_count(x[1].bitwiseXOR(x[3]))
+    four = F.bit_count(x[0]) + F.bit_count(x[1]) + F.bit_count(x[2]) + F.bit_count(x[3])
+    least = F.least(_words_of(n), _words_of(m))
+    return F.when(least == 1, one).when(least == 2, two).otherwise(four)
 
-def _matches(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the later lines of pairs that match."""
+
+def _files(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int, classes: str) -> DataFrame:
+    """(token, doc_id, pos, n, i, lead, sketch, shared): lines under each of their first tokens that another line is
+    filed under too (``shared``), and under their very first token in any case, there with their sketch."""
+    filed = _hot(docs, counts, total).where("not hot_copy").select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")).where("size(t) > 0")
+    filed = filed.select("doc_id", "pos", F.size("t").alias("n"), _sketch(F.col("t")).alias("sketch"), F.posexplode(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
+    filed = filed.withColumn("sketch", F.when(F.col("i") == 0, F.col("sketch")))
+    by_token = Window.partitionBy("token").orderBy("doc_id", "pos")
+    chained = filed.withColumns({"lead": F.first(F.struct("doc_id", "pos", "n", "i")).over(by_token), "then": F.lead("doc_id").over(by_token)})
+    shared = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos")) | F.col("then").isNotNull()
+    return ws.save(chained.withColumn("shared", shared).where("shared or i = 0").drop("then"), "files")
+
+
+def _close(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The pairs (da, pa, db, pb) whose sketches do not tell them apart."""
+    lines = files.where("i = 0").select("doc_id", "pos", "n", "sketch")
+    a, b = (lines.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    near = _apart(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    return pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(near).select("da", "pa", "db", "pb")
+
+
+def _matches(ws: C.Workspace, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """(doc_id, pos) of the later lines of pairs that match, by their shared tokens."""
+    pairs = ws.save(pairs, f"{name}-close")
+    C.free_shuffles(ws.spark)
+    asked = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("doc_id"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("doc_id"), F.col("pb").alias("pos")))).alias("x")).select("x.*")
+    of_docs = asked.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("pos").alias("want"))  # lines of one document
+    rows = docs.join(of_docs, F.col("doc_id") == F.col("of_doc")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "want").where(F.array_contains("want", F.col("pos")))
+    texts = ws.save(rows.select("doc_id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("t")), f"{name}-tokens")
+    C.free_shuffles(ws.spark)
     a, b = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(shared * DEN >= (F.size("ta") + F.size("tb") - shared) * NUM).select(F.col("db").alias("doc_id"), F.col("pb").alias("pos")).distinct()
+    return ws.save(pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(shared * DEN >= (F.size("ta") + F.size("tb") - shared) * NUM).select(F.col("db").alias("doc_id"), F.col("pb").alias("pos")).distinct(), name)
 
 
 def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
@@ -124,24 +168,25 @@ def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 0
     same = _same(ws, docs, counts, total)
     C.free_shuffles(spark)
-    classes = _classes(docs)
-    files = _files(ws, docs, counts, total, classes)
-    C.free_shuffles(spark)
-    texts = _texts(ws, docs, files, classes)
-    C.free_shuffles(spark)
+    files = _files(ws, docs, counts, total, _classes(docs))
+    ws.drop("keys")
+    shared = files.where("shared").drop("sketch")
 
     later = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos"))
-    stars = files.where(later & _possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.col("lead.doc_id").alias("da"), F.col("lead.pos").alias("pa"), F.col("doc_id").alias("db"), F.col("pos").alias("pb")).distinct()
+    stars = shared.where(later & _possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.col("lead.doc_id").alias("da"), F.col("lead.pos").alias("pa"), F.col("doc_id").alias("db"), F.col("pos").alias("pb")).distinct()
     stars = ws.save(stars.join(same.select(F.col("doc_id").alias("db"), F.col("pos").alias("pb")), ["db", "pb"], "left_anti"), "stars")
-    gone = ws.save(_matches(texts, stars), "near").union(same)
     C.free_shuffles(spark)
+    gone = _matches(ws, docs, _close(stars, files), "near").union(same)
+    ws.drop("near-close", "near-tokens")
     # the first line of a file is compared with all others, so a pair that is left is of two others
-    others = files.where(later).join(same, ["doc_id", "pos"], "left_anti")
+    others = shared.where(later).join(same, ["doc_id", "pos"], "left_anti")
     a = others.select("token", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
     b = others.join(gone, ["doc_id", "pos"], "left_anti").select("token", F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    rest = b.join(a, "token").where("da < db or (da = db and pa < pb)").where(_possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("da", "pa", "db", "pb").distinct().join(stars, ["da", "pa", "db", "pb"], "left_anti")
-    out = ws.save(gone.union(_matches(texts, rest)).distinct(), "removed")
-    ws.drop("keys", "same", "files", "stars", "tokens", "near")
+    rest = b.join(a, "token").where("da < db or (da = db and pa < pb)").where(_possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("da", "pa", "db", "pb").distinct()
+    rest = ws.save(rest.join(stars, ["da", "pa", "db", "pb"], "left_anti"), "rest")
+    C.free_shuffles(spark)
+    out = ws.save(gone.union(_matches(ws, docs, _close(rest, files), "far")).distinct(), "removed")
+    ws.drop("same", "files", "stars", "near", "rest", "far-close", "far-tokens", "far")
     return out
 
 
