@@ -55,15 +55,45 @@ def test_empty_table(spark):
     assert N.near_duplicates(table(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5, 20, 63, 64, 90, 200, 255, 256, 700])
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 20, 63, 64, 65, 90, 200, 250, 255, 256, 700, 1023, 1024, 3000, 5000])
 def test_linked_sets_share_a_signature(size):
     rng = np.random.default_rng(size)
     counts = rng.integers(0, 50, 1 << N.SLOT_BITS).astype(np.uint32)
-    for _ in range(40):
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+    for _ in range(40 if size < 2000 else 12):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
         drop = int(rng.integers(0, size // 4 + 1))
-        add = int(rng.integers(0, size // 3 + 1))
-        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, add, dtype=np.uint64)]))
+        add = int(rng.integers(0, size // 3 + 1)) if rng.random() < 0.5 else max(0, (size - drop) * 4 // 3 - size)  # every second pair just links
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
             assert np.intersect1d(N._signatures_of(a, counts), N._signatures_of(b, counts)).size
+            x, y = (np.frombuffer(N._sketch(v), np.uint64) for v in (a, b))
+            assert N._may_link(x, y, len(a), len(b))
+
+
+def test_sets_share_as_many_signatures_as_the_bound_says():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 50, 4000).astype(np.uint32)
+    salt, greatest = np.array([7], np.uint64), N._differ(1023, 1023)
+    for d in (0, 1, 5, 60, 170, 171, 172, 200, 250, 280, greatest):
+        for _ in range(5):
+            both = np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64))
+            own = int(rng.integers(0, d + 1))
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, n, dtype=np.uint64)])) for n in (own, d - own))
+            x, _, _, emitted = N._subsets(a, counts[: len(a)], salt, greatest, d)
+            y, *_ = N._subsets(b, counts[: len(b)], salt, greatest, d)
+            n = 3 * (int(N.PARTS * (greatest + 1)) + 1)
+            assert len(np.intersect1d(x, y)) >= n - emitted + 1 - (n - min(len(x), len(y)))
+            assert emitted <= n
+
+
+def test_sketches_differ_in_no_more_places_than_sets_in_elements():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n, m, k = rng.integers(1, 400, 3)
+        both = rng.integers(0, 2**64, k, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, v, dtype=np.uint64)])) for v in (n, m))
+        x, y = (np.frombuffer(N._sketch(v), np.uint64) for v in (a, b))
+        words = min(len(x), len(y))
+        assert np.bitwise_count(N._folded(x, words) ^ N._folded(y, words)).sum() <= len(np.setxor1d(a, b))
+        assert len(x) * 64 >= 2 * len(a)

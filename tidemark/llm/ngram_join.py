@@ -2,25 +2,32 @@
 
 Two documents link when the Jaccard similarity of their sets of 5-word shingles is at least 3/4. The join is exact.
 
-PartEnum. The feature domain is cut into n hash partitions, the same ones for all sets of a size band, and a set's
-signatures are enumerated over partitions: each is the set's projection on one of them, which is the subset size that
-PartEnum's n2 - k2 = 1 gives. Two sets of a and b elements link only if they differ in at most k = (a + b) / 7 elements,
-so at most k of the n projections differ. In any order of projections that depends on their content alone, the first
-projection that both sets share has at most k before it in either set; so a set emits only its first k + 1. Projections
-come in the order of their rarest element: counts of all shingles of all documents, in a fixed number of hashed
-slots, put what many documents share at the end, where it is seldom emitted. The counts steer the order only; any
-counts give the same links.
-
-A set whose non-empty projections are no more than k emits its first k + 1 single elements too: two such sets share
-one of those. Sets of under 64 elements always emit single elements.
+PartEnum. For a band of set sizes, the feature domain is cut into n1 parts, and each of these into n2 = 3. A set's
+signatures are its projections on every subset of n2 - k2 = 2 of the 3 smaller parts of each of the n1. Two linked sets of
+a and b elements differ in d <= (a + b) / 7 elements. A part without a difference makes the sets share all its 3
+signatures, a part with one difference 1 of them. So of all N = 3 n1 signatures they share at least G = 3 n1 - 2 d if d <
+n1, and 2 n1 - d otherwise; n1 is PARTS times the greatest d of the band, so G is positive for the largest sets too. In
+any order of signatures that depends on their content alone, the first that both sets share has at most N - G others
+before it in either set; so a set emits only its first N - G + 1, for the greatest d that it can have. Signatures come in
+the order of their rarest element: counts of all shingles of all documents, in a fixed number of hashed slots, put what
+many documents share at the end, where it is seldom emitted. The counts steer the order only; any counts give the same
+links.
+
+Signatures of no element are not emitted. A set that has no more than N - G others emits its first d + 1 single elements
+too: two such sets share one of those. Sets of under 64 elements always emit single elements.
 
 Bands hold sizes 4**j to 4**(j+1) - 1; sets in a band's last quarter, which can link with the next band, emit for both.
 
+Sketches. A sketch has a bit for each of 2 to 4 times as many places as the set has elements: whether an odd number of
+elements falls there. Sets differ in at least as many elements as their sketches in bits (the longer one is folded), so
+most candidates go without a look at their texts. What is left is verified by counting the intersection.
+
 Groups. Documents with equal sets are linked to the smallest doc_id among them by a key of the set; all but that one of a
-frequent set emit no signatures, so a huge group of copies costs a row each. In a bucket of one signature, every document is checked against the one whose shingles are the most common, which in a group of
-edited copies is among the least edited; components follow. After that, only documents outside the component of their
-bucket's lead meet the others of buckets with that lead: many of them in blocks of documents, where no row is made for a
-pair unless it links; few of them as pairs that share as many signatures as linked sets of their sizes must. Every check counts an intersection.
+frequent set emit no signatures, so a huge group of copies costs a row each. In a bucket of one signature, every document
+is checked against the one whose shingles are the most common, which in a group of edited copies is among the least
+edited; components follow. After that, only documents outside the component of their bucket's lead meet the others of
+buckets with that lead: many of them by sketches, in blocks that are dealt one by one, where no row is made for a pair
+unless its sketches are close; few of them as pairs.
 """
 
 from __future__ import annotations
@@ -38,14 +45,14 @@ WIDTH = 5
 NUM, DEN = 75, 100
 #: Slots of the shingle counts, and the pieces in which tasks hand them over.
 SLOT_BITS, PIECES = 20, 64
-#: Partitions a set of the largest size of a band gets, times its k + 1.
-SLACK = 1.5
+#: Parts of a band, as a share of the most elements in which its largest sets differ; over 1 / 2.
+PARTS = 0.6
 #: Counts of tasks that one step adds up.
 FAN_IN = 128
 #: A set is frequent if it makes up more than one in so many documents.
 HOT_SHARE = 20_000
-#: Documents that meet as many others in one step.
-BLOCK = 64
+#: Documents whose sketches meet as many others in one step; under a lead with more than FEW, documents meet so.
+BLOCK, FEW = 256, 64
 
 _U64 = np.uint64
 
@@ -60,25 +67,50 @@ def _set_key(h: np.ndarray) -> bytes:
     return np.array([C.mix(h).sum(dtype=np.uint64), C.mix(h ^ _U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], dtype=np.uint64).tobytes() + len(h).to_bytes(4, "little")
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's elements at 64 * 2**j places, twice to four times as many as there are elements."""
+    if not len(h):
+        return b""
+    places = max(64, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & _U64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row of words each, at the width of ``words``."""
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n, m) -> np.ndarray:
+    """Whether sets of n and m elements with sketches x and y can be linked, by their sizes and sketches."""
+    words = min(x.shape[-1], y.shape[-1])
+    differ = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=-1, dtype=np.int64)
+    return (differ * (DEN + NUM) <= (n + m) * (DEN - NUM)) & (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
+
+
 def _profile(batches):
-    """For each document its set's size and key; for the task, counts of shingles by slot, in pieces."""
+    """For each document its set's size, key and sketch; for the task, counts of shingles by slot, in pieces."""
     counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
     any_row = False
     for whole in batches:
         for batch in C.slices(whole, "text"):
-            n, keys = [], []
+            n, keys, sketches = [], [], []
             for h in C.shingles(batch.column("text"), WIDTH):
                 np.add.at(counts, (h >> _U64(64 - SLOT_BITS)).astype(np.int64), 1)
                 n.append(len(h))
                 keys.append(_set_key(h))
+                sketches.append(_sketch(h))
             any_row = True
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n_shingles", "set_key", "piece", "task", "counts"])
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch", "piece", "task", "counts"])
     if any_row:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         blobs = [x.astype(np.uint32).tobytes() for x in np.split(counts, PIECES)]
-        yield pa.record_batch([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "piece", "task", "counts"])
+        yield pa.record_batch([pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.int64()), pa.nulls(PIECES, pa.binary()), pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch", "piece", "task", "counts"])
 
 
 def _add_counts(key, table):
@@ -89,6 +121,26 @@ def _add_counts(key, table):
     return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([blob], pa.binary())})
 
 
+def _subsets(h: np.ndarray, count: np.ndarray, salt: np.ndarray, greatest: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Value, least count and size of each signature with elements, and how many a set emits that differs from others
+    of its band in at most d elements; ``greatest``: d of the band's largest sets."""
+    n1 = int(PARTS * (greatest + 1)) + 1
+    part = (((h >> _U64(32)) * _U64(3 * n1)) >> _U64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    where = part[at]
+    value, rare, size = np.zeros(3 * n1, np.uint64), np.full(3 * n1, 2**32 - 1, np.uint32), np.zeros(3 * n1, np.int64)
+    value[where] = C.mix(np.add.reduceat(C.mix(h ^ salt), at) + where.astype(np.uint64))
+    rare[where], size[where] = np.minimum.reduceat(count, at), np.diff(np.append(at, len(h)))
+    value, rare, size = (x.reshape(n1, 3) for x in (value, rare, size))
+    one, two = [0, 0, 1], [1, 2, 2]
+    both = size[:, one] + size[:, two]
+    tag = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3)
+    values = C.mix(value[:, one] + value[:, two] * _U64(0x9E3779B97F4A7C15) + tag)
+    shared = 3 * n1 - 2 * d if d < n1 else 2 * n1 - d
+    live = both > 0
+    return values[live], np.minimum(rare[:, one], rare[:, two])[live], both[live], 3 * n1 - shared + 1
+
+
 def _signatures_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     s = len(h)
     if not s:
@@ -102,14 +154,9 @@ def _signatures_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         salt = C.mix(np.array([space + 1], dtype=np.uint64))
         singles = space < 3
         if not singles:
-            n = int(SLACK * (_differ(top, top) + 1))
-            part = ((h >> _U64(32)) * _U64(n)) >> _U64(32)
-            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            value = C.mix(np.add.reduceat(C.mix(h ^ salt), at) + part[at])
-            rare = np.minimum.reduceat(count, at)
-            size = np.diff(np.append(at, s))
-            out.append(value[np.lexsort((value, -size, rare))[: k + 1]])
-            singles = len(at) <= k
+            value, rare, size, most = _subsets(h, count, salt, _differ(top, top), k)
+            out.append(value[np.lexsort((value, -size, rare))[:most]])
+            singles = len(value) < most
         if singles:
             value = C.mix(h ^ ~salt)
             out.append(value[np.lexsort((value, count))[: k + 1]])
@@ -155,34 +202,41 @@ def _verify(batches):
                 yield pa.record_batch([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep))], names=["a", "b"])
 
 
-def _verify_blocks(batches):
-    """Links between two blocks of documents: of pairs in different components with sizes that allow a link."""
+def _close(batches):
+    """Pairs whose sketches can be linked."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
+        keep = pa.array([i for i in range(len(batch)) if _may_link(x[i], y[i], n_a[i], n_b[i])], pa.int64())
+        yield pa.record_batch([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    def block(docs):
-        found = list(C.shingles(pa.array([d["text"] for d in docs], pa.string()), WIDTH))
-        return [d["doc"] for d in docs], np.array([d["component"] for d in docs]), np.array([len(h) for h in found]), found
 
-    def owners(parts):
-        return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
+def _close_blocks(batches):
+    """Pairs of documents of two blocks, in different components, whose sketches can be linked."""
 
-    def common(one, owner, values, n):
-        one = np.sort(one)
-        at = np.minimum(np.searchsorted(one, values), len(one) - 1)
-        return np.bincount(owner[one[at] == values], minlength=n)
+    def block(docs):
+        """Documents by the width of their sketches: ids, components, sizes, sketches."""
+        found: dict[int, list] = {}
+        for d in docs:
+            found.setdefault(len(d["sketch"]), []).append(d)
+        return [(np.array([d["doc"] for d in ds]), np.array([d["component"] for d in ds]), np.array([d["size"] for d in ds]), np.stack([np.frombuffer(d["sketch"], np.uint64) for d in ds])) for ds in found.values()]
 
     for batch in batches:
-        for row in batch.to_pylist():
-            ids_a, of_a, n_a, sets_a = block(row["some"])
-            ids_b, of_b, n_b, sets_b = block(row["many"])
-            elements = owners(sets_b)
+        for at in range(len(batch)):
+            row = batch.slice(at, 1).to_pylist()[0]
             out = []
-            for i, h in enumerate(sets_a):
-                open_ = (of_b != of_a[i]) & (n_b * DEN >= n_a[i] * NUM) & (n_a[i] * DEN >= n_b * NUM)
-                if open_.any() and len(h):
-                    both = common(h, *elements, len(ids_b))
-                    out += [(min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])) for j in np.flatnonzero(open_ & (both * DEN >= (n_a[i] + n_b - both) * NUM))]
+            for ids_a, of_a, n_a, x in block(row["some"]):
+                for ids_b, of_b, n_b, y in block(row["many"]):
+                    if max(x.shape[1], y.shape[1]) <= 4 * min(x.shape[1], y.shape[1]):  # sizes are within 4 / 3
+                        step = max(1, (1 << 21) // (len(ids_b) * max(x.shape[1], y.shape[1])))
+                        for i in range(0, len(ids_a), step):
+                            part = slice(i, i + step)
+                            ok = _may_link(x[part, None, :], y[None, :, :], n_a[part, None], n_b[None, :]) & (of_a[part, None] != of_b[None, :])
+                            p, q = np.nonzero(ok)
+                            out.append(np.stack([np.minimum(ids_a[part][p], ids_b[q]), np.maximum(ids_a[part][p], ids_b[q])]))
             if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _counts(profile: DataFrame) -> bytes:
@@ -204,88 +258,66 @@ def _frequent(sets: DataFrame) -> dict[bytes, int]:
 
 
 def _members(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
-    """(lead, doc, size, lead_size, n): the documents of each signature that more than one has, by the lead of its
-    bucket; n counts the signatures."""
+    """(lead, doc, size, lead_size): the documents of each signature that more than one has, by the lead of its bucket."""
     sigs = docs.where("doc_id is not null").mapInArrow(_signatures(shared), "sig long, doc long, rank long")
     by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
     chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
     size_of = lambda rank: F.expr(f"{rank} & 4294967295")
     rows = chained.where("lead <> doc or then <> doc")  # else the document is alone in it
-    rows = rows.select("doc", size_of("rank").alias("size"), "lead", size_of("lead_rank").alias("lead_size"))
-    return ws.save(rows.groupBy("lead", "doc", "size", "lead_size").agg(F.count("*").alias("n")), "members")
+    return ws.save(rows.select("lead", "doc", size_of("rank").alias("size"), size_of("lead_rank").alias("lead_size")).distinct(), "members")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
-
-
-def _star_links(ws: C.Workspace, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between the lead of a bucket and its other documents."""
-    sized = (F.col("lead_size") * DEN >= F.col("size") * NUM) & (F.col("size") * DEN >= F.col("lead_size") * NUM)
-    stars = members.where(F.col("lead") != F.col("doc")).where(sized).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    return ws.save(_verified(stars, texts), "stars")
-
-
-def _differ_sql(a: str, b: str) -> str:
-    return f"(({a} + {b}) * {DEN - NUM} div {DEN + NUM})"
+def _linked(ws: C.Workspace, docs: DataFrame, sketches: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) that link: by sketches, then by texts."""
+    a, b = (sketches.select(F.col("doc").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    close = ws.save(pairs.join(a, "a").join(b, "b").mapInArrow(_close, "a long, b long").distinct(), f"{name}-close")
+    C.free_shuffles(ws.spark)
+    return _verified(ws, docs, close, name)
 
 
-def _top_sql(size: str) -> str:
-    return f"(cast(pow(4, floor(log2({size}) / 2) + 1) as bigint) - 1)"
+def _verified(ws: C.Workspace, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of a written table that link, by their texts."""
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = ws.save(docs.join(asked, "doc_id", "left_semi"), f"{name}-texts")
+    C.free_shuffles(ws.spark)
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    out = ws.save(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct(), name)
+    ws.drop(f"{name}-close", f"{name}-texts")
+    return out
 
 
 def _open_members(ws: C.Workspace, members: DataFrame, components: DataFrame) -> DataFrame:
-    """(lead, doc, size, n, component, apart, n_docs, n_apart): documents under a lead that are not all of one component;
-    ``apart``: not in that of the lead.
-
-    Linked documents share many signatures if they are of about one size: both emit k + 1 for the largest partner they
-    can have, and at most (a + b) / 7 of those can differ. A document that shares fewer signatures with others than it
-    would with any partner of the sizes that occur under its lead stays out.
-    """
-    total = members.groupBy("doc").agg(F.sum("n").alias("shared"))
-    member = members.groupBy("lead", "doc").agg(F.max("size").alias("size"), F.sum("n").alias("n")).join(total, "doc").join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sizes = members.groupBy("lead").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    """(lead, doc, size, component, apart, n_docs, n_apart): documents under a lead that are not all of one component;
+    ``apart``: not in that of the lead."""
+    member = members.groupBy("lead", "doc").agg(F.max("size").alias("size")).join(components.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     lead_of = components.select(F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-    high, low = f"least(most, size * {DEN} div {NUM})", f"greatest(least, (size * {NUM} + {DEN - 1}) div {DEN})"
-    up = f"{_differ_sql('size', f'least(size * {DEN} div {NUM}, {_top_sql("size")})')} + 1 - {_differ_sql('size', high)}"
-    down = f"{_differ_sql(low, f'least({low} * {DEN} div {NUM}, {_top_sql("size")})')} + 1 - {_differ_sql('size', low)}"
-    member = member.join(sizes, "lead").where(f"shared >= least({up}, {down})").drop("least", "most", "shared")
     member = ws.save(member.join(lead_of, "lead", "left").withColumn("apart", F.col("component") != F.coalesce("lead_component", "lead")).drop("lead_component"), "kept")
     size = member.groupBy("lead").agg(F.count("*").alias("n_docs"), F.sum(F.col("apart").cast("int")).alias("n_apart"), F.countDistinct("component").alias("parts"))
     return ws.save(member.join(size.where("n_apart > 0 and parts > 1").drop("parts"), "lead"), "open")
 
 
-def _other_links(ws: C.Workspace, members: DataFrame, texts: DataFrame, components: DataFrame) -> DataFrame:
+def _other_links(ws: C.Workspace, docs: DataFrame, members: DataFrame, sketches: DataFrame, components: DataFrame) -> DataFrame:
     """Links in a bucket that join different components. Of two documents in different components, one is not in that of
     the lead.
 
-    Under a lead with more than BLOCK documents, those that are apart meet all others block by block. Under the others
-    pairs are listed, and a pair that is under none of the large ones is compared if it shares as many signatures as
-    linked sets of its sizes must.
+    Under a lead with more than FEW documents, the sketches of those that are apart meet those of all others block by
+    block: a block of the former is a key of its own, to which the others are dealt. Under other leads pairs are listed.
     """
     full = _open_members(ws, members, components)
     C.free_shuffles(ws.spark)
-    side = lambda d: full.where(F.col("n_docs") <= BLOCK).select("lead", F.col("doc").alias(d), *[F.col(c).alias(f"{c}_{d}") for c in ("size", "n", "component", "apart")])
+    side = lambda d: full.where(F.col("n_docs") <= FEW).select("lead", F.col("doc").alias(d), *[F.col(c).alias(f"{c}_{d}") for c in ("size", "component", "apart")])
     pairs = side("a").join(side("b"), "lead").where("apart_a and a <> b and component_a <> component_b and (not apart_b or a < b)")
     pairs = pairs.where((F.col("size_a") * DEN >= F.col("size_b") * NUM) & (F.col("size_b") * DEN >= F.col("size_a") * NUM))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("size_a", "size_b").alias("s"), F.greatest("size_a", "size_b").alias("t"), F.least("n_a", "n_b").alias("n"))
-    pairs = pairs.groupBy("a", "b").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.sum("n").alias("n"))
-    reach = lambda x: _differ_sql(x, f"least({x} * {DEN} div {NUM}, {_top_sql('t')})")
-    pairs = ws.save(pairs.where(f"n >= least({reach('s')}, {reach('t')}) + 1 - {_differ_sql('s', 't')}").select("a", "b"), "pairs")
-    few = ws.save(_verified(pairs, texts), "few")
+    pairs = ws.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    few = _linked(ws, docs, sketches, pairs, "few")
+    many = full.where(F.col("n_docs") > FEW).join(sketches.select("doc", "sketch"), "doc").withColumn("d", F.struct("doc", "component", "size", "sketch"))
+    block = lambda n: F.expr(f"pmod(xxhash64(doc), {n} div {BLOCK} + 1)")
+    some = many.where("apart").groupBy("lead", block("n_apart").alias("at")).agg(F.collect_list("d").alias("some"))
+    others = many.groupBy("lead", block("n_docs").alias("block")).agg(F.collect_list("d").alias("many"), F.first("n_apart").alias("n_apart"))
+    dealt = others.select("lead", "many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n_apart div {BLOCK}"))).alias("at"))
+    close = ws.save(some.join(dealt, ["lead", "at"]).select("some", "many").mapInArrow(_close_blocks, "a long, b long").distinct(), "others-close")
     C.free_shuffles(ws.spark)
-    # dealt by lead once: grouping into blocks and joining them need no other shuffle of texts
-    many = full.where(F.col("n_docs") > BLOCK).join(texts.withColumnRenamed("doc_id", "doc"), "doc").repartition("lead")
-
-    def blocks(rows: DataFrame, n: str, name: str) -> DataFrame:
-        """BLOCK documents each, about, by a hash of the id."""
-        block = F.expr(f"pmod(xxhash64(doc), {n} div {BLOCK} + 1)").alias("block")
-        return rows.select("lead", block, F.struct("doc", "component", "text").alias("d")).groupBy("lead", "block").agg(F.collect_list("d").alias(name)).drop("block")
-
-    met = blocks(many.where("apart"), "n_apart", "some").join(blocks(many, "n_docs", "many"), "lead").select("some", "many")
-    return ws.save(met.mapInArrow(_verify_blocks, "a long, b long").union(few).distinct(), "others")
+    return _verified(ws, docs, close, "others").union(few)
 
 
 def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
@@ -298,23 +330,22 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     spark = docs.sparkSession
     ws = C.Workspace(spark, name)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = ws.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_key binary, piece int, task long, counts binary"), "profile")
+    profile = ws.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_key binary, sketch binary, piece int, task long, counts binary"), "profile")
     rows = profile.where("piece is null").select("doc_id", "n_shingles", "set_key")
     sets = ws.save(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
-    same = rows.where("doc_id is not null").join(sets.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    same = ws.save(rows.where("doc_id is not null").join(sets.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")
 
     members = _members(ws, docs, spark.sparkContext.broadcast((_counts(profile), _frequent(sets))))
     C.free_shuffles(spark)
-    texts = ws.save(docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    C.free_shuffles(spark)
-    links = _star_links(ws, members, texts).union(ws.save(same, "same"))
-    C.free_shuffles(spark)
+    sketches = profile.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), "sketch")
+    sized = (F.col("lead_size") * DEN >= F.col("size") * NUM) & (F.col("size") * DEN >= F.col("lead_size") * NUM)
+    stars = members.where(F.col("lead") != F.col("doc")).where(sized).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    links = _linked(ws, docs, sketches, stars, "stars").union(same)
     components = C.connected_components(ws, links, "first")
-    more = _other_links(ws, members, texts, components)
-    C.free_shuffles(spark)
+    more = _other_links(ws, docs, members, sketches, components)
     if more.limit(1).count():
         components = C.connected_components(ws, links.union(more), "last")
-    ws.drop("sets", "members", "texts", "stars", "same", "kept", "open", "pairs", "few", "others")
+    ws.drop("sets", "members", "stars", "same", "kept", "open", "pairs", "few", "others")
     return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
