@@ -17,38 +17,62 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects: those without a letter, and those far from any language."""
+    """Drops the documents that the classifier rejects: those without a letter (null and empty texts too), and those far
+    from any language. Each row is judged by itself; rows with a null doc_id are, too, but no model learns from them."""
     model = langid.train(docs, ~langid.held_out(4, 2))
-    return langid.predict(docs, model).where("not rejected").select(*docs.columns)
+    names = tuple(C.free(docs.columns, "lang_pred", "score", "rejected"))
+    return langid.predict(docs, model, names=names).where(~F.col(names[2])).select(*_own(docs))
 
 
-def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _recounted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars of the new texts if there is such a column."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*_own(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that match an earlier one, and documents of which only blanks are left by that."""
-    out = line_dedup.dedup_lines(docs, "stage2", "_gone_lines")
-    return _recounted(out.where("_gone_lines = 0 or trim(text) <> ''"), docs.columns)
+    """Drops lines that match an earlier one, and documents of which only blanks are left by that. Rows with a null
+    doc_id or text stay as they are; rows that share a doc_id lose the same places."""
+    (gone,) = C.free(docs.columns, "gone_lines")
+    out = line_dedup.dedup_lines(docs, "stage2", gone)
+    return _recounted(out.where(f"{gone} = 0 or trim(text) <> ''"), docs)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates; rows with one id are one document."""
+    """Keeps the document with the least id of each group of near duplicates. Of rows that share that id, equal texts
+    stay once and different texts all stay. Rows with a null doc_id stay."""
     found = ngram_join.near_duplicates(docs, "stage3")
-    first = found.where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(first, docs.doc_id == first._id, "left_semi").withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    key, place = C.free(docs.columns, "of_doc", "place")
+    first = found.where("component_id = doc_id").select(F.col("doc_id").alias(key)).distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]))
+    kept = docs.join(first, docs.doc_id.cast("long") == F.col(key), "left_semi").withColumn(place, one).where(F.col(place) == 1).select(*_own(docs))
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+#: Bytes of a passage of 50 words, about, and less than any such passage of the tables.
+PASSAGE = 240
+
+
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated passages, and documents of which only blanks are left by that."""
-    out = suffix_dedup.remove_repeats(docs, "stage4", as_text=True)
-    return _recounted(out.where("n_removed = 0 or trim(kept) <> ''").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))), docs.columns)
+    """Drops passages of PASSAGE bytes or more that stand in two places, and documents of which only blanks are left by
+    that. Null and empty texts stay; equal texts of that length go altogether, whatever their doc_ids."""
+    removed, kept, rest = C.free(docs.columns, "gone_bytes", "kept_text", "rest")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select("doc_id", "text", F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias(rest))
+    out = suffix_dedup.remove_repeats(plain, "stage4", as_text=True, width=PASSAGE)
+    out = out.select(*((F.col(f"{rest}.`{c}`") if c in others else F.col(c)).alias(c) for c in docs.columns), F.col("n_removed").alias(removed), F.col("kept").alias(kept))
+    out = out.where((F.col(removed) == 0) | (F.trim(kept) != "")).withColumn("text", F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
+    return _recounted(out, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens; a null text has the end id alone, repeated rows are packed as often as they
+    occur, and other columns are not read."""
     return packing.packed(docs, "stage5").drop("crosses")
 
 
