@@ -18,6 +18,7 @@ induction, since no other value of it is needed.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,12 @@ def grams(data: np.ndarray) -> np.ndarray:
     return C.mix((h[GRAM:] - h[:m]) * C.powers(C._BACK, "back", m))
 
 
-def keys(data: np.ndarray):
+def keys(data: np.ndarray, width: int = WIDTH):
     """(first window, hashes of the runs, key of each window) of one stretch of a text after another."""
-    windows = len(data) - WIDTH + 1
+    windows = len(data) - width + 1
     for at in range(0, max(windows, 0), STEP):
-        g = grams(data[at : min(at + STEP, windows) + WIDTH - 1])
-        low, size, most = g, 1, WIDTH - GRAM + 1
+        g = grams(data[at : min(at + STEP, windows) + width - 1])
+        low, size, most = g, 1, width - GRAM + 1
         while size * 2 <= most:
             low = np.minimum(low[: len(low) - size], low[size:])
             size *= 2
@@ -75,22 +76,22 @@ def _places_within(g: np.ndarray, wanted: np.ndarray, lo: np.ndarray, hi: np.nda
     return np.searchsorted(ordered, of * (len(g) + 1) + np.minimum(hi, len(g))) - np.searchsorted(ordered, of * (len(g) + 1) + lo)
 
 
-def _stretches(batches):
+def _stretches(batches, width: int):
     """A row for each stretch of windows with one key, with the number of runs that have the key's hash."""
     for whole in batches:
         for batch in C.slices(whole, "text"):
             out = []
             for i, data in _rows(batch):
-                for base, g, w in keys(data):
+                for base, g, w in keys(data, width):
                     a, e = runs(w)
-                    n = _places_within(g, w[a], a, e + WIDTH - GRAM)
+                    n = _places_within(g, w[a], a, e + width - GRAM)
                     out.append((np.full(len(a), i), w[a], a + base, e + base, np.maximum(n, 1)))
             if out:
                 row, key, a, e, n = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.record_batch([pa.array(key.view(np.int64)), batch.column("d").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(a.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(n)], names=["key", "d", "h", "a", "e", "n"])
 
 
-def _sampled(batches):
+def _sampled(batches, width: int):
     """Sampled runs of the stretches of each text."""
     for whole in batches:
         for batch in C.slices(whole, "text"):
@@ -100,39 +101,39 @@ def _sampled(batches):
                 live = np.zeros(len(g) + 1, dtype=np.int32)
                 for s in spans:
                     live[s["a"]] += 1
-                    live[min(s["e"] + WIDTH - GRAM, len(g))] -= 1
+                    live[min(s["e"] + width - GRAM, len(g))] -= 1
                 at = np.flatnonzero((np.cumsum(live[:-1]) > 0) & (g % _U64(SAMPLE) == 0))
                 out.append((np.full(len(at), i), g[at], at))
             row, g, at = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.record_batch([pa.array(g.view(np.int64)), batch.column("d").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array(at.astype(np.int64))], names=["g", "d", "h", "p"])
 
 
-def _pieces(batches):
+def _pieces(batches, width: int):
     """Stretches of windows that may be repeated, cut by key, with their bytes."""
     names = ["key", "digest", "own", "d", "h", "start", "bytes"]
     for whole in batches:
         for batch in C.slices(whole, "text", C.STEP_BYTES // 2):
             out = []
             for (i, data), spans, single in zip(_rows(batch), batch.column("spans").to_pylist(), batch.column("single").to_pylist(), strict=True):
-                n = len(data) - WIDTH + 1
+                n = len(data) - width + 1
                 live = np.zeros(n + 1, dtype=np.int32)
                 for s in spans:
                     live[s["a"]] += 1
                     live[s["e"]] -= 1
                 dead = np.zeros(n + 1, dtype=np.int32)
                 p = np.array(single or [], dtype=np.int64)
-                np.add.at(dead, np.clip(p - (WIDTH - GRAM), 0, n), 1)
+                np.add.at(dead, np.clip(p - (width - GRAM), 0, n), 1)
                 np.add.at(dead, np.clip(p + 1, 0, n), -1)
                 live = (np.cumsum(live[:-1]) > 0) & (np.cumsum(dead[:-1]) == 0)
                 if not live.any():
                     continue
-                for base, g, w in keys(data):
+                for base, g, w in keys(data, width):
                     part = live[base : base + len(w)]
                     change = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (part[1:] != part[:-1]))))
                     for a, e in zip(change, np.append(change[1:], len(w)), strict=True):
                         if part[a]:
-                            piece = data[base + a : base + e + WIDTH - 1].tobytes()
-                            own = int((g[a : e + WIDTH - GRAM] == w[a]).sum()) > 1
+                            piece = data[base + a : base + e + width - 1].tobytes()
+                            own = int((g[a : e + width - GRAM] == w[a]).sum()) > 1
                             out.append((w[a : a + 1].view(np.int64)[0], hashlib.md5(piece, usedforsecurity=False).digest(), own, i, base + a, piece))
             if out:
                 key, digest, own, row, start, piece = zip(*out, strict=True)
@@ -140,7 +141,7 @@ def _pieces(batches):
                 yield pa.record_batch([pa.array(key, pa.int64()), pa.array(digest, pa.binary()), pa.array(own, pa.bool_()), batch.column("d").take(row), batch.column("h").take(row), pa.array(start, pa.int64()), pa.array(piece, pa.binary())], names=names)
 
 
-def repeated_windows(pieces: list[bytes], memory: int = induced_sort.MEMORY) -> list[list[tuple[int, int]]]:
+def repeated_windows(pieces: list[bytes], memory: int = induced_sort.MEMORY, width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """For each piece, runs (first, last) of windows that start at another place of these pieces too."""
     size = np.array([len(x) for x in pieces])
     ends = np.cumsum(size + 1) - 1  # places of the marks between pieces
@@ -151,11 +152,11 @@ def repeated_windows(pieces: list[bytes], memory: int = induced_sort.MEMORY) ->
     t[ends] = 1
     t[-1] = 0
     room = np.repeat(ends, size + 1) - np.arange(len(t) - 1)  # bytes before the next mark
-    room = np.append(room, 0) >= WIDTH
+    room = np.append(room, 0) >= width
     h = C.prefix_hash(C._BYTE[np.clip(t, 0, 255)] + t.astype(np.uint64))
     of = np.zeros(len(t), dtype=np.uint64)
-    of[: len(t) - WIDTH + 1] = (h[WIDTH:] - h[:-WIDTH]) * C.powers(C._BACK, "back", len(t) - WIDTH + 1)
-    windows = np.lib.stride_tricks.sliding_window_view(t, WIDTH)
+    of[: len(t) - width + 1] = (h[width:] - h[:-width]) * C.powers(C._BACK, "back", len(t) - width + 1)
+    windows = np.lib.stride_tricks.sliding_window_view(t, width)
     found = np.zeros(len(t), dtype=bool)
     last = np.zeros(0, dtype=np.int64)
     for order in induced_sort.suffixes(t, 258, memory):
@@ -175,11 +176,11 @@ def repeated_windows(pieces: list[bytes], memory: int = induced_sort.MEMORY) ->
     return out
 
 
-def _sort(batches):
+def _sort(batches, width: int):
     """Repeated windows of pieces that come in the order of their keys; a batch ends where a key does."""
 
     def done(rows):
-        found = repeated_windows([x[2] for x in rows])
+        found = repeated_windows([x[2] for x in rows], width=width)
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         return pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in found], kind)], names=["key", "digest", "ranges"])
 
@@ -197,33 +198,33 @@ def _sort(batches):
         yield done(rows)
 
 
-def _candidates(ws: C.Workspace, docs: DataFrame) -> DataFrame:
+def _candidates(ws: C.Workspace, docs: DataFrame, width: int) -> DataFrame:
     """Texts (d, h, text, spans) with the stretches whose keys have more than one run."""
-    found = ws.save(docs.mapInArrow(_stretches, "key long, d long, h long, a long, e long, n long"), "stretches")
+    found = ws.save(docs.mapInArrow(partial(_stretches, width=width), "key long, d long, h long, a long, e long, n long"), "stretches")
     several = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     spans = found.join(several, "key", "left_semi").groupBy("d", "h").agg(F.collect_set(F.struct("a", "e")).alias("spans"))  # of one text
     return ws.save(docs.join(spans, ["d", "h"]), "texts")
 
 
-def _repeated(ws: C.Workspace, docs: DataFrame) -> DataFrame:
+def _repeated(ws: C.Workspace, docs: DataFrame, width: int) -> DataFrame:
     """(d, h, spans): runs (a, b) of bytes that go, of each text that has any."""
-    texts = _candidates(ws, docs)
+    texts = _candidates(ws, docs, width)
     C.free_shuffles(ws.spark)
-    once = texts.mapInArrow(_sampled, "g long, d long, h long, p long").groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p")).alias("at")).where("n = 1")
+    once = texts.mapInArrow(partial(_sampled, width=width), "g long, d long, h long, p long").groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p")).alias("at")).where("n = 1")
     single = ws.save(once.groupBy("at.d", "at.h").agg(F.collect_list("at.p").alias("single")), "single")  # of one text
     C.free_shuffles(ws.spark)
-    pieces = ws.save(texts.join(single, ["d", "h"], "left").mapInArrow(_pieces, "key long, digest binary, own boolean, d long, h long, start long, bytes binary"), "pieces")
+    pieces = ws.save(texts.join(single, ["d", "h"], "left").mapInArrow(partial(_pieces, width=width), "key long, digest binary, own boolean, d long, h long, start long, bytes binary"), "pieces")
     C.free_shuffles(ws.spark)
     distinct = ws.save(pieces.groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("own").alias("own"), F.first("bytes").alias("bytes")), "distinct")
     C.free_shuffles(ws.spark)
-    full = distinct.where("n > 1").select("key", "digest", F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.length("bytes") - WIDTH).cast("long").alias("hi"))).alias("ranges"))
+    full = distinct.where("n > 1").select("key", "digest", F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.length("bytes") - width).cast("long").alias("hi"))).alias("ranges"))
     several = distinct.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("n").alias("least")).where("least = 1 and (n > 1 or own)").select("key")
-    found = distinct.join(several, "key", "left_semi").select("key", "digest", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_sort, "key long, digest binary, ranges array<struct<lo:long,hi:long>>")
+    found = distinct.join(several, "key", "left_semi").select("key", "digest", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(partial(_sort, width=width), "key long, digest binary, ranges array<struct<lo:long,hi:long>>")
     partly = found.join(distinct.where("n = 1").select("key", "digest"), ["key", "digest"], "left_semi").where("size(ranges) > 0")
     ranges = ws.save(full.unionByName(partly), "ranges")
     C.free_shuffles(ws.spark)
     places = pieces.select("key", "digest", "d", "h", "start").join(ranges, ["key", "digest"]).select("d", "h", "start", F.explode("ranges").alias("r"))
-    spans = places.groupBy("d", "h").agg(F.collect_set(F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi") + WIDTH).alias("b"))).alias("spans"))  # of one text
+    spans = places.groupBy("d", "h").agg(F.collect_set(F.struct((F.col("start") + F.col("r.lo")).alias("a"), (F.col("start") + F.col("r.hi") + width).alias("b"))).alias("spans"))  # of one text
     spans = ws.save(spans, "spans")
     ws.drop("stretches", "texts", "single", "pieces", "distinct", "ranges")
     return spans
