@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from . import _common as C
 
 #: Most texts of the training sample.
-TRAIN = 4000
+TRAIN = 2400
 #: With 2^15 slots the n-grams of unlearned languages and junk hardly meet learned ones by chance.
 DIM_BITS, GRAMS, CENTROIDS, ROUNDS = 15, (2, 3, 4), 4, 12
 #: A text is rejected when its cosine is under this quantile of those of pieces with as many n-grams, of its language.
@@ -161,20 +161,26 @@ def fit_samples(found: list[Sample]) -> Model:
         rows = [s for s in found if s.language == name]
         spare = rows[HOLD - 1 :: HOLD] if len(rows) >= LEAST else []
         rows = [s for i, s in enumerate(rows) if not spare or i % HOLD != HOLD - 1]
-        own = np.zeros((len(rows), dim), np.float32)
-        for i, s in enumerate(rows):
-            own[i, s.slots] = s.values * idf[s.slots]
-        own /= np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own))[:, None], 1e-9)
-        c = own[np.sort(rng.permutation(len(own))[:CENTROIDS])]
+        own = []
+        for x in rows:
+            weights = x.values * idf[x.slots]
+            own.append(weights / max(float(np.sqrt((weights * weights).sum())), 1e-9))
+        c = np.zeros((min(CENTROIDS, len(rows)), dim), np.float32)
+        for j, i in enumerate(np.sort(rng.permutation(len(rows))[:CENTROIDS])):
+            c[j, rows[i].slots] = own[i]
         for _ in range(ROUNDS):
-            at = (own @ c.T).argmax(axis=1)
-            c = scaled(np.stack([own[at == j].sum(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
+            cosine = np.stack([c[:, x.slots] @ v for x, v in zip(rows, own, strict=True)])
+            at = cosine.argmax(axis=1)
+            for j in np.unique(at):
+                mine = np.flatnonzero(at == j)
+                total = np.bincount(np.concatenate([rows[i].slots for i in mine]), np.concatenate([own[i] for i in mine]), dim)
+                c[j] = scaled(total)
         centroids.append(c)
         of += [k] * len(c)
         if spare:
             least.append(_reach(spare, idf, c.astype(np.float32)))
         else:
-            least.append((np.zeros(1), np.full(1, (own @ c.T).max(axis=1).min() * REJECT_SHARE)))
+            least.append((np.zeros(1), np.full(1, cosine.max(axis=1).min() * REJECT_SHARE)))
     return Model(names, np.array(of), idf, np.concatenate(centroids).astype(np.float32), least)
 
 
@@ -200,7 +206,8 @@ def train(docs: DataFrame, allowed) -> Model:
     rows = known.where("text is not null").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, digest binary, lang string, slots binary, weights binary, pieces array<string>")
     first = F.min(F.struct("digest", "lang", "slots", "weights", "pieces")).alias("r")
     got = rows.groupBy("doc_id").agg(first).select("doc_id", "r.*").toArrow().sort_by("doc_id")  # at most TRAIN rows
-    return fit_samples([Sample(r["lang"], np.frombuffer(r["slots"], np.uint16), np.frombuffer(r["weights"], np.float16), r["pieces"]) for r in got.to_pylist()])
+    parts = (got.column(c) for c in ("lang", "slots", "weights", "pieces"))
+    return fit_samples([Sample(lang.as_py(), np.frombuffer(slots.as_buffer(), np.uint16), np.frombuffer(weights.as_buffer(), np.float16), pieces.as_py()) for lang, slots, weights, pieces in zip(*parts, strict=True)])
 
 
 def _has_letter(text: str | None) -> bool:
