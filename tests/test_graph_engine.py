@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +262,18 @@ def test_contrast_experiment(spark):
     p = experiment.Params(n_sketches=(30,), n_chosen=(1,), tries=20, algorithms=("max_degree", "max_strength"))
     out = experiment.run_contrast(graph(spark, A), p)
     assert out["algorithms"]["max_degree"]["lists"][0]["selected"] == [4]
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_strong_components_over_tables_and_in_one_task(spark, monkeypatch, bound):
+    rng = np.random.default_rng(5)
+    n = 40
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (60, 2)) if a != b} | {(100 + i, 100 + (i + 1) % 12) for i in range(12)}
+    reach = {v: {v} for v in range(n)} | {100 + i: {100 + i} for i in range(12)}
+    for _ in range(60):
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    exact = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
+    monkeypatch.setattr(components, "IN_ONE_TASK", bound)
+    g = Graph(spark.createDataFrame([(v, 1.0) for v in reach], "id long, weight double"), spark.createDataFrame(sorted(pairs), "src long, dst long"), SEED)
+    assert {r.id: r.component for r in components.scc(g).collect()} == exact

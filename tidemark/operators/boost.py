@@ -167,7 +167,12 @@ def _each(sketches: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def select_critical(s: BoostSketches, k: int, vertices: DataFrame) -> DataFrame:
     """(ord, id, gain): greedy maximum coverage of the critical sets, without the seeds."""
-    return sketch.select(s.critical, k, vertices, s.seeds)
+    return cover_critical(s.critical, k, vertices, s.seeds)
+
+
+def cover_critical(critical: DataFrame, k: int, vertices: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same of critical sets (sketch_id, id) alone."""
+    return sketch.select(critical, k, vertices, seeds)
 
 
 def select(s: BoostSketches, k: int, vertices: DataFrame) -> DataFrame:

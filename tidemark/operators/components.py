@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..lineage import counted, cut, is_empty
 
+#: Most edges of a graph whose strong components one task finds; about 200 bytes each.
+IN_ONE_TASK = 1_000_000
+
 
 def _least_labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that is connected, ignoring directions. Labels spread to neighbours and then to the
@@ -57,16 +60,79 @@ def _spread(ids: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
             return labels
 
 
+def _strong(heads: list[int], tails: list[int]) -> dict[int, int]:
+    """The least vertex of the strong component of each end of an edge: one walk along edges numbers the vertices by
+    when they are left, a second against edges in the reverse of that order gathers components."""
+    out: dict[int, list[int]] = {}
+    back: dict[int, list[int]] = {}
+    for u, v in zip(heads, tails, strict=True):
+        out.setdefault(u, []).append(v)
+        back.setdefault(v, []).append(u)
+    seen, left = set(), []
+    for root in out:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(out[root]))]
+        while stack:
+            node, rest = stack[-1]
+            for v in rest:
+                if v not in seen:
+                    seen.add(v)
+                    stack.append((v, iter(out.get(v, ()))))
+                    break
+            else:
+                left.append(node)
+                stack.pop()
+    found: dict[int, int] = {}
+    for root in reversed(left):
+        if root in found:
+            continue
+        found[root], members, at = root, [root], 0
+        while at < len(members):
+            for u in back.get(members[at], ()):
+                if u not in found:
+                    found[u] = root
+                    members.append(u)
+            at += 1
+        least = min(members)
+        for v in members:
+            found[v] = least
+    return found
+
+
+def _strong_in_one_task(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of a graph that is known to have at most IN_ONE_TASK edges."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        heads, tails = [], []
+        for batch in batches:
+            heads += batch.column("src").to_pylist()
+            tails += batch.column("dst").to_pylist()
+        found = _strong(heads, tails)
+        yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["id", "component"])
+
+    found = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1).mapInArrow(run, "id long, component long")
+    return cut(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "scc")
+
+
 def scc(g: Graph, edge_filter: Column | None = None) -> DataFrame:
     """(id, component): component is the least id in it. ``edge_filter`` keeps the edges for which it holds.
 
     Colouring: each vertex gets the least id that reaches it; going back from each colour's root within its colour
-    gives the root's component; those go, and the rest starts again. Vertices that cannot be in a cycle go first.
+    gives the root's component; those go, and the rest starts again. Vertices that cannot be in a cycle go first. Once
+    no more than IN_ONE_TASK edges are left, their count being known, one task ends the search: long paths, which take
+    many rounds, are by then short of work for more than one.
     """
     edges = g.edges.where(edge_filter) if edge_filter is not None else g.edges
-    edges = cut(edges.select("src", "dst").distinct(), "scc")
+    edges, n = counted(edges.select("src", "dst").distinct(), "scc")
     ids, found = g.vertices.select("id"), []
     while True:
+        if n <= IN_ONE_TASK:
+            found.append(_strong_in_one_task(ids, edges))
+            break
         alone, ids, edges = _trimmed(ids, edges)
         found.append(cut(alone.select("id", F.col("id").alias("component")), "scc"))
         if is_empty(ids):
@@ -77,14 +143,14 @@ def scc(g: Graph, edge_filter: Column | None = None) -> DataFrame:
         hit = cut(colours.where("id = colour").select("id"), "scc")
         seen = hit
         while True:
-            hit, n = counted(inner.join(hit.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"), "scc")
-            if not n:
+            hit, more = counted(inner.join(hit.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"), "scc")
+            if not more:
                 break
             seen = seen.union(hit)
         found.append(cut(colours.join(seen, "id", "left_semi").select("id", F.col("colour").alias("component")), "scc"))
         seen = cut(seen, "scc")
         ids = cut(ids.join(seen, "id", "left_anti"), "scc")
-        edges = cut(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc")
+        edges, n = counted(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "scc")
         if is_empty(ids):
             break
     out = found[0]

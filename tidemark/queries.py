@@ -54,11 +54,6 @@ def part_graph(spark: SparkSession, sf_dir: str, model: str = SEED) -> Graph:
     return dataset.create_dataset(edges.part_edges(spark, sf_dir), dataset.DatasetParams(model=model, unweighted_ratio=1.0))
 
 
-def _sparse(df: DataFrame, step: int) -> DataFrame:
-    """A thinner graph, for results that are only telling on one."""
-    return df.where((F.col("src") * 7 + F.col("dst") * 13) % step == 0)
-
-
 def _ids(spark: SparkSession, ids) -> DataFrame:
     return spark.createDataFrame([(int(i),) for i in ids], "id long")
 
@@ -139,7 +134,7 @@ def matrix_market_pairs(spark, sf_dir):
 
 @query("directedness_flag", f"{PART} SELECT bool_or(src < dst) AND bool_or(src > dst) AS directed FROM part_edges")
 def directedness_flag(spark, sf_dir):
-    return edges.part_edges(spark, sf_dir).agg((F.bool_or(F.col("src") < F.col("dst")) & F.bool_or(F.col("src") > F.col("dst"))).alias("directed"))
+    return edges.directed_flag(edges.part_edges(spark, sf_dir).toDF("u", "v"))
 
 
 @query("undirected_merge_max", f"{PART}, {_model('part_edges')} SELECT least(src, dst) AS u, greatest(src, dst) AS v, round(max(p), 6) AS p FROM edges GROUP BY 1, 2")
@@ -199,59 +194,62 @@ def imrank_topk(spark, sf_dir):
 
 # --- components ---------------------------------------------------------------------------------------------------
 
-THIN = f"{PART}, thin AS (SELECT src, dst FROM part_edges WHERE (src * 7 + dst * 13) % 40 = 0), ids AS (SELECT src AS id FROM thin UNION SELECT dst FROM thin)"
-REACH = "reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT a, dst FROM reach JOIN thin ON src = b)"
-WEAK = "reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT a, y FROM reach JOIN (SELECT src AS x, dst AS y FROM thin UNION SELECT dst, src FROM thin) ON x = b)"
-STRONG = f"{REACH}, strong AS (SELECT r.a AS id, min(r.b) AS component FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY 1)"
+WHOLE = f"{PART}, ids AS (SELECT src AS id FROM part_edges UNION SELECT dst FROM part_edges)"
+STRONG = "strong AS (SELECT r.a AS id, min(r.b) AS component FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY 1)"
+
+
+def _reach(table: str, both: bool = False, name: str = "reach") -> str:
+    """All pairs of ids of which the first reaches the second."""
+    steps = f"(SELECT src AS x, dst AS y FROM {table} UNION SELECT dst, src FROM {table})" if both else f"(SELECT src AS x, dst AS y FROM {table})"
+    return f"{name} AS (SELECT id AS a, id AS b FROM ids UNION SELECT a, y FROM {name} JOIN {steps} ON x = b)"
 
 
-def thin_graph(spark, sf_dir) -> Graph:
-    return Graph.of(_sparse(edges.part_edges(spark, sf_dir), 40))
+def whole_graph(spark, sf_dir) -> Graph:
+    return Graph.of(edges.part_edges(spark, sf_dir))
 
 
-@query("wcc_labels", f"{THIN}, {WEAK} SELECT a AS id, min(b) AS component FROM reach GROUP BY 1")
+@query("wcc_labels", f"{WHOLE}, {_reach('part_edges', True)} SELECT a AS id, min(b) AS component FROM reach GROUP BY 1")
 def wcc_labels(spark, sf_dir):
-    return components.wcc(thin_graph(spark, sf_dir))
+    return components.wcc(whole_graph(spark, sf_dir))
 
 
-@query("wcc_count", f"{THIN}, {WEAK} SELECT count(DISTINCT component) AS n_wcc FROM (SELECT a, min(b) AS component FROM reach GROUP BY 1)")
+@query("wcc_count", f"{WHOLE}, {_reach('part_edges', True)} SELECT count(DISTINCT component) AS n_wcc FROM (SELECT a, min(b) AS component FROM reach GROUP BY 1)")
 def wcc_count(spark, sf_dir):
-    return components.wcc(thin_graph(spark, sf_dir)).agg(F.countDistinct("component").alias("n_wcc"))
+    return components.wcc(whole_graph(spark, sf_dir)).agg(F.countDistinct("component").alias("n_wcc"))
 
 
-@query("wcc_without_seeds", f"""{PART}, thin AS (SELECT src, dst FROM part_edges WHERE (src * 7 + dst * 13) % 40 = 0 AND src % 10 <> 3 AND dst % 10 <> 3),
-ids AS (SELECT id FROM (SELECT src AS id FROM part_edges WHERE (src * 7 + dst * 13) % 40 = 0 UNION SELECT dst FROM part_edges WHERE (src * 7 + dst * 13) % 40 = 0) WHERE id % 10 <> 3), {WEAK} SELECT a AS id, min(b) AS component FROM reach GROUP BY 1""")
+@query("wcc_without_seeds", f"{PART}, {_degrees('part_edges').replace('ids AS', 'all_ids AS').replace('FROM ids', 'FROM all_ids ids')}, hubs AS (SELECT id FROM degrees WHERE degree > (SELECT avg(degree) FROM degrees)), ids AS (SELECT id FROM all_ids WHERE id NOT IN (SELECT id FROM hubs)), rest AS (SELECT src, dst FROM part_edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)), {_reach('rest', True)} SELECT a AS id, min(b) AS component FROM reach GROUP BY 1")
 def wcc_without_seeds(spark, sf_dir):
-    g = thin_graph(spark, sf_dir)
-    return components.wcc(g, g.vertices.where("id % 10 = 3").select("id"))
+    g = whole_graph(spark, sf_dir)
+    degrees = g.degrees()
+    return components.wcc(g, degrees.join(F.broadcast(degrees.agg(F.avg("degree").alias("mean"))), F.col("degree") > F.col("mean")).select("id"))  # one row
 
 
-@query("scc_labels", f"{THIN}, {STRONG} SELECT id, component FROM strong")
+@query("scc_labels", f"{WHOLE}, {_reach('part_edges')}, {STRONG} SELECT id, component FROM strong")
 def scc_labels(spark, sf_dir):
-    return components.scc(thin_graph(spark, sf_dir))
+    return components.scc(whole_graph(spark, sf_dir))
 
 
-@query("scc_filtered_count", f"{PART}, all_thin AS (SELECT src, dst FROM part_edges WHERE (src * 7 + dst * 13) % 40 = 0), thin AS (SELECT * FROM all_thin WHERE src < dst OR src % 2 = 0), ids AS (SELECT src AS id FROM all_thin UNION SELECT dst FROM all_thin), {STRONG} SELECT count(DISTINCT component) AS n_scc FROM strong")
+@query("scc_filtered_count", f"{WHOLE}, live AS (SELECT src, dst FROM part_edges WHERE src < dst OR src % 2 = 0), {_reach('live')}, {STRONG} SELECT count(DISTINCT component) AS n_scc FROM strong")
 def scc_filtered_count(spark, sf_dir):
-    return components.scc(thin_graph(spark, sf_dir), F.expr("src < dst or src % 2 = 0")).agg(F.countDistinct("component").alias("n_scc"))
+    return components.scc(whole_graph(spark, sf_dir), F.expr("src < dst or src % 2 = 0")).agg(F.countDistinct("component").alias("n_scc"))
 
 
-ROBUST = f"""{PART}, thin0 AS (SELECT src, dst FROM part_edges WHERE (src * 7 + dst * 13) % 20 = 0), {_model('thin0')},
+ROBUST = f"""{PART}, {_model('part_edges')},
 live0 AS (SELECT src, dst FROM edges WHERE {fires_sql('p', '1s0', 'src', 'dst')}), live1 AS (SELECT src, dst FROM edges WHERE {fires_sql('p', '1s1', 'src', 'dst')}),
-reach0 AS (SELECT id AS a, id AS b FROM ids UNION SELECT a, dst FROM reach0 JOIN live0 ON src = b), reach1 AS (SELECT id AS a, id AS b FROM ids UNION SELECT a, dst FROM reach1 JOIN live1 ON src = b),
+{_reach('live0', name='reach0')}, {_reach('live1', name='reach1')},
 c0 AS (SELECT r.a AS id, min(r.b) AS c FROM reach0 r JOIN reach0 s ON r.a = s.b AND r.b = s.a GROUP BY 1), c1 AS (SELECT r.a AS id, min(r.b) AS c FROM reach1 r JOIN reach1 s ON r.a = s.b AND r.b = s.a GROUP BY 1)
 SELECT id, min(id) OVER (PARTITION BY c0.c, c1.c) AS group_id FROM c0 JOIN c1 USING (id)"""
 
 
 @query("robust_scc_groups", ROBUST)
 def robust_scc_groups(spark, sf_dir):
-    g = dataset.create_dataset(_sparse(edges.part_edges(spark, sf_dir), 20), dataset.DatasetParams(unweighted_ratio=1.0))
-    return rank.robust_groups(g, 2, 1)
+    return rank.robust_groups(part_graph(spark, sf_dir), 2, 1)
 
 
 @query("robust_scc_seeds")
 def robust_scc_seeds(spark, sf_dir):
-    return rank.robust_scc(part_graph(spark, sf_dir), 3, 1, SKETCHES)
+    return rank.robust_scc(part_graph(spark, sf_dir), 3, 2, SKETCHES)
 
 
 # --- cascades -----------------------------------------------------------------------------------------------------
@@ -369,7 +367,7 @@ def prr_critical(spark, sf_dir):
 def prr_greedy_critical(spark, sf_dir):
     g = part_graph(spark, sf_dir, BOOST)
     critical = boost.critical_by_closures(g, _seeds(g), sketch.centres(g.vertices, 0, SKETCHES, "1c"))
-    return sketch.select(critical, 3, g.vertices, _seeds(g))
+    return boost.cover_critical(critical, 3, g.vertices, _seeds(g))
 
 
 @query("prr_sketch_critical", f"{CRITICAL} SELECT sketch_id, id FROM critical")
@@ -382,13 +380,13 @@ def prr_sketch_critical(spark, sf_dir):
 @query("prr_sketch_stats")
 def prr_sketch_stats(spark, sf_dir):
     g = part_graph(spark, sf_dir, BOOST)
-    return boost.stats(boost.boost_sketches(g, _seeds(g), 50, 2))
+    return boost.stats(boost.boost_sketches(g, _seeds(g), SKETCHES, 2))
 
 
 @query("prr_full_select")
 def prr_full_select(spark, sf_dir):
     g = part_graph(spark, sf_dir, BOOST)
-    return boost.select(boost.boost_sketches(g, _seeds(g), 50, 2), 2, g.vertices)
+    return boost.select(boost.boost_sketches(g, _seeds(g), SKETCHES, 2), 3, g.vertices)
 
 
 @query("seed_candidates", f"{PART}, {_model('part_edges')}, s AS (SELECT ids.id, round(coalesce(sum(p), 0), 9) AS strength FROM ids LEFT JOIN edges ON src = ids.id GROUP BY 1) SELECT id FROM s ORDER BY strength DESC, id LIMIT (SELECT floor(count(*) * 0.1::DOUBLE)::BIGINT FROM ids)")

@@ -22,12 +22,16 @@ def pairs(lines: DataFrame, skip: int = 0) -> DataFrame:
     return lines.where(F.trim("value") != "").select("line", part[0].try_cast("long").alias("u"), part[1].try_cast("long").alias("v")).where("u <> v")
 
 
+def directed_flag(rows: DataFrame) -> DataFrame:
+    """(directed): one row, whether pairs (u, v) both ascend and descend."""
+    return rows.agg((F.bool_or(F.col("u") < F.col("v")) & F.bool_or(F.col("u") > F.col("v"))).alias("directed"))
+
+
 def directed(rows: DataFrame, given: bool | None = None) -> bool:
     """Whether a list of pairs (u, v) is directed: not if all ascend or all descend, unless that is given."""
     if given is not None:
         return given
-    up, down = rows.agg(F.bool_or(F.col("u") < F.col("v")), F.bool_or(F.col("u") > F.col("v"))).first()
-    return bool(up and down)
+    return bool(directed_flag(rows).first().directed)
 
 
 def renumbered(rows: DataFrame) -> DataFrame:
