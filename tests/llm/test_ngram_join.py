@@ -97,3 +97,11 @@ def test_sketches_differ_in_no_more_places_than_sets_in_elements():
         words = min(len(x), len(y))
         assert np.bitwise_count(N._folded(x, words) ^ N._folded(y, words)).sum() <= len(np.setxor1d(a, b))
         assert len(x) * 64 >= 2 * len(a)
+
+
+def test_bitmap_of_ids_keeps_all_that_are_asked_for(spark):
+    docs = spark.range(-500, 20_000).selectExpr("id doc_id", "cast(id as string) text")
+    asked = spark.range(-500, 20_000, 37).selectExpr("id doc_id")
+    kept = {r.doc_id for r in N._maybe_asked(docs, asked).collect()}
+    assert set(range(-500, 20_000, 37)) <= kept and len(kept) < 700
+    assert N._maybe_asked(docs, asked.limit(0)).count() == 0

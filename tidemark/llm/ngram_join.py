@@ -33,6 +33,7 @@ unless its sketches are close; few of them as pairs.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ PARTS = 0.6
 FAN_IN = 128
 #: A set is frequent if it makes up more than one in so many documents.
 HOT_SHARE = 20_000
+#: Places of the bitmap of ids whose texts are asked for, 4 MB, and 64-bit words of it that one row holds.
+ID_BITS, ID_WORDS = 25, 1024
 #: Documents whose sketches meet as many others in one step; under a lead with more than FEW, documents meet so.
 BLOCK, FEW = 256, 64
 
@@ -275,10 +278,35 @@ def _linked(ws: C.Workspace, docs: DataFrame, sketches: DataFrame, pairs: DataFr
     return _verified(ws, docs, close, name)
 
 
+def _bitmap_piece(key, table):
+    words = np.zeros(ID_WORDS, dtype=np.int64)
+    words[table.column("word").to_numpy() % ID_WORDS] = table.column("bits").to_numpy()
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([words.tobytes()], pa.binary())})
+
+
+def _maybe_asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id is not among ``asked``, by a bitmap of hashed ids of fixed size: other rows
+    need no shuffle of their texts. Some stay by chance, the more the more ids are asked for; a join sees to those."""
+    place = f"shiftrightunsigned(xxhash64(doc_id), {64 - ID_BITS})"
+    words = asked.select(F.expr(place).alias("place")).groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
+    pieces = words.groupBy(F.expr(f"word div {ID_WORDS}").alias("piece")).applyInArrow(_bitmap_piece, "piece long, bits binary")
+    whole = bytearray((1 << ID_BITS) // 8)
+    for r in pieces.collect():  # 2 ** ID_BITS bits at most
+        whole[r.piece * ID_WORDS * 8 : (r.piece + 1) * ID_WORDS * 8] = r.bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(whole))
+
+    @F.pandas_udf("boolean")
+    def known(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((np.frombuffer(shared.value, dtype=np.uint64)[at >> 6] >> (at & 63).astype(np.uint64)) & _U64(1) == 1)
+
+    return docs.where(known(F.expr(place)))
+
+
 def _verified(ws: C.Workspace, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of a written table that link, by their texts."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = ws.save(docs.join(asked, "doc_id", "left_semi"), f"{name}-texts")
+    texts = ws.save(_maybe_asked(docs, asked).join(asked, "doc_id", "left_semi"), f"{name}-texts")
     C.free_shuffles(ws.spark)
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     out = ws.save(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct(), name)
