@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +87,20 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def lean(run):
+    """``run``, a function for mapInArrow, after whose last batch the worker gives memory back to the system: an idle
+    worker lives on for a while beside what runs next."""
+
+    def then_free(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+        if trim is not None:
+            trim(0)
+
+    return then_free
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``most`` bytes of text each, or one longer row."""
     array = batch.column(column)
@@ -135,7 +150,7 @@ def powers(base: np.uint64, name: str, n: int) -> np.ndarray:
         have = np.full(max(n, 4096), base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 4 * STEP_BYTES:
+        if len(have) <= STEP_BYTES + 1:
             _powers[name] = have
     return have[:n]
 

@@ -114,7 +114,7 @@ def fingerprints(media: DataFrame, key: str, samples: str = "samples") -> DataFr
                 got = [fingerprint(np.frombuffer(x or b"", dtype="<i2")) for x in batch.column(samples).to_pylist()]
                 yield pa.record_batch([batch.column(key), pa.array([len(x) for x in got], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in got], pa.binary())], names=[key, "n_frames", "fingerprint"])
 
-    return media.select(F.col(key).cast("long").alias(key), samples).mapInArrow(run, f"`{key}` long, n_frames long, fingerprint binary")
+    return media.select(F.col(key).cast("long").alias(key), samples).mapInArrow(C.lean(run), f"`{key}` long, n_frames long, fingerprint binary")
 
 
 def _search(batches):
@@ -165,7 +165,7 @@ def search(prints: DataFrame, key: str, is_query, name: str = "audio") -> DataFr
     queries = classes.where("asked").select(F.expr(f"pmod(xxhash64(class_id), {blocks})").alias("q"), item.alias("x")).groupBy("q").agg(F.collect_list("x").alias("queries"))
     others = classes.select(F.expr(f"pmod(xxhash64(class_id, 7), {(n or 0) // (4 * QUERIES) + 1})").alias("r"), item.alias("x")).groupBy("r").agg(F.collect_list("x").alias("others"))
     every = others.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q"), "others")  # each block of recordings meets each block of queries
-    found = every.join(queries, "q").select("queries", "others").mapInArrow(_search, "class_id long, match_id long, match_offset long, match_error double")
+    found = every.join(queries, "q").select("queries", "others").mapInArrow(C.lean(_search), "class_id long, match_id long, match_offset long, match_error double")
     best = found.groupBy("class_id").agg(F.min(F.struct("match_error", "match_id", "match_offset")).alias("m"))
     best = ws.save(best.select("class_id", "m.match_id", "m.match_offset", "m.match_error"), "best")
     rows = prints.join(classes.select("fingerprint", "class_id"), "fingerprint", "left").join(best, "class_id", "left")
@@ -190,7 +190,7 @@ def rendered(vectors: DataFrame, key: str, vector: str) -> DataFrame:
                     out.append((wave * 12000).astype("<i2").tobytes())
                 yield pa.record_batch([batch.column(key), pa.array(out, pa.binary())], names=[key, "samples"])
 
-    return vectors.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, f"`{key}` long, samples binary")
+    return vectors.select(F.col(key).cast("long").alias(key), vector).mapInArrow(C.lean(run), f"`{key}` long, samples binary")
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

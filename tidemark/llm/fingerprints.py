@@ -149,7 +149,7 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", s
             for batch in C.slices(whole, text):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(to_text, fingerprints(batch.column(text), samples))), pa.string())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, C.schema_with(docs, f"`{out}` string"))
+    return docs.mapInArrow(C.lean(run), C.schema_with(docs, f"`{out}` string"))
 
 
 def with_next(docs: DataFrame, shares: int | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def edited_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     the first so many of the next document's. One shuffle of the texts. Empty texts equal each other; of one row the
     next document is the row itself. Repeated rows each get a row; other columns are not read.
     """
-    return with_next(docs).mapInArrow(_pairs(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(C.lean(_pairs(samples)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ DIM_BITS, GRAMS, CENTROIDS, ROUNDS = 15, (2, 3, 4), 4, 12
 REJECT_QUANTILE, HOLD, PIECES = 0.01, 4, (8, 16, 32, 64, 128, 256, 1024, 4096)
 #: A language of fewer texts than LEAST has none to spare: then this share of its least training cosine counts.
 LEAST, REJECT_SHARE = 100, 0.25
-#: Texts that one vectorised step takes.
-STEP = 64
+#: Texts that one vectorised step takes: its dense rows stay within 4 MB an array.
+STEP = 16
 UNDETERMINED = "und"
 
 _GAP = np.arange(256, dtype=np.uint8)
@@ -203,7 +203,7 @@ def train(docs: DataFrame, allowed) -> Model:
     names = ids.agg(F.count_distinct("lang")).first()[0]
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # a limit for each language, applied before the shuffle
     chosen = ids.withColumn("place", place).where(F.col("place") <= max(1, TRAIN // max(1, names))).select("doc_id").distinct()
-    rows = known.where("text is not null").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, digest binary, lang string, slots binary, weights binary, pieces array<string>")
+    rows = known.where("text is not null").join(F.broadcast(chosen), "doc_id").mapInArrow(C.lean(_sampled), "doc_id long, digest binary, lang string, slots binary, weights binary, pieces array<string>")
     first = F.min(F.struct("digest", "lang", "slots", "weights", "pieces")).alias("r")
     got = rows.groupBy("doc_id").agg(first).select("doc_id", "r.*").toArrow().sort_by("doc_id")  # at most TRAIN rows
     parts = (got.column(c) for c in ("lang", "slots", "weights", "pieces"))
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str,
                         score, rejected, found = np.zeros(len(part)), np.ones(len(part), bool), [UNDETERMINED] * len(part)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(run, C.schema_with(docs, "`{}` string, `{}` double, `{}` boolean".format(*names)))
+    return docs.mapInArrow(C.lean(run), C.schema_with(docs, "`{}` string, `{}` double, `{}` boolean".format(*names)))
 
 
 def held_out(modulus: int, remainder: int):

@@ -262,7 +262,7 @@ def _frequent(sets: DataFrame) -> dict[bytes, int]:
 
 def _members(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
     """(lead, doc, size, lead_size): the documents of each signature that more than one has, by the lead of its bucket."""
-    sigs = docs.where("doc_id is not null").mapInArrow(_signatures(shared), "sig long, doc long, rank long")
+    sigs = docs.where("doc_id is not null").mapInArrow(C.lean(_signatures(shared)), "sig long, doc long, rank long")
     by_sig = Window.partitionBy("sig").orderBy("rank", "doc")
     chained = sigs.withColumns({"lead": F.first("doc").over(by_sig), "lead_rank": F.first("rank").over(by_sig), "then": F.lead("doc").over(by_sig)})
     size_of = lambda rank: F.expr(f"{rank} & 4294967295")
@@ -273,7 +273,7 @@ def _members(ws: C.Workspace, docs: DataFrame, shared) -> DataFrame:
 def _linked(ws: C.Workspace, docs: DataFrame, sketches: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) that link: by sketches, then by texts."""
     a, b = (sketches.select(F.col("doc").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    close = ws.save(pairs.join(a, "a").join(b, "b").mapInArrow(_close, "a long, b long").distinct(), f"{name}-close")
+    close = ws.save(pairs.join(a, "a").join(b, "b").mapInArrow(C.lean(_close), "a long, b long").distinct(), f"{name}-close")
     C.free_shuffles(ws.spark)
     return _verified(ws, docs, close, name)
 
@@ -309,7 +309,7 @@ def _verified(ws: C.Workspace, docs: DataFrame, pairs: DataFrame, name: str) ->
     texts = ws.save(_maybe_asked(docs, asked).join(asked, "doc_id", "left_semi"), f"{name}-texts")
     C.free_shuffles(ws.spark)
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    out = ws.save(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct(), name)
+    out = ws.save(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(C.lean(_verify), "a long, b long").distinct(), name)
     ws.drop(f"{name}-close", f"{name}-texts")
     return out
 
@@ -343,7 +343,7 @@ def _other_links(ws: C.Workspace, docs: DataFrame, members: DataFrame, sketches:
     some = many.where("apart").groupBy("lead", block("n_apart").alias("at")).agg(F.collect_list("d").alias("some"))
     others = many.groupBy("lead", block("n_docs").alias("block")).agg(F.collect_list("d").alias("many"), F.first("n_apart").alias("n_apart"))
     dealt = others.select("lead", "many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n_apart div {BLOCK}"))).alias("at"))
-    close = ws.save(some.join(dealt, ["lead", "at"]).select("some", "many").mapInArrow(_close_blocks, "a long, b long").distinct(), "others-close")
+    close = ws.save(some.join(dealt, ["lead", "at"]).select("some", "many").mapInArrow(C.lean(_close_blocks), "a long, b long").distinct(), "others-close")
     C.free_shuffles(ws.spark)
     return _verified(ws, docs, close, "others").union(few)
 
@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, name: str = "ngram") -> DataFrame:
     spark = docs.sparkSession
     ws = C.Workspace(spark, name)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = ws.save(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_key binary, sketch binary, piece int, task long, counts binary"), "profile")
+    profile = ws.save(docs.mapInArrow(C.lean(_profile), "doc_id long, n_shingles long, set_key binary, sketch binary, piece int, task long, counts binary"), "profile")
     rows = profile.where("piece is null").select("doc_id", "n_shingles", "set_key")
     sets = ws.save(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
     same = ws.save(rows.where("doc_id is not null").join(sets.where("n > 1").select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same")

@@ -57,7 +57,7 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, special: tuple[tuple[str
                 before += int(n.sum())
                 yield pa.record_batch([pa.array([task] * len(n), pa.int32()), pa.array(starts), batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], names=["task", "before", "doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "task int, before long, doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.lean(run), "task int, before long, doc_id long, n_tokens long, ids binary")
 
 
 def pack(tokens: DataFrame, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -85,7 +85,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, with_ids: bool = True) -> Data
                         start += take
                 yield pa.record_batch([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=names)
 
-    return tokens.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, crosses boolean" + ", ids binary" * with_ids)
+    return tokens.mapInArrow(C.lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, crosses boolean" + ", ids binary" * with_ids)
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = END) -> DataFrame:

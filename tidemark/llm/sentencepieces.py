@@ -215,7 +215,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", en
                 got = [[*c.encode(x or ""), c.end] if end else c.encode(x or "") for x in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, C.schema_with(docs, f"`{ids}` array<int>"))
+    return docs.mapInArrow(C.lean(run), C.schema_with(docs, f"`{ids}` array<int>"))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -229,7 +229,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
             got = [c.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, text])
 
-    return docs.mapInArrow(run, C.schema_with(docs, f"`{text}` string"))
+    return docs.mapInArrow(C.lean(run), C.schema_with(docs, f"`{text}` string"))
 
 
 def round_trip_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -252,7 +252,7 @@ def round_trip_digests(docs: DataFrame, model: str) -> DataFrame:
                     of_text.append(hashlib.sha256(c.decode(got).encode()).hexdigest())
                 yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

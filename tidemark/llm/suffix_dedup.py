@@ -200,7 +200,7 @@ def _sort(batches, width: int):
 
 def _candidates(ws: C.Workspace, docs: DataFrame, width: int) -> DataFrame:
     """Texts (d, h, text, spans) with the stretches whose keys have more than one run."""
-    found = ws.save(docs.mapInArrow(partial(_stretches, width=width), "key long, d long, h long, a long, e long, n long"), "stretches")
+    found = ws.save(docs.mapInArrow(C.lean(partial(_stretches, width=width)), "key long, d long, h long, a long, e long, n long"), "stretches")
     several = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     spans = found.join(several, "key", "left_semi").groupBy("d", "h").agg(F.collect_set(F.struct("a", "e")).alias("spans"))  # of one text
     return ws.save(docs.join(spans, ["d", "h"]), "texts")
@@ -210,16 +210,16 @@ def _repeated(ws: C.Workspace, docs: DataFrame, width: int) -> DataFrame:
     """(d, h, spans): runs (a, b) of bytes that go, of each text that has any."""
     texts = _candidates(ws, docs, width)
     C.free_shuffles(ws.spark)
-    once = texts.mapInArrow(partial(_sampled, width=width), "g long, d long, h long, p long").groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p")).alias("at")).where("n = 1")
+    once = texts.mapInArrow(C.lean(partial(_sampled, width=width)), "g long, d long, h long, p long").groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("d", "h", "p")).alias("at")).where("n = 1")
     single = ws.save(once.groupBy("at.d", "at.h").agg(F.collect_list("at.p").alias("single")), "single")  # of one text
     C.free_shuffles(ws.spark)
-    pieces = ws.save(texts.join(single, ["d", "h"], "left").mapInArrow(partial(_pieces, width=width), "key long, digest binary, own boolean, d long, h long, start long, bytes binary"), "pieces")
+    pieces = ws.save(texts.join(single, ["d", "h"], "left").mapInArrow(C.lean(partial(_pieces, width=width)), "key long, digest binary, own boolean, d long, h long, start long, bytes binary"), "pieces")
     C.free_shuffles(ws.spark)
     distinct = ws.save(pieces.groupBy("key", "digest").agg(F.count("*").alias("n"), F.first("own").alias("own"), F.first("bytes").alias("bytes")), "distinct")
     C.free_shuffles(ws.spark)
     full = distinct.where("n > 1").select("key", "digest", F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.length("bytes") - width).cast("long").alias("hi"))).alias("ranges"))
     several = distinct.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("n").alias("least")).where("least = 1 and (n > 1 or own)").select("key")
-    found = distinct.join(several, "key", "left_semi").select("key", "digest", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(partial(_sort, width=width), "key long, digest binary, ranges array<struct<lo:long,hi:long>>")
+    found = distinct.join(several, "key", "left_semi").select("key", "digest", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(C.lean(partial(_sort, width=width)), "key long, digest binary, ranges array<struct<lo:long,hi:long>>")
     partly = found.join(distinct.where("n = 1").select("key", "digest"), ["key", "digest"], "left_semi").where("size(ranges) > 0")
     ranges = ws.save(full.unionByName(partly), "ranges")
     C.free_shuffles(ws.spark)
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, name: str = "suffixes", as_text: bool = Fals
                     count.append(len(cut))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], names=[*columns, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(run, C.schema_with(docs, f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"))
+    return joined.mapInArrow(C.lean(run), C.schema_with(docs, f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

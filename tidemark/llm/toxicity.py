@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     rows = C.Workspace(docs.sparkSession, "toxicity").save(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")  # at most TRAIN rows
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counts = rows.mapInArrow(_counted, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST)
+    counts = rows.mapInArrow(C.lean(_counted), "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= LEAST)
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if n1 and n0:
         part_of = lambda seen, total: F.when(seen > 0, seen * F.log(seen * F.lit(float(n1 + n0)) / (F.lit(float(total)) * F.col("n")))).otherwise(0.0)
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed) -> Model:
         name, in_all, in_toxic = (got.column(c).to_numpy() for c in ("feature", "n", "toxic"))
     else:
         name = in_all = in_toxic = np.zeros(0, np.int64)
-    held = rows.mapInArrow(_held(name), "doc_id long, toxic int, features binary").toArrow().sort_by("doc_id")
+    held = rows.mapInArrow(C.lean(_held(name)), "doc_id long, toxic int, features binary").toArrow().sort_by("doc_id")
     return fit_features([np.frombuffer(x, np.int32) for x in held.column("features").to_pylist()], held.column("toxic").to_numpy().astype(np.float64), name, in_toxic, in_all)
 
 
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 s = score_texts(batch.column(text), shared.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, C.schema_with(docs, "score double, predicted int"))
+    return docs.mapInArrow(C.lean(run), C.schema_with(docs, "score double, predicted int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
