@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.graphs import A, A_LEFT, BOOST, C, SEED, graph, ids, plain
 from tidemark.functions.draw import draw
 from tidemark.graph import Graph
-from tidemark.operators import boost, cascade, coarsen, components, match, ordering, rank, sketch
+from tidemark.operators import boost, cascade, coarsen, components, match, ordering, rank, sketch, whole
 from tidemark.plans import experiment
 from tidemark.sources import dataset, edges
 
@@ -277,3 +277,35 @@ def test_strong_components_over_tables_and_in_one_task(spark, monkeypatch, bound
     monkeypatch.setattr(components, "IN_ONE_TASK", bound)
     g = Graph(spark.createDataFrame([(v, 1.0) for v in reach], "id long, weight double"), spark.createDataFrame(sorted(pairs), "src long, dst long"), SEED)
     assert {r.id: r.component for r in components.scc(g).collect()} == exact
+
+
+def jobs(spark, run):
+    """What ``run`` returns, and how many jobs it took."""
+    name = f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setJobGroup("others", "others")
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def long_path(spark, model, n=60):
+    """0, 1, ..., n - 1, all edges certain but the last one, which takes a seed or a boost."""
+    name = "p_seed" if model == SEED else "p_boost"
+    return Graph.of(spark.createDataFrame([(i, i + 1, float(i < n - 2), 1.0) for i in range(n - 1)], f"src long, dst long, p double, {name} double"), model)
+
+
+def test_reverse_sketches_take_no_job_a_hop(spark):
+    g = long_path(spark, SEED)
+    rows, n = jobs(spark, lambda: sorted(map(tuple, sketch.rr_sketches(g, 30).collect())))
+    starts = dict(map(tuple, sketch.centres(g.vertices, 0, 30, "1c").collect()))
+    assert rows == sorted((s, v) for s, c in starts.items() for v in (range(c + 1) if c < 59 else (58, 59)))
+    assert n < 40
+
+
+def test_reverse_sketches_by_tasks_and_by_hops(spark, monkeypatch):
+    g = graph(spark, A)
+    by_tasks = sorted(map(tuple, sketch.rr_sketches(g, 100).collect()))
+    monkeypatch.setattr(whole, "EDGES_IN_TASK", 0)
+    assert sorted(map(tuple, sketch.rr_sketches(g, 100).collect())) == by_tasks

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import RANGE, draw
 from ..graph import SEED, Graph
-from ..lineage import cut
+from ..lineage import counted, cut
+from . import whole
 from .cascade import closure
 from .ordering import ranked
 
@@ -33,18 +34,21 @@ def centres(vertices: DataFrame, first: int, last: int, salt: int | str = 1) ->
 
 def rr_sketches(g: Graph, n: int, first: int = 0, salt: int | str = 1) -> DataFrame:
     """(sketch_id, id) of sketches first to first + n - 1. An edge of a sketch is decided by one draw: below p its source
-    is a member and goes on; below p_seed it is a member. Members do not depend on the order of neighbours.
+    is a member and goes on; below p_seed it is a member. Members do not depend on the order of neighbours. Graphs that a
+    task can hold are walked there, larger ones hop by hop.
     """
     start = centres(g.vertices, first, first + n, f"{salt}c")
     second = F.col("p_seed") if g.model == SEED else F.col("p")
-    edges = g.edges.select("src", "dst", F.floor(F.least(F.col("p"), second) * float(RANGE)).alias("_t"), F.floor(second * float(RANGE)).alias("_s")).where("_s > 0 or _t > 0")
+    edges, m = counted(whole.thresholds(g.edges, F.least(F.col("p"), second), second), "edges")
+    if m <= whole.EDGES_IN_TASK:
+        return cut(whole.walk(start, edges, whole.members(salt), "sketch_id long, id long"), "sketches")
     chance = draw(salt, "sketch_id", "src", "dst")
 
     def back(frontier: DataFrame, limit: str) -> DataFrame:
         return frontier.join(edges, frontier.id == edges.dst).where(chance < F.col(limit)).select("sketch_id", F.col("src").alias("id"))
 
-    inner = cut(closure(start, lambda f: back(f, "_t"), ["sketch_id", "id"]), "sketches")
-    return cut(inner.union(back(inner, "_s")).distinct(), "sketches") if g.model == SEED else inner
+    inner = cut(closure(start, lambda f: back(f, "t"), ["sketch_id", "id"]), "sketches")
+    return cut(inner.union(back(inner, "s")).distinct(), "sketches") if g.model == SEED else inner
 
 
 def append(g: Graph, members: DataFrame | None, have: int, upto: int, salt: int | str = 1) -> DataFrame:

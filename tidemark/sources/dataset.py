@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import uniform
 from ..graph import BOOST, SEED, Graph
+from ..lineage import cut
 from ..operators.ordering import ranked
 
 
@@ -73,14 +74,14 @@ def edge_model(in_degree: Column, out_degree: Column, penalized: Column, params:
 
 
 def create_dataset(edges: DataFrame, params: DatasetParams) -> Graph:
-    """A graph of the given model from (src, dst)."""
-    bare = Graph.of(edges.select("src", "dst").dropDuplicates(["src", "dst"]))
-    table = vertex_table(bare, params)
+    """A graph of the given model from (src, dst). Its tables are written, so that loops do not derive them anew each round."""
+    bare = Graph.of(cut(edges.select("src", "dst").dropDuplicates(["src", "dst"]), "dataset"))
+    table = cut(vertex_table(bare, params), "dataset")
     rows = bare.edges.join(table.select(F.col("id").alias("dst"), "in_degree"), "dst").join(table.select(F.col("id").alias("src"), "out_degree", "penalized"), "src")
     p, second = edge_model(F.col("in_degree"), F.col("out_degree"), F.col("penalized"), params)
     name = "p_seed" if params.model == SEED else "p_boost"
     second = F.greatest(second, p) if params.model == BOOST else second
-    return Graph(table.select("id", "weight"), rows.select("src", "dst", p.alias("p"), second.alias(name)), params.model)
+    return Graph(table.select("id", "weight"), cut(rows.select("src", "dst", p.alias("p"), second.alias(name)), "dataset"), params.model)
 
 
 def create_dataset_from_json(edges: DataFrame, text: str) -> Graph:
