@@ -309,3 +309,31 @@ def test_reverse_sketches_by_tasks_and_by_hops(spark, monkeypatch):
     by_tasks = sorted(map(tuple, sketch.rr_sketches(g, 100).collect()))
     monkeypatch.setattr(whole, "EDGES_IN_TASK", 0)
     assert sorted(map(tuple, sketch.rr_sketches(g, 100).collect())) == by_tasks
+
+
+def test_boost_sketches_take_no_job_a_hop(spark):
+    g, seeds = long_path(spark, BOOST), ids(spark, [0])
+    made, n = jobs(spark, lambda: boost.boost_sketches(g, seeds, 200, 2))
+    last = [s for s, c in sketch.centres(g.vertices, 0, 200, "1c").collect() if c == 59]
+    assert last and sorted(map(tuple, made.critical.collect())) == [(s, 59) for s in last]
+    assert n < 60
+    by_closure, n = jobs(spark, lambda: boost.critical_by_closures(g, seeds, sketch.centres(g.vertices, 0, 200, "1c")).collect())
+    assert sorted(map(tuple, by_closure)) == [(s, 59) for s in last]
+    assert n < 40
+
+
+@pytest.mark.parametrize("text, first", [(A, [9]), (C, [17, 8, 4])])
+def test_boost_sketches_by_tasks_and_by_hops(spark, monkeypatch, text, first):
+    g, seeds = graph(spark, text, BOOST), ids(spark, first)
+
+    def found():
+        made = boost.boost_sketches(g, seeds, 150, 2)
+        closures = boost.critical_by_closures(g, seeds, sketch.centres(g.vertices, 0, 150, "1c"))
+        tables = made.touched, made.distances, made.edges, made.critical, closures, boost.select(made, 2, g.vertices)
+        return [sorted(map(tuple, t.select(sorted(t.columns)).collect()), key=repr) for t in tables]
+
+    by_tasks = found()
+    assert by_tasks[0] and by_tasks[3] == by_tasks[4]
+    monkeypatch.setattr(whole, "EDGES_IN_TASK", 0)
+    monkeypatch.setattr(boost, "SKETCH_IN_TASK", -1)
+    assert found() == by_tasks

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from ..functions.draw import draw
 from ..graph import Graph
 from ..lineage import counted, cut
-from . import sketch
+from . import sketch, whole
 from .cascade import closure, edge_state
 
 KEY = ["sketch_id", "id"]
 
+#: Most edges of a sketch whose distances one task finds; about 300 bytes each.
+SKETCH_IN_TASK = 500_000
+
 
 @dataclass(frozen=True)
 class BoostSketches:
@@ -90,6 +93,37 @@ def boost_sketches(g: Graph, seeds: DataFrame, attempts: int, k: int, first: int
     seeds = cut(seeds.select(F.col("id").cast("long")).distinct(), "boost")
     drawn = cut(sketch.centres(g.vertices, first, first + attempts, f"{salt}c"), "boost")
     start = drawn.join(seeds, "id", "left_anti").select("sketch_id", "id")
+    touched = _touched_in_tasks(g, seeds, start, k, salt)
+    if touched is None:
+        kept, touched = _touched_by_levels(g, seeds, start, k, salt)
+    else:
+        kept = cut(touched.select("sketch_id").distinct(), "boost")
+    centres = cut(start.join(kept, "sketch_id", "left_semi"), "boost")
+    both = two_distances(touched, centres, seeds, k)
+    distances, edges = compressed(touched, centres, both, k)
+    return BoostSketches(attempts, centres, touched, distances, edges, cut(critical_of(touched, both), "boost"), seeds, k)
+
+
+def _named(ids: DataFrame) -> frozenset[int]:
+    """The seeds or the vertices to boost: a given, short list."""
+    return frozenset(r.id for r in ids.select("id").collect())
+
+
+def _states_in_tasks(g: Graph) -> DataFrame | None:
+    """Edges with the thresholds of LIVE and LIVE_UPON_BOOST, if a task can hold them."""
+    edges, m = counted(whole.thresholds(g.edges, F.col("p"), F.col("p_boost")), "boost")
+    return edges if m <= whole.EDGES_IN_TASK else None
+
+
+def _touched_in_tasks(g: Graph, seeds: DataFrame, start: DataFrame, k: int, salt: int | str) -> DataFrame | None:
+    edges = _states_in_tasks(g)
+    if edges is None:
+        return None
+    return cut(whole.walk(start, edges, whole.touched(salt, _named(seeds), k), "sketch_id long, src long, dst long, state string"), "boost")
+
+
+def _touched_by_levels(g: Graph, seeds: DataFrame, start: DataFrame, k: int, salt: int | str) -> tuple[DataFrame, DataFrame]:
+    """The sketches that are kept, and their touched edges, hop by hop."""
 
     def backward(frontier: DataFrame) -> DataFrame:
         return edge_states(g, frontier, salt).select("sketch_id", F.col("src").alias("next"), "state", F.col("dst").alias("target"))
@@ -99,11 +133,7 @@ def boost_sketches(g: Graph, seeds: DataFrame, attempts: int, k: int, first: int
     kept = cut(at_seed.where("near > 0").select("sketch_id"), "boost")
     to_centre = cut(to_centre.join(kept, "sketch_id", "left_semi"), "boost")
     inner = to_centre.join(seeds, "id", "left_anti").select(*KEY)
-    touched = cut(edge_states(g, inner, salt).join(to_centre.select("sketch_id", F.col("id").alias("src")), ["sketch_id", "src"], "left_semi").select("sketch_id", "src", "dst", "state"), "boost")
-    centres = cut(start.join(kept, "sketch_id", "left_semi"), "boost")
-    both = two_distances(touched, centres, seeds, k)
-    distances, edges = compressed(touched, centres, both, k)
-    return BoostSketches(attempts, centres, touched, distances, edges, cut(critical_of(touched, both), "boost"), seeds, k)
+    return kept, cut(edge_states(g, inner, salt).join(to_centre.select("sketch_id", F.col("id").alias("src")), ["sketch_id", "src"], "left_semi").select("sketch_id", "src", "dst", "state"), "boost")
 
 
 def found_seeds(touched: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -111,7 +141,12 @@ def found_seeds(touched: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def two_distances(touched: DataFrame, centres: DataFrame, seeds: DataFrame, k: int, boosted: DataFrame | None = None) -> DataFrame:
-    """(sketch_id, id, dist_s, dist_r): distances from the seeds and to the centre; beyond k they are null."""
+    """(sketch_id, id, dist_s, dist_r): distances from the seeds and to the centre; beyond k they are null. Sketches
+    are taken in one task each, unless the largest has more than SKETCH_IN_TASK edges."""
+    largest = touched.groupBy("sketch_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= SKETCH_IN_TASK:
+        rows = centres.withColumnRenamed("id", "centre").join(touched, "sketch_id", "left")
+        return cut(whole.distances(rows, _named(seeds), k, _named(boosted) if boosted is not None else frozenset()), "boost")
     from_seeds = levels(found_seeds(touched, seeds), _within(touched, False), k, boosted).withColumnRenamed("dist", "dist_s")
     to_centre = levels(centres, _within(touched, True), k, boosted).withColumnRenamed("dist", "dist_r")
     return cut(from_seeds.join(to_centre, KEY, "full"), "boost")
@@ -145,6 +180,9 @@ def critical_by_closures(g: Graph, seeds: DataFrame, centres: DataFrame, salt: i
     vertex that a seed reaches over LIVE edges, and no seed reaches the centre so. It does not depend on k."""
     seeds = seeds.select("id").distinct()
     start = centres.join(seeds, "id", "left_anti").select(*KEY)
+    edges = _states_in_tasks(g)
+    if edges is not None:
+        return cut(whole.walk(start, edges, whole.critical(salt, _named(seeds)), "sketch_id long, id long"), "boost")
     back = closure(start, lambda f: edge_states(g, f, salt).where("state = 'LIVE'").select("sketch_id", F.col("src").alias("id")), KEY)
     back = cut(back, "boost")
     alive = back.join(back.join(seeds, "id", "left_semi").select("sketch_id").distinct(), "sketch_id", "left_anti")
