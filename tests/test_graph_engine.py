@@ -337,3 +337,20 @@ def test_boost_sketches_by_tasks_and_by_hops(spark, monkeypatch, text, first):
     monkeypatch.setattr(whole, "EDGES_IN_TASK", 0)
     monkeypatch.setattr(boost, "SKETCH_IN_TASK", -1)
     assert found() == by_tasks
+
+
+def test_cascades_take_no_job_a_hop(spark):
+    g = long_path(spark, BOOST)
+    rows, n = jobs(spark, lambda: cascade.reached_both(g, ids(spark, [0]), 2, ids(spark, [59])).collect())
+    assert sorted(map(tuple, rows)) == [(s, v, v < 59, True) for s in range(2) for v in range(60)]
+    assert n < 30
+    assert jobs(spark, lambda: cascade.reached(g, ids(spark, [0]), 2).count())[1] < 30
+
+
+def test_cascades_ahead_and_by_hops(spark, monkeypatch):
+    g, seeds, more = graph(spark, A, BOOST), ids(spark, [9, 2, 77]), ids(spark, [4, 5])
+    seen = lambda: [sorted(map(tuple, rows.collect())) for rows in (cascade.reached_both(g, seeds, 40, more), cascade.reached(g, seeds, 40), cascade.reached(g, seeds, 40, more), cascade.reached(graph(spark, A), seeds, 40))]
+    ahead = seen()
+    assert [r[:2] for r in ahead[0] if r[2]] == ahead[1] and [r[:2] for r in ahead[0] if r[3]] == ahead[2] != ahead[1]
+    monkeypatch.setattr(cascade, "DRAWS_AHEAD", 0)
+    assert seen() == ahead

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.draw import RANGE, draw
 from ..graph import BOOST, SEED, Graph
 from ..lineage import counted, cut, is_empty
+from . import whole
+
+#: Most draws of a cascade that are made for all edges and trials ahead, which takes one job in place of one a hop.
+DRAWS_AHEAD = 1_000_000_000
 
 
 def closure(start: DataFrame, step, keys: list[str], most: int | None = None) -> DataFrame:
@@ -53,9 +57,46 @@ def reached(g: Graph, seeds: DataFrame, tries: int, boosted: DataFrame | None =
         return frontier.join(edges, frontier.id == edges.src).where(draw(salt, "sim", "src", "dst") < F.col("_t")).select("sim", F.col("dst").alias("id"))
 
     start = seeds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("sim"), "id")
+    m, live = edges.agg(F.count("*"), F.sum("_t") / float(RANGE)).first()
+    if _ahead(m, live, tries):
+        return _spread(edges.withColumn("_b", F.col("_t")), seeds, start, tries, salt).select("sim", "id")
     return closure(start, step, ["sim", "id"])
 
 
+def _ahead(m: int, live: float | None, tries: int) -> bool:
+    """Whether all draws are made ahead: if there are not too many, and a task can hold the live edges of a trial, of which
+    ``live`` are expected."""
+    return m * tries <= DRAWS_AHEAD and (live or 0.0) + 6 * (live or 0.0) ** 0.5 <= whole.EDGES_IN_TASK
+
+
+def _spread(edges: DataFrame, seeds: DataFrame, start: DataFrame, tries: int, salt: int | str) -> DataFrame:
+    """(sim, id, plain, boosted): whether the edges (src, dst, _t, _b) that fire below _t and those that fire below _b lead
+    from seeds to a vertex. All edges are drawn for all trials, then each trial is walked in one task."""
+    trials = edges.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("sim"), "src", "dst", "_t", "_b")
+    x = F.element_at(F.transform(F.array(draw(salt, "sim", "src", "dst")), lambda d: F.when(d < F.greatest("_t", "_b"), (d < F.col("_t")).cast("int") + 2 * (d < F.col("_b")).cast("int"))), 1)
+    live = trials.select("sim", "src", "dst", x.alias("fires")).where("fires is not null")
+    ids = sorted(r.id for r in seeds.collect())  # a given, short list
+    return start.select("sim", "id", F.lit(True).alias("plain"), F.lit(True).alias("boosted")).union(live.groupBy("sim").applyInArrow(whole.spread(ids), "sim long, id long, plain boolean, boosted boolean"))
+
+
+def reached_both(g: Graph, seeds: DataFrame, tries: int, boosted: DataFrame, salt: int | str = 1) -> DataFrame:
+    """(sim, id, plain, boosted) of the boost model: whether a cascade activates the vertex without and with ``boosted``.
+    The same as ``reached`` twice, from draws that are made once."""
+    if tries <= 0:
+        raise ValueError("the number of trials must be positive")
+    seeds = seeds.select(F.col("id").cast("long")).distinct()
+    mark = boosted.select(F.col("id").cast("long").alias("dst"), F.lit(True).alias("_m")).distinct()
+    edges = g.edges.join(mark, "dst", "left").withColumn("_p", F.when(F.col("_m"), F.col("p_boost")).otherwise(F.col("p")))
+    edges = cut(edges.select("src", "dst", F.floor(F.col("p") * float(RANGE)).alias("_t"), F.floor(F.col("_p") * float(RANGE)).alias("_b")).where("_t > 0 or _b > 0"), "edges")
+    m, live = edges.agg(F.count("*"), F.sum(F.greatest("_t", "_b")) / float(RANGE)).first()
+    if _ahead(m, live, tries):
+        start = seeds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long"))).alias("sim"), "id")
+        return _spread(edges, seeds, start, tries, salt)
+    a = reached(g, seeds, tries, salt=salt).withColumn("plain", F.lit(True))
+    b = reached(g, seeds, tries, boosted, salt).withColumn("boosted", F.lit(True))
+    return a.join(b, ["sim", "id"], "full").select("sim", "id", F.coalesce("plain", F.lit(False)).alias("plain"), F.coalesce("boosted", F.lit(False)).alias("boosted"))
+
+
 def simulate(g: Graph, seeds: DataFrame, tries: int, boosted: DataFrame | None = None, weighted: bool = True, salt: int | str = 1) -> float:
     """Mean weight that a cascade activates, that of the seeds included; 0 without seeds, whatever ``tries`` is."""
     if is_empty(seeds):

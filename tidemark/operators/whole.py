@@ -205,3 +205,36 @@ def distances(rows: DataFrame, seeds: frozenset[int], most: int, boosted: frozen
         return pa.table({"sketch_id": pa.array([key[0].as_py()] * len(ids), pa.int64()), "id": pa.array(ids, pa.int64()), "dist_s": pa.array([s.get(v) for v in ids], pa.int32()), "dist_r": pa.array([r.get(v) for v in ids], pa.int32())})
 
     return rows.groupBy("sketch_id").applyInArrow(run, "sketch_id long, id long, dist_s int, dist_r int")
+
+
+def spread(seeds: list[int]):
+    """For the live edges (sim, src, dst, fires) of one trial: (sim, id, plain, boosted) of what edges with the first bit of
+    ``fires``, and those with the second, lead to from ``seeds``; the seeds themselves are left out."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        src, dst, fires = (table.column(c).to_numpy() for c in ("src", "dst", "fires"))
+        every = np.unique(np.concatenate([src, dst, np.array(seeds, dtype=np.int64)]))
+        src, dst, start = (np.searchsorted(every, x) for x in (src, dst, seeds))
+
+        def walked(bit: int):
+            mine = (fires & bit) > 0
+            at = np.argsort(src[mine], kind="stable")
+            head, tail = np.searchsorted(src[mine][at], np.arange(len(every) + 1)), dst[mine][at]
+            seen, front = np.zeros(len(every), dtype=bool), start
+            seen[front] = True
+            while len(front):
+                n = head[front + 1] - head[front]
+                to = tail[np.repeat(head[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                front = np.unique(to[~seen[to]])
+                seen[front] = True
+            seen[start] = False
+            return seen
+
+        plain = walked(1)
+        boosted = walked(2) if (fires != 3).any() else plain
+        hit = plain | boosted
+        return pa.table({"sim": pa.array(np.full(int(hit.sum()), key[0].as_py(), dtype=np.int64)), "id": pa.array(every[hit]), "plain": pa.array(plain[hit]), "boosted": pa.array(boosted[hit])})
+
+    return run

@@ -278,9 +278,8 @@ def simulate_vertex_freq(spark, sf_dir):
 @query("simulate_boost_gain", f"{BOOSTED} SELECT (SELECT count(*) FROM more)::BIGINT - (SELECT count(*) FROM base)::BIGINT AS gained, (SELECT count(*) FROM base)::BIGINT AS base")
 def simulate_boost_gain(spark, sf_dir):
     g = part_graph(spark, sf_dir, BOOST)
-    base = cascade.reached(g, _seeds(g), SIMS).count()
-    more = cascade.reached(g, _seeds(g), SIMS, g.vertices.where("id % 50 = 1"))
-    return more.agg((F.count("*") - F.lit(base)).alias("gained"), F.lit(base).cast("long").alias("base"))
+    rows = cascade.reached_both(g, _seeds(g), SIMS, g.vertices.where("id % 50 = 1"))
+    return rows.agg((F.count_if("boosted") - F.count_if("plain")).alias("gained"), F.count_if("plain").alias("base"))
 
 
 def _activation_sql(rounds: int) -> str:
