@@ -354,3 +354,11 @@ def test_cascades_ahead_and_by_hops(spark, monkeypatch):
     assert [r[:2] for r in ahead[0] if r[2]] == ahead[1] and [r[:2] for r in ahead[0] if r[3]] == ahead[2] != ahead[1]
     monkeypatch.setattr(cascade, "DRAWS_AHEAD", 0)
     assert seen() == ahead
+
+
+def test_strong_components_trim_until_one_task_holds_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(components, "IN_ONE_TASK", 10)
+    monkeypatch.setattr(components, "_spread", lambda *_: pytest.fail("the rest fits one task after some rounds of trimming"))
+    tree = [(i, i // 2) for i in range(2, 128)] + [(1, 200), (200, 201), (201, 1)]
+    found = dict(map(tuple, components.scc(Graph.of(spark.createDataFrame(tree, "src long, dst long"))).collect()))
+    assert found == {v: 1 if v > 127 else v for v in [*range(1, 128), 200, 201]}
