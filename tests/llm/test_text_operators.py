@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import SCHEMA, edited, odd, prose, rows, table
+from tidemark.llm import _common as C
 from tidemark.llm import fingerprints, langid, licenses, packing, sentencepieces, toxicity
 
 MODEL = P.path("piece_bpe_32k.model")
@@ -266,3 +267,19 @@ def test_licenses_by_names_without_their_familys_keyword(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     out = {r.doc_id: r.labels.split(",") for r in licenses.scan(df).collect()}
     assert all(label in out[i] for i, (_, label) in enumerate(cases)), out
+
+
+def test_packing_hands_python_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with C.small_batches(spark, 7):
+        assert max(r.n for r in spark.range(0, 30, 1, 1).mapInArrow(sizes, "n long").collect()) == 7
+    assert spark.conf.get(name) == before
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    pieces = packing.packed(docs)
+    assert "MapInArrow" not in pieces._jdf.queryExecution().toString()  # no pass is left to the caller's batches
+    assert pieces.select("doc_id").distinct().count() == 1500 and spark.conf.get(name) == before

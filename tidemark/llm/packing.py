@@ -111,10 +111,17 @@ def public_vocabulary() -> dict:
 
 def packed(docs: DataFrame, name: str = "packing", length: int = LENGTH, with_ids: bool = False, **vocabulary) -> DataFrame:
     """All documents in sequences of at most ``length`` tokens. A null text counts as empty and has the end id alone;
-    repeated rows are packed as often as they occur; a null doc_id stays null; an empty table has no piece.
+    repeated rows are packed as often as they occur; a null doc_id stays null; an empty table has no piece. Both passes
+    run here, on small batches; without ids the pieces are a small table, and what they were cut from is dropped.
     """
     ws = C.Workspace(docs.sparkSession, name)
-    return pack(ws.save(tokenize(docs, **(vocabulary or public_vocabulary())), "tokens"), length, with_ids)
+    with C.small_batches(docs.sparkSession):
+        tokens = ws.save(tokenize(docs, **(vocabulary or public_vocabulary())), "tokens")
+        if with_ids:
+            return pack(tokens, length, with_ids)
+        pieces = ws.save(pack(tokens, length, with_ids), "pieces")
+    ws.drop("tokens")
+    return pieces
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
