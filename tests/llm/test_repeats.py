@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tests.llm.fixtures import odd, prose, rows, table
+from tests.llm.fixtures import edited, odd, prose, rows, table
 from tidemark.llm import audio, induced_sort, line_dedup, suffix_dedup
 from tidemark.llm import _common as C
 
@@ -35,6 +35,58 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.dedup_lines(table(spark, [])).collect() == []
 
 
+def test_lines_of_any_place_and_size_equal_brute_force(spark):
+    """Places and sizes that fit the number of a filed row, and those beside it; copies and near copies across both."""
+    base, many, long = prose(5, 60), "\n".join(f"a{i} b{i}" for i in range(8190)), prose(6, 4200, 10**6)
+    ids = [-(2**63), -7, 0, 3, 2**28 - 1, 2**28, 2**40, 2**63 - 1]
+    data = [(d, "\n".join([edited(base, d % 97, k), base, prose(d % 89, 30), long if k % 2 else edited(long, k, 9)])) for k, d in enumerate(ids)]
+    data += [(50, f"{many}\n{edited(base, 1, 1)}\n{prose(8, 30)}\n{edited(prose(8, 30), 2, 1)}\n{base}"), (51, edited(prose(8, 30), 3, 1))]
+    out = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.text for r in out} == brute_lines_by_words(sorted(data))
+
+
+def brute_lines_by_words(data):
+    """As brute_lines, by comparing only lines that share a token."""
+    by, sets, out = {}, [], {}
+    for doc, text in data:
+        kept = []
+        for line in text.split("\n"):
+            w = line.lower().split()
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            if not any(4 * len(s & sets[k]) >= 3 * len(s | sets[k]) for k in {k for x in s for k in by.get(x, ())}):
+                kept.append(line)
+            for x in s:
+                by.setdefault(x, []).append(len(sets))
+            sets.append(s)
+        out[doc] = "\n".join(kept)
+    return out
+
+
+def test_counted_hashes_are_the_filed_ones(spark):
+    lines = line_dedup._lines(table(spark).where("text is not null")).select("line")
+    one = sorted(r.h for r in line_dedup._each_hash(lines).collect())
+    assert one == sorted(h for r in lines.select(line_dedup._hashes(C.F.col("line")).alias("h")).collect() for h in r.h)
+
+
+def test_lines_are_filed_once_and_only_asked_lines_are_shuffled(spark, monkeypatch):
+    copied = [prose(700 + i, 30) for i in range(40)]
+    near = [(500, prose(9, 40)), (501, edited(prose(9, 40), 1, 1))]
+    data = [(i, f"{copied[i % 40]}\n{prose(100 + i, 30)}") for i in range(400)] + near
+    saved, plans, save = {}, {}, C.Workspace.save
+
+    def spy(self, df, name):
+        out = save(self, df, name)
+        plans[name], saved[name] = df._jdf.queryExecution().optimizedPlan().toString().split("\n"), {tuple(r) for r in out.select("doc_id", "pos").collect()} if {"doc_id", "pos"} <= set(out.columns) else None
+        return out
+
+    monkeypatch.setattr(C.Workspace, "save", spy)
+    out = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), count="gone")
+    assert sum(r.gone for r in out.collect()) == 361
+    assert saved["files"] == {(i, 0) for i in range(40)} | {(i, 1) for i in range(400)} | {(500, 0), (501, 0)}  # no copies
+    assert not [x for x in plans["files"] if "Filter" in x and "transform(" in x]  # tokens are built once
+    assert {(500, 0), (501, 0)} <= saved["near-tokens"] and any("words" in x for x in plans["near-tokens"])  # by a bitmap
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_suffix_order(seed):
     rng = np.random.default_rng(seed)

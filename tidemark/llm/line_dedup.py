@@ -6,13 +6,15 @@ order of doc_id and position, a line is removed if an earlier line has a Jaccard
 
 Lines of equal text: all but the first go. Their counts come from hashes that are combined before they are shuffled;
 the few texts that make up more than 1 / HOT_SHARE of all lines are known to every task (there can be no more than
-HOT_SHARE of them), which drops their copies without a shuffle.
+HOT_SHARE of them), which drops their copies without a shuffle. Only first lines are joined: whatever matches a copy
+matches the first line of its text. Which lines are copies, and later which lines a pair asks for, every task knows by
+bitmaps of hashed places; the few lines that a bitmap wrongly names are told apart by an exact join.
 
 The join: tokens are ordered by rarity (how many tokens of all lines fall into the same of SLOTS hashed slots, by powers
 of two; then by hash), and a line of n tokens is filed under its first n/4 + 1. Lines that match share one of those. The
 length filter asks for sizes within 3/4 of each other; the positional filter for enough tokens after the shared one. In
 each file the first line is compared with all others, and then each line that is still there with those before it.
-A pair is first compared by sketches, the parities of its
+On their way to the files, place, size and rank of a line are one number wherever they fit. A pair is first compared by sketches, the parities of its
 tokens on 64 to 256 bits: two lines differ in at least as many tokens as their sketches in bits. Pairs that are not told
 apart are compared by their tokens, counting the shared ones.
 """
@@ -29,7 +31,11 @@ from . import _common as C
 
 WIDTH, NUM, DEN = 5, 3, 4
 SLOTS, HOT_SHARE = 1 << 16, 20_000
+#: Bitmaps have PER_MARK places for each mark, 2 ** MOST_BITS (16 MB) at most, and 2 ** ROW_BITS of them in a row.
+PER_MARK, MOST_BITS, ROW_BITS = 8, 27, 10
 _LOW = (1 << 58) - 1
+#: Bits of doc_id, pos, n and i in one number.
+_DOC, _POS, _N, _I = 28, 13, 12, 10
 
 
 def _with(value: Column, use) -> Column:
@@ -37,15 +43,28 @@ def _with(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), " "), "")
+
+
 def _hashes(line: Column) -> Column:
     """Hashes of the shingles of a line, in their places."""
-    words = F.array_remove(F.split(F.lower(line), " "), "")
 
     def of(w: Column) -> Column:
         runs = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, WIDTH)]))
         return F.when(F.size(w) >= WIDTH, F.slice(runs, F.lit(1), F.greatest(F.size(w) - (WIDTH - 1), F.lit(0)))).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
-    return _with(words, of)
+    return _with(_words(line), of)
+
+
+def _each_hash(lines: DataFrame) -> DataFrame:
+    """(h): the same hashes, a row each. Without a function of each element, Spark compiles all of it."""
+    names = [f"w{j}" for j in range(WIDTH)]
+    words = lines.select(_words(F.col("line")).alias("w"))
+    runs = words.select("w", *[F.slice("w", F.lit(j + 1), F.greatest(F.size("w") - (WIDTH - 1), F.lit(0))).alias(c) for j, c in enumerate(names)])
+    short = F.array(F.struct(F.array_join("w", " ").alias("w0"), *[F.lit(None).cast("string").alias(c) for c in names[1:]]))  # nulls leave a hash as it is
+    shingle = F.explode_outer(F.when(F.size("w") >= WIDTH, F.arrays_zip(*names)).otherwise(short))
+    return runs.select(shingle.alias("x")).select(F.xxhash64(*[F.col(f"x.{c}") for c in names]).alias("h"))
 
 
 def _tokens(line: Column, classes: str) -> Column:
@@ -56,12 +75,14 @@ def _tokens(line: Column, classes: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line) of lines with a word. They have tokens, so no filter may ask for those: Spark would move it down
+    and build all tokens twice (``explode`` brings such a filter, ``explode_outer`` does not)."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
 def _classes(docs: DataFrame) -> str:
     """The power of two of the tokens of each slot of hashes, joined by commas. SLOTS rows reach the driver."""
-    rows = _lines(docs).select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).count().collect()
+    rows = _each_hash(_lines(docs)).groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).count().collect()
     out = [0] * SLOTS
     for slot, n in rows:
         out[slot] = min(31, int(math.log2(n)))
@@ -78,21 +99,50 @@ def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (F.least(n - i, m - j) >= _needed(n, m))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return _lines(docs).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(1))})
+class _Marks:
+    """The places (doc_id, pos) of ``rows`` as bits at their hashes, in a table that every task gets."""
+
+    def __init__(self, ws: C.Workspace, rows: DataFrame, name: str):
+        self.bits = min(MOST_BITS, max(ROW_BITS, (PER_MARK * rows.count()).bit_length()))
+        piece, word, bit = self._at()
+        word_of = [F.coalesce(F.bit_or(F.when(F.col("word") == j, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))), F.lit(0).cast("long")) for j in range((1 << ROW_BITS) // 64)]
+        self.table = ws.save(rows.select(piece.alias("piece"), word.alias("word"), bit.alias("bit")).groupBy("piece").agg(F.array(*word_of).alias("words")), name)
+
+    def _at(self) -> tuple[Column, Column, Column]:
+        place = F.shiftrightunsigned(F.xxhash64("doc_id", "pos"), 64 - self.bits)
+        return F.shiftright(place, ROW_BITS), F.shiftright(place, 6).bitwiseAND((1 << ROW_BITS) // 64 - 1).cast("int"), place.bitwiseAND(63).cast("int")
+
+    def split(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``lines`` that are marked, among them all of the marked places, and the others."""
+        piece, word, bit = self._at()
+        found = lines.withColumn("piece", piece).join(F.broadcast(self.table), "piece", "left")
+        hit = F.coalesce(F.call_function("shiftright", F.get("words", word), bit).bitwiseAND(1) == 1, F.lit(False))
+        return found.where(hit).select(*lines.columns), found.where(~hit).select(*lines.columns)
+
 
+def _keyed(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(1))})
 
-def _hot(docs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+
+def _hot(lines: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """Lines with (d0, p0), the first place of their text, if it is one of the at most HOT_SHARE frequent ones."""
     hot = F.broadcast(counts.where(F.col("n") >= max(50, total // HOT_SHARE + 1)).select("k1", "k2", F.col("first.doc_id").alias("d0"), F.col("first.pos").alias("p0")))
-    return _keyed(docs).join(hot, ["k1", "k2"], "left").withColumn("hot_copy", F.coalesce((F.col("doc_id") != F.col("d0")) | (F.col("pos") != F.col("p0")), F.lit(False)))
+    return _keyed(lines).join(hot, ["k1", "k2"], "left").withColumn("hot_copy", F.coalesce((F.col("doc_id") != F.col("d0")) | (F.col("pos") != F.col("p0")), F.lit(False)))
 
 
 def _same(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(doc_id, pos) of lines whose text is that of an earlier one."""
-    rows = _hot(docs, counts, total)
+    """(doc_id, pos, k1, k2, hot) of lines whose text is that of an earlier one."""
+    rows = _hot(_lines(docs), counts, total)
     cold = rows.where("d0 is null").select("k1", "k2", "doc_id", "pos").join(counts.where("n > 1").select("k1", "k2", "first"), ["k1", "k2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.pos") != F.col("pos")))
-    return ws.save(rows.where("hot_copy").select("doc_id", "pos").union(cold.select("doc_id", "pos")), "same")
+    own = ["doc_id", "pos", "k1", "k2"]
+    return ws.save(rows.where("hot_copy").select(*own, F.lit(True).alias("hot")).union(cold.select(*own, F.lit(False).alias("hot"))), "same")
+
+
+def _firsts(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int, same: DataFrame) -> DataFrame:
+    """(doc_id, pos, line) of all lines but those of ``same``."""
+    marked, others = _Marks(ws, same, "same-marks").split(_lines(docs))
+    left = _hot(marked, counts, total).where("not hot_copy").join(same.where("not hot").drop("hot"), ["doc_id", "pos", "k1", "k2"], "left_anti")
+    return others.unionByName(left.select("doc_id", "pos", "line"))
 
 
 def _words_of(n: Column) -> Column:
@@ -103,14 +153,12 @@ def _words_of(n: Column) -> Column:
 def _sketch(t: Column) -> Column:
     """Four longs, the last of which are 0 for short lines: at each bit, whether an odd number of tokens fall on it."""
 
-    most = {1: 40, 2: 90, 3: 90}  # lines of no more tokens have no such word
-    word_of = lambda x: F.shiftright(x, 6).bitwiseAND(_words_of(F.size(t)).cast("long") - 1)
+    n, none = F.size(t), F.lit(0).cast("long")
     flip = lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))
 
     def word(j: int) -> Column:
-        mine = F.filter(t, lambda x: word_of(x) == j)
-        bits = lambda part: F.aggregate(part, F.lit(0).cast("long"), flip)
-        return bits(F.when(F.size(t) <= 40, t).otherwise(mine)) if not j else F.when(F.size(t) > most[j], bits(mine)).otherwise(F.lit(0).cast("long"))
+        mine = lambda words: F.aggregate(F.filter(t, lambda x: F.shiftright(x, 6).bitwiseAND(words - 1) == j) if words > 1 else t, none, flip)
+        return F.when(n <= 40, none if j else mine(1)).when(n <= 90, none if j > 1 else mine(2)).otherwise(mine(4))
 
     return F.named_struct(*(x for j in range(4) for x in (F.lit(f"s{j}"), word(j))))
 
@@ -126,12 +174,30 @@ def _apart(a: Column, b: Column, n: Column, m: Column) -> Column:
     return F.when(least == 1, one).when(least == 2, two).otherwise(four)
 
 
-def _files(ws: C.Workspace, docs: DataFrame, counts: DataFrame, total: int, classes: str) -> DataFrame:
-    """(token, doc_id, pos, n, i, lead, sketch, shared): lines under each of their first tokens that another line is
+def _packed(filed: DataFrame) -> DataFrame:
+    """doc_id, pos, n and i of ``filed`` in one number (``packed``), or else all four in ``wide``."""
+    small = F.col("doc_id").between(0, (1 << _DOC) - 1) & (F.col("pos") < 1 << _POS) & (F.col("n") < 1 << _N)  # i is at most n / 4
+    packed = F.lit(0).cast("long")
+    for name, bits in (("doc_id", _DOC), ("pos", _POS), ("n", _N), ("i", _I)):
+        packed = F.shiftleft(packed, bits).bitwiseOR(F.col(name).cast("long"))
+    own = [c for c in filed.columns if c not in ("doc_id", "pos", "n", "i")]
+    return filed.select(*own, F.when(small, packed).alias("packed"), F.when(~small, F.struct("doc_id", "pos", "n", "i")).alias("wide"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    out, at = [], 0
+    for name, bits, kind in (("i", _I, "int"), ("n", _N, "int"), ("pos", _POS, "int"), ("doc_id", _DOC, "long")):
+        out.append(F.coalesce(F.col(f"wide.{name}"), F.shiftright("packed", at).bitwiseAND((1 << bits) - 1).cast(kind)).alias(name))
+        at += bits
+    return rows.select(*[c for c in rows.columns if c not in ("packed", "wide")], *out[::-1])
+
+
+def _files(ws: C.Workspace, lines: DataFrame, classes: str) -> DataFrame:
+    """(token, sketch, doc_id, pos, n, i, lead, shared): lines under each of their first tokens that another line is
     filed under too (``shared``), and under their very first token in any case, there with their sketch."""
-    filed = _hot(docs, counts, total).where("not hot_copy").select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t")).where("size(t) > 0")
-    filed = filed.select("doc_id", "pos", F.size("t").alias("n"), _sketch(F.col("t")).alias("sketch"), F.posexplode(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
-    filed = filed.withColumn("sketch", F.when(F.col("i") == 0, F.col("sketch")))
+    filed = lines.select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t"))
+    filed = filed.select("doc_id", "pos", F.size("t").alias("n"), _sketch(F.col("t")).alias("sketch"), F.posexplode_outer(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
+    filed = _unpacked(_packed(filed.withColumn("sketch", F.when(F.col("i") == 0, F.col("sketch")))).repartition("token"))
     by_token = Window.partitionBy("token").orderBy("doc_id", "pos")
     chained = filed.withColumns({"lead": F.first(F.struct("doc_id", "pos", "n", "i")).over(by_token), "then": F.lead("doc_id").over(by_token)})
     shared = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos")) | F.col("then").isNotNull()
@@ -151,8 +217,9 @@ def _matches(ws: C.Workspace, docs: DataFrame, pairs: DataFrame, name: str) -> D
     pairs = ws.save(pairs, f"{name}-close")
     C.free_shuffles(ws.spark)
     asked = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("doc_id"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("doc_id"), F.col("pb").alias("pos")))).alias("x")).select("x.*")
-    of_docs = asked.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("pos").alias("want"))  # lines of one document
-    rows = docs.join(of_docs, F.col("doc_id") == F.col("of_doc")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "want").where(F.array_contains("want", F.col("pos")))
+    wanted = ws.save(asked.distinct(), f"{name}-wanted")
+    marked, _ = _Marks(ws, wanted, f"{name}-marks").split(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+    rows = marked.join(wanted, ["doc_id", "pos"])
     texts = ws.save(rows.select("doc_id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("t")), f"{name}-tokens")
     C.free_shuffles(ws.spark)
     a, b = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
@@ -164,29 +231,30 @@ def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     """(doc_id, pos) of every line to remove, of documents (doc_id long, text) without null doc_ids or texts."""
     spark = docs.sparkSession
     ws = C.Workspace(spark, name)
-    counts = ws.save(_keyed(docs).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "keys")
+    counts = ws.save(_keyed(_lines(docs)).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")), "keys")
     total = counts.agg(F.sum("n")).first()[0] or 0
     same = _same(ws, docs, counts, total)
     C.free_shuffles(spark)
-    files = _files(ws, docs, counts, total, _classes(docs))
-    ws.drop("keys")
+    files = _files(ws, _firsts(ws, docs, counts, total, same), _classes(docs))
+    ws.drop("keys", "same-marks")
+    same = same.select("doc_id", "pos")
     shared = files.where("shared").drop("sketch")
 
     later = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos"))
     stars = shared.where(later & _possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.col("lead.doc_id").alias("da"), F.col("lead.pos").alias("pa"), F.col("doc_id").alias("db"), F.col("pos").alias("pb")).distinct()
-    stars = ws.save(stars.join(same.select(F.col("doc_id").alias("db"), F.col("pos").alias("pb")), ["db", "pb"], "left_anti"), "stars")
+    stars = ws.save(stars, "stars")
     C.free_shuffles(spark)
-    gone = _matches(ws, docs, _close(stars, files), "near").union(same)
-    ws.drop("near-close", "near-tokens")
+    gone = _matches(ws, docs, _close(stars, files), "near")
+    ws.drop("near-close", "near-wanted", "near-marks", "near-tokens")
     # the first line of a file is compared with all others, so a pair that is left is of two others
-    others = shared.where(later).join(same, ["doc_id", "pos"], "left_anti")
+    others = shared.where(later)
     a = others.select("token", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
     b = others.join(gone, ["doc_id", "pos"], "left_anti").select("token", F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     rest = b.join(a, "token").where("da < db or (da = db and pa < pb)").where(_possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("da", "pa", "db", "pb").distinct()
     rest = ws.save(rest.join(stars, ["da", "pa", "db", "pb"], "left_anti"), "rest")
     C.free_shuffles(spark)
-    out = ws.save(gone.union(_matches(ws, docs, _close(rest, files), "far")).distinct(), "removed")
-    ws.drop("same", "files", "stars", "near", "rest", "far-close", "far-tokens", "far")
+    out = ws.save(same.union(gone).union(_matches(ws, docs, _close(rest, files), "far")).distinct(), "removed")
+    ws.drop("same", "files", "stars", "near", "rest", "far-close", "far-wanted", "far-marks", "far-tokens", "far")
     return out
 
 
