@@ -1,11 +1,13 @@
 """A pipeline over ``documents``: language, repeated lines, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Before each, executors give back the memory that the one before left free.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,18 @@ from tidemark.llm import langid, line_dedup, ngram_join, packing, suffix_dedup
 ORACLE_SQL = None
 
 
+def _alone(stage):
+    """``stage``, begun on executors whose heaps do not keep the size that earlier stages took."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        C.shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_alone
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects: those without a letter (null and empty texts too), and those far
     from any language. Each row is judged by itself; rows with a null doc_id are, too, but no model learns from them."""
@@ -35,6 +49,7 @@ def _recounted(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*_own(docs))
 
 
+@_alone
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that match an earlier one, and documents of which only blanks are left by that. Rows with a null
     doc_id or text stay as they are; rows that share a doc_id lose the same places."""
@@ -43,6 +58,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _recounted(out.where(f"{gone} = 0 or trim(text) <> ''"), docs)
 
 
+@_alone
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near duplicates. Of rows that share that id, equal texts
     stay once and different texts all stay. Rows with a null doc_id stay."""
@@ -58,6 +74,7 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 PASSAGE = 240
 
 
+@_alone
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops passages of PASSAGE bytes or more that stand in two places, and documents of which only blanks are left by
     that. Null and empty texts stay; equal texts of that length go altogether, whatever their doc_ids."""
@@ -70,6 +87,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _recounted(out, docs)
 
 
+@_alone
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens; a null text has the end id alone, repeated rows are packed as often as they
     occur, and other columns are not read."""

@@ -75,3 +75,16 @@ def test_operators_stand_clashing_names(spark):
             assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHES if c not in new), name
             assert not any(r[c] == f"{c} of {r.doc_id}" for c in new & set(CLASHES)), name
     assert ngram_join.near_duplicates(docs).count() == packing.packed(docs).where("start = 0").count() == 8
+
+
+def test_stages_begin_with_small_heaps(spark, monkeypatch):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.range(0, 3_000_000, 1, 4).selectExpr("repeat(cast(id as string), 30) as x", "id").repartition(4).sortWithinPartitions("x").write.format("noop").mode("overwrite").save()
+    before = runtime.totalMemory()
+    corpus_pipeline.C.shrink_heaps(spark)
+    assert runtime.totalMemory() < before
+    begun = []
+    monkeypatch.setattr(corpus_pipeline.C, "shrink_heaps", begun.append)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table(spark, []), "")
+        assert len(begun) == i + 1
