@@ -193,3 +193,23 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame(links, "a long, b long")
     out = {r.id: r.component for r in C.connected_components(C.Workspace(spark, "test"), edges).collect()}
     assert out == {1000 * k + i: 1000 * k for k in range(5) for i in range(n)} | {4999: 4000}
+
+
+def test_files_have_no_sketches_and_mark_their_later_lines(spark, monkeypatch):
+    """Lines whose number fits, and others, in one file; lines that share no token lead and follow nothing."""
+    files, seen = line_dedup._files, []
+
+    def kept(*args):
+        out = files(*args)
+        seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "_files", kept)
+    data = [(1, prose(21, 60)), (2**40, prose(22, 60)), (2**40 + 1, prose(23, 60)), (3, f"{prose(24, 60)}\n{edited(prose(23, 60), 1, 1)}")]
+    data += [(2**41, prose(25, 60)), (2**41 + 1, edited(prose(25, 60), 1, 1))]  # none fits
+    out = line_dedup.removed_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in out} == {(2**40 + 1, 0), (2**41 + 1, 0)}
+    assert not any("sketch" in r for r in seen)
+    shared = {(r.doc_id, r.pos) for r in seen if r.lead is not None and r.lead.doc_id == 3 and r.lead.pos == 1}
+    assert shared == {(3, 1), (2**40 + 1, 0)}
+    assert {(r.doc_id, r.pos) for r in seen if r.later} == {(2**40 + 1, 0), (2**41, 0), (2**41 + 1, 0)}

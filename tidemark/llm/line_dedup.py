@@ -184,44 +184,50 @@ def _packed(filed: DataFrame) -> DataFrame:
     return filed.select(*own, F.when(small, packed).alias("packed"), F.when(~small, F.struct("doc_id", "pos", "n", "i")).alias("wide"))
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
+def _parts(packed: Column) -> list[Column]:
+    """The numbers in ``packed``, as _packed names them."""
     out, at = [], 0
     for name, bits, kind in (("i", _I, "int"), ("n", _N, "int"), ("pos", _POS, "int"), ("doc_id", _DOC, "long")):
-        out.append(F.coalesce(F.col(f"wide.{name}"), F.shiftright("packed", at).bitwiseAND((1 << bits) - 1).cast(kind)).alias(name))
+        out.append(F.shiftright(packed, at).bitwiseAND((1 << bits) - 1).cast(kind).alias(name))
         at += bits
-    return rows.select(*[c for c in rows.columns if c not in ("packed", "wide")], *out[::-1])
+    return out[::-1]
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    parts = [F.coalesce(F.col(f"wide.{name}"), x).alias(name) for name, x in zip(("doc_id", "pos", "n", "i"), _parts(F.col("packed")), strict=True)]
+    return rows.select(*[c for c in rows.columns if c not in ("packed", "wide")], *parts)
 
 
 def _files(ws: C.Workspace, lines: DataFrame, classes: str) -> DataFrame:
-    """(token, sketch, doc_id, pos, n, i, lead, shared): lines under each of their first tokens that another line is
-    filed under too (``shared``), and under their very first token in any case, there with their sketch."""
+    """(token, doc_id, pos, n, i, lead, later): lines under each of their first tokens that another line is filed under
+    too, and under their very first token in any case. The lead is the first of a file's lines that have a packed number,
+    null without such; ``later``: whether this is another line of a file of several. Most files are of one line, so they
+    are counted and their lines looked up, and nothing is sorted."""
     filed = lines.select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t"))
-    filed = filed.select("doc_id", "pos", F.size("t").alias("n"), _sketch(F.col("t")).alias("sketch"), F.posexplode_outer(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
-    filed = _unpacked(_packed(filed.withColumn("sketch", F.when(F.col("i") == 0, F.col("sketch")))).repartition("token"))
-    by_token = Window.partitionBy("token").orderBy("doc_id", "pos")
-    chained = filed.withColumns({"lead": F.first(F.struct("doc_id", "pos", "n", "i")).over(by_token), "then": F.lead("doc_id").over(by_token)})
-    shared = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos")) | F.col("then").isNotNull()
-    return ws.save(chained.withColumn("shared", shared).where("shared or i = 0").drop("then"), "files")
+    filed = filed.select("doc_id", "pos", F.size("t").alias("n"), F.posexplode_outer(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
+    filed = _packed(filed).repartition("token")
+    # as the count reads all columns, both sides of the join read one shuffle
+    several = filed.groupBy("token").agg((F.count("packed") + F.count("wide")).alias("lines"), F.min("packed").alias("first")).where("lines > 1")
+    found = filed.join(several.hint("shuffle_hash"), "token", "left").withColumns({"lead": F.when(F.col("first").isNotNull(), F.struct(*_parts(F.col("first")))), "later": F.col("lines").isNotNull() & F.coalesce(F.col("packed") != F.col("first"), F.lit(True))})
+    return ws.save(_unpacked(found).where("lines is not null or i = 0").drop("lines", "first"), "files")
 
 
-def _close(pairs: DataFrame, files: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (da, pa, db, pb) whose sketches do not tell them apart."""
-    lines = files.where("i = 0").select("doc_id", "pos", "n", "sketch")
-    a, b = (lines.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    a, b = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = _apart(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb")) * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
     return pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(near).select("da", "pa", "db", "pb")
 
 
 def _matches(ws: C.Workspace, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(doc_id, pos) of the later lines of pairs that match, by their shared tokens."""
-    pairs = ws.save(pairs, f"{name}-close")
-    C.free_shuffles(ws.spark)
+    """(doc_id, pos) of the later lines of pairs that match, by their sketches and then by their shared tokens."""
     asked = pairs.select(F.explode(F.array(F.struct(F.col("da").alias("doc_id"), F.col("pa").alias("pos")), F.struct(F.col("db").alias("doc_id"), F.col("pb").alias("pos")))).alias("x")).select("x.*")
     wanted = ws.save(asked.distinct(), f"{name}-wanted")
     marked, _ = _Marks(ws, wanted, f"{name}-marks").split(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
-    rows = marked.join(wanted, ["doc_id", "pos"])
-    texts = ws.save(rows.select("doc_id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("t")), f"{name}-tokens")
+    rows = marked.join(wanted, ["doc_id", "pos"]).select("doc_id", "pos", F.array_distinct(_hashes(F.col("line"))).alias("t"))
+    texts = ws.save(rows.select("doc_id", "pos", "t", F.size("t").alias("n"), _sketch(F.col("t")).alias("sketch")), f"{name}-tokens")
     C.free_shuffles(ws.spark)
+    pairs = ws.save(_close(pairs, texts), f"{name}-close")
     a, b = (texts.select(F.col("doc_id").alias(f"d{x}"), F.col("pos").alias(f"p{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
     shared = F.size(F.array_intersect("ta", "tb"))
     return ws.save(pairs.join(a, ["da", "pa"]).join(b, ["db", "pb"]).where(shared * DEN >= (F.size("ta") + F.size("tb") - shared) * NUM).select(F.col("db").alias("doc_id"), F.col("pb").alias("pos")).distinct(), name)
@@ -238,22 +244,21 @@ def removed_lines(docs: DataFrame, name: str = "lines") -> DataFrame:
     files = _files(ws, _firsts(ws, docs, counts, total, same), _classes(docs))
     ws.drop("keys", "same-marks")
     same = same.select("doc_id", "pos")
-    shared = files.where("shared").drop("sketch")
 
-    later = (F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.pos") != F.col("pos"))
-    stars = shared.where(later & _possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.col("lead.doc_id").alias("da"), F.col("lead.pos").alias("pa"), F.col("doc_id").alias("db"), F.col("pos").alias("pb")).distinct()
-    stars = ws.save(stars, "stars")
+    others = files.where("later")
+    one, other = F.struct("lead.doc_id", "lead.pos"), F.struct("doc_id", "pos")
+    stars = others.where(_possible(F.col("lead.n"), F.col("lead.i"), F.col("n"), F.col("i"))).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+    stars = ws.save(stars.select(F.col("a.doc_id").alias("da"), F.col("a.pos").alias("pa"), F.col("b.doc_id").alias("db"), F.col("b.pos").alias("pb")).distinct(), "stars")
     C.free_shuffles(spark)
-    gone = _matches(ws, docs, _close(stars, files), "near")
+    gone = _matches(ws, docs, stars, "near")
     ws.drop("near-close", "near-wanted", "near-marks", "near-tokens")
-    # the first line of a file is compared with all others, so a pair that is left is of two others
-    others = shared.where(later)
+    # the lead of a file is compared with all others, so a pair that is left is of two others
     a = others.select("token", F.col("doc_id").alias("da"), F.col("pos").alias("pa"), F.col("n").alias("na"), F.col("i").alias("ia"))
     b = others.join(gone, ["doc_id", "pos"], "left_anti").select("token", F.col("doc_id").alias("db"), F.col("pos").alias("pb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     rest = b.join(a, "token").where("da < db or (da = db and pa < pb)").where(_possible(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("da", "pa", "db", "pb").distinct()
     rest = ws.save(rest.join(stars, ["da", "pa", "db", "pb"], "left_anti"), "rest")
     C.free_shuffles(spark)
-    out = ws.save(same.union(gone).union(_matches(ws, docs, _close(rest, files), "far")).distinct(), "removed")
+    out = ws.save(same.union(gone).union(_matches(ws, docs, rest, "far")).distinct(), "removed")
     ws.drop("same", "files", "stars", "near", "rest", "far-close", "far-wanted", "far-marks", "far-tokens", "far")
     return out
 
