@@ -205,8 +205,8 @@ def _files(ws: C.Workspace, lines: DataFrame, classes: str) -> DataFrame:
     are counted and their lines looked up, and nothing is sorted."""
     filed = lines.select("doc_id", "pos", _tokens(F.col("line"), classes).alias("t"))
     filed = filed.select("doc_id", "pos", F.size("t").alias("n"), F.posexplode_outer(F.slice("t", F.lit(1), (F.size("t") / DEN).cast("int") + 1)).alias("i", "token"))
-    filed = _packed(filed).repartition("token")
-    # as the count reads all columns, both sides of the join read one shuffle
+    # with this filter, which the join asks of one side alone, and all columns in the count, both sides read one shuffle
+    filed = _packed(filed).where("token is not null").repartition("token")
     several = filed.groupBy("token").agg((F.count("packed") + F.count("wide")).alias("lines"), F.min("packed").alias("first")).where("lines > 1")
     found = filed.join(several.hint("shuffle_hash"), "token", "left").withColumns({"lead": F.when(F.col("first").isNotNull(), F.struct(*_parts(F.col("first")))), "later": F.col("lines").isNotNull() & F.coalesce(F.col("packed") != F.col("first"), F.lit(True))})
     return ws.save(_unpacked(found).where("lines is not null or i = 0").drop("lines", "first"), "files")
