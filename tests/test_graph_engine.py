@@ -339,6 +339,30 @@ def test_boost_sketches_by_tasks_and_by_hops(spark, monkeypatch, text, first):
     assert found() == by_tasks
 
 
+def test_critical_on_millions_of_edges_takes_no_job_a_hop(spark):
+    g = long_path(spark, BOOST)
+    wide = spark.range(4_200_000).selectExpr("1000 + id % 2100 as src", "5000 + id div 2100 as dst", "0D as p", "1e-8D as p_boost")
+    both = Graph.of(g.edges.union(wide), BOOST, g.vertices.union(wide.selectExpr("explode(array(src, dst)) id", "0D weight").distinct()))
+    found, n = jobs(spark, lambda: boost.critical_by_closures(both, ids(spark, [0]), sketch.centres(both.vertices, 0, 100, "1c")).collect())
+    last = [s for s, c in sketch.centres(g.vertices, 0, 100, "1c").collect() if c == 59]
+    assert last and sorted(map(tuple, found)) == sorted((s, 59) for s in last)
+    assert n < 40
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 33])
+def test_packed_edges_are_all_edges(spark, monkeypatch, shift):
+    monkeypatch.setattr(whole, "PACKED", 7)
+    rows = [(a * a % 101 + (shift if a % 2 else -a), a * b % 13 + shift, a, b) for a in range(40) for b in range(5)]
+    made = whole.packed(spark.createDataFrame(rows, "src long, dst long, t long, s long")).toArrow()
+    assert made.num_rows > 3
+    into = whole.Into(*[[c] for c in whole.unpacked(made.combine_chunks().to_batches()[0])])
+    assert sorted(into.names.tolist()) == into.names.tolist() == sorted({r[1] for r in rows})
+    at = np.concatenate([np.arange(f, f + n) for f, n in zip(into.first, into.n, strict=True)])
+    held = zip(into.src[at].tolist(), np.repeat(into.names, into.n).tolist(), into.t[at].tolist(), into.s[at].tolist(), strict=True)
+    assert sorted(held) == sorted(rows)
+    assert into.src.itemsize == (8 if shift else 4) and into.t.itemsize == into.s.itemsize == 4
+
+
 def test_cascades_take_no_job_a_hop(spark):
     g = long_path(spark, BOOST)
     rows, n = jobs(spark, lambda: cascade.reached_both(g, ids(spark, [0]), 2, ids(spark, [59])).collect())

@@ -111,15 +111,15 @@ def _named(ids: DataFrame) -> frozenset[int]:
 
 def _states_in_tasks(g: Graph) -> DataFrame | None:
     """Edges with the thresholds of LIVE and LIVE_UPON_BOOST, if a task can hold them."""
-    edges, m = counted(whole.thresholds(g.edges, F.col("p"), F.col("p_boost")), "boost")
-    return edges if m <= whole.EDGES_IN_TASK else None
+    edges = whole.thresholds(g.edges, F.col("p"), F.col("p_boost"))
+    return edges if edges.count() <= whole.EDGES_IN_TASK else None
 
 
 def _touched_in_tasks(g: Graph, seeds: DataFrame, start: DataFrame, k: int, salt: int | str) -> DataFrame | None:
     edges = _states_in_tasks(g)
     if edges is None:
         return None
-    return cut(whole.walk(start, edges, whole.touched(salt, _named(seeds), k), "sketch_id long, src long, dst long, state string"), "boost")
+    return whole.walk(start, edges, whole.touched(salt, _named(seeds), k), "sketch_id long, src long, dst long, state string", "boost")
 
 
 def _touched_by_levels(g: Graph, seeds: DataFrame, start: DataFrame, k: int, salt: int | str) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +182,7 @@ def critical_by_closures(g: Graph, seeds: DataFrame, centres: DataFrame, salt: i
     start = centres.join(seeds, "id", "left_anti").select(*KEY)
     edges = _states_in_tasks(g)
     if edges is not None:
-        return cut(whole.walk(start, edges, whole.critical(salt, _named(seeds)), "sketch_id long, id long"), "boost")
+        return whole.walk(start, edges, whole.critical(salt, _named(seeds)), "sketch_id long, id long", "boost")
     back = closure(start, lambda f: edge_states(g, f, salt).where("state = 'LIVE'").select("sketch_id", F.col("src").alias("id")), KEY)
     back = cut(back, "boost")
     alive = back.join(back.join(seeds, "id", "left_semi").select("sketch_id").distinct(), "sketch_id", "left_anti")

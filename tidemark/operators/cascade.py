@@ -66,7 +66,7 @@ def reached(g: Graph, seeds: DataFrame, tries: int, boosted: DataFrame | None =
 def _ahead(m: int, live: float | None, tries: int) -> bool:
     """Whether all draws are made ahead: if there are not too many, and a task can hold the live edges of a trial, of which
     ``live`` are expected."""
-    return m * tries <= DRAWS_AHEAD and (live or 0.0) + 6 * (live or 0.0) ** 0.5 <= whole.EDGES_IN_TASK
+    return m * tries <= DRAWS_AHEAD and (live or 0.0) + 6 * (live or 0.0) ** 0.5 <= whole.LIVE_IN_TASK
 
 
 def _spread(edges: DataFrame, seeds: DataFrame, start: DataFrame, tries: int, salt: int | str) -> DataFrame:

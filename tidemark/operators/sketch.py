@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import RANGE, draw
 from ..graph import SEED, Graph
-from ..lineage import counted, cut
+from ..lineage import cut
 from . import whole
 from .cascade import closure
 from .ordering import ranked
@@ -39,9 +39,10 @@ def rr_sketches(g: Graph, n: int, first: int = 0, salt: int | str = 1) -> DataFr
     """
     start = centres(g.vertices, first, first + n, f"{salt}c")
     second = F.col("p_seed") if g.model == SEED else F.col("p")
-    edges, m = counted(whole.thresholds(g.edges, F.least(F.col("p"), second), second), "edges")
-    if m <= whole.EDGES_IN_TASK:
-        return cut(whole.walk(start, edges, whole.members(salt), "sketch_id long, id long"), "sketches")
+    edges = whole.thresholds(g.edges, F.least(F.col("p"), second), second)
+    if edges.count() <= whole.EDGES_IN_TASK:
+        return whole.walk(start, edges, whole.members(salt), "sketch_id long, id long", "sketches")
+    edges = cut(edges, "edges")
     chance = draw(salt, "sketch_id", "src", "dst")
 
     def back(frontier: DataFrame, limit: str) -> DataFrame:

@@ -7,33 +7,44 @@ the trials to their ends. Larger graphs go hop by hop; draws are the same, and s
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import contextmanager
 from hashlib import md5
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draw import threshold
+from ..lineage import cut
 
-#: Most edges of a graph that each task holds; about 50 bytes each while they are sorted, 16 after that.
-EDGES_IN_TASK = 4_000_000
+#: Most edges of a graph that each task holds, at 12 bytes each (16 if ids of sources take more than 31 bits).
+EDGES_IN_TASK = 32_000_000
+
+#: Most live edges of a cascade's trial that a task holds; some 100 bytes each.
+LIVE_IN_TASK = 4_000_000
+
+#: Edges of a packed row, or more where one target has more.
+PACKED = 1 << 13
 
 
 class Into:
-    """Edges by their targets, with two thresholds each, of lists of arrays, which are emptied one by one."""
+    """Edges by their targets, with two thresholds each, of lists of the columns that ``packed`` makes, which are emptied
+    one by one. A target's edges are in one row."""
 
-    def __init__(self, src: list, dst: list, t: list, s: list):
+    def __init__(self, dst: list, n: list, src: list, t: list, s: list):
         def taken(parts: list):
-            out = np.concatenate(parts)
-            parts.clear()
+            out, end = np.empty(sum(map(len, parts)), dtype=np.result_type(np.int32, *parts)), 0
+            for k in range(len(parts)):
+                out[end : end + len(parts[k])] = parts[k]
+                end += len(parts[k])
+                parts[k] = None  # its memory goes before the next is copied
             return out
 
-        ends = taken(dst)
-        at = np.argsort(ends, kind="stable")
-        ends = ends[at]
-        self.names, self.first, self.n = np.unique(ends, return_index=True, return_counts=True)
-        del ends
-        self.src, self.t, self.s = (taken(c)[at] for c in (src, t, s))
+        names, many = taken(dst), taken(n).astype(np.int64)
+        at = np.argsort(names)
+        self.names, self.first, self.n = names[at], (np.cumsum(many) - many)[at], many[at]
+        self.src, self.t, self.s = taken(src), taken(t), taken(s)
 
     def draw(self, prefix: str, ids):
         """The edges into ``ids``: sources, targets, and whether the draws are below the first and the second threshold."""
@@ -44,7 +55,7 @@ class Into:
         ids, k = ids[known], k[known]
         n = self.n[k]
         at = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        src, dst = self.src[at], np.repeat(ids, n)
+        src, dst = self.src[at].astype(np.int64), np.repeat(ids, n)
         head = f"{prefix}:".encode()
         x = np.fromiter((int.from_bytes(md5(b"%b%d:%d" % (head, a, b)).digest()[:4], "big") >> 4 for a, b in zip(src.tolist(), dst.tolist(), strict=True)), np.int64, len(src))
         return src, dst, x < self.t[at], x < self.s[at]
@@ -55,28 +66,99 @@ def thresholds(edges: DataFrame, first: Column, second: Column) -> DataFrame:
     return edges.select("src", "dst", threshold(first).alias("t"), threshold(second).alias("s")).where("t > 0 or s > 0")
 
 
-def walk(trials: DataFrame, edges: DataFrame, of_trial, schema: str) -> DataFrame:
-    """What ``of_trial`` (Into, sketch_id, id) makes of each trial (sketch_id, id): a list of columns, or None. ``edges``
-    (src, dst, t, s) are at most EDGES_IN_TASK, and go to as many tasks as the cluster runs at a time."""
+def give_back() -> None:
+    """A worker's free memory to the system: an idle worker lives on for a while beside what runs next."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim is not None:
+        trim(0)
+
+
+#: Columns of packed rows: arrays as bytes, of targets, of how many edges each has, and of the edges' sources and thresholds.
+COLUMNS = ["dst", "n", "src", "t", "s"]
+
+
+def packed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, t, s) as rows of some PACKED edges, all of a target in one. Sources take 8 bytes each in rows where
+    one takes more than 31 bits, else 4 as the thresholds do."""
+
+    def pieces(src, dst, t, s):
+        at = np.argsort(dst, kind="stable")
+        src, t, s = src[at], t[at], s[at]
+        names, first, n = np.unique(dst[at], return_index=True, return_counts=True)
+        heads = np.flatnonzero(np.diff(first // PACKED, prepend=-1)).tolist()
+        for a, b in zip(heads, [*heads[1:], len(names)], strict=True):
+            rows = slice(first[a], first[a] + n[a:b].sum())
+            narrow = -(1 << 31) <= src[rows].min() and src[rows].max() < 1 << 31
+            yield names[a:b], n[a:b].astype(np.int32), src[rows].astype(np.int32 if narrow else np.int64), t[rows], s[rows]
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts = [[batch.column(c).to_numpy() for c in ("src", "dst", "t", "s")] for batch in batches]
+        if parts:
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            parts.clear()
+            for piece in pieces(*columns):
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in piece], names=COLUMNS)
+            columns.clear()
+        give_back()
+
+    rows = edges.select("src", "dst", F.col("t").cast("int"), F.col("s").cast("int")).repartition("dst")
+    return rows.mapInArrow(run, ", ".join(f"{c} binary" for c in COLUMNS))
+
+
+def unpacked(batch) -> list:
+    """The arrays of each of COLUMNS in a batch of packed rows and others, copied."""
+    rows = [[x.as_buffer() for x in batch.column(c).drop_null()] for c in COLUMNS]
+    sources = [np.int32 if src.size == t.size else np.int64 for src, t in zip(rows[2], rows[3], strict=True)]
+    kinds = [np.int64] * len(sources), [np.int32] * len(sources), sources, [np.int32] * len(sources), [np.int32] * len(sources)
+    return [np.concatenate([np.frombuffer(x, dtype=k) for x, k in zip(column, kind, strict=True)]) if column else np.zeros(0, dtype=np.int32) for column, kind in zip(rows, kinds, strict=True)]
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, what runs hands Python so many bytes at most at a time. A batch lies in the memory of both the JVM, which
+    doubles it as it grows, and the worker, beside the edges."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8m")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def walk(trials: DataFrame, edges: DataFrame, of_trial, schema: str, name: str) -> DataFrame:
+    """What ``of_trial`` (Into, sketch_id, id) makes of each trial (sketch_id, id), a list of columns or None, as a table by
+    ``cut``. ``edges`` (src, dst, t, s) are at most EDGES_IN_TASK, and go packed to as many tasks as the cluster runs at a
+    time."""
     tasks = max(1, trials.sparkSession.sparkContext.defaultParallelism)
     parts = F.sequence(F.lit(0), F.lit(tasks - 1))
-    given = edges.select(F.explode(parts).alias("part"), "src", "dst", F.col("t").cast("int"), F.col("s").cast("int"))
-    asked = trials.select(F.pmod("sketch_id", F.lit(tasks)).cast("int").alias("part"), F.col("sketch_id").alias("src"), F.col("id").alias("dst"), F.lit(-1).alias("t"), F.lit(0).alias("s"))
+    none = F.lit(None)
+    given = packed(edges).select(F.explode(parts).alias("part"), none.cast("long").alias("sketch_id"), none.cast("long").alias("id"), *COLUMNS)
+    asked = trials.select(F.pmod("sketch_id", F.lit(tasks)).cast("int").alias("part"), "sketch_id", "id", *[none.cast("binary").alias(c) for c in COLUMNS])
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[] for _ in COLUMNS]
         wanted: list[tuple[int, int]] = []
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("src", "dst", "t", "s")]
-            trial = columns[2] < 0
-            wanted += zip(columns[0][trial].tolist(), columns[1][trial].tolist(), strict=True)
-            for to, c in zip(held, columns, strict=True):
-                to.append(c[~trial] if trial.any() else c.copy())
+            asks = batch.filter(batch.column("sketch_id").is_valid())
+            wanted += zip(asks.column("sketch_id").to_pylist(), asks.column("id").to_pylist(), strict=True)
+            for to, c in zip(held, unpacked(batch), strict=True):
+                to.append(c)
         if not wanted:
             return
+        batch = asks = c = None  # arrays in them would stay
         into = Into(*held)
+        give_back()
         for sketch_id, start in wanted:
             found = of_trial(into, sketch_id, start)
             if found is None:
@@ -87,7 +169,8 @@ def walk(trials: DataFrame, edges: DataFrame, of_trial, schema: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([sketch_id] * len(columns[0]), pa.int64()), *(pa.array(c) for c in columns)], names=names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return given.union(asked).repartitionById(tasks, F.col("part")).drop("part").mapInArrow(run, schema)
+    with small_batches(trials.sparkSession):
+        return cut(given.union(asked).repartitionById(tasks, F.col("part")).drop("part").mapInArrow(run, schema), name)
 
 
 def members(salt: int | str):
