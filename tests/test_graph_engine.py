@@ -339,16 +339,29 @@ def test_boost_sketches_by_tasks_and_by_hops(spark, monkeypatch, text, first):
     assert found() == by_tasks
 
 
-def test_critical_on_millions_of_edges_takes_no_job_a_hop(spark):
+def millions(spark):
+    """``long_path``, and 4,200,000 edges beside it that no sketch meets."""
     g = long_path(spark, BOOST)
     wide = spark.range(4_200_000).selectExpr("1000 + id % 2100 as src", "5000 + id div 2100 as dst", "0D as p", "1e-8D as p_boost")
-    both = Graph.of(g.edges.union(wide), BOOST, g.vertices.union(wide.selectExpr("explode(array(src, dst)) id", "0D weight").distinct()))
-    found, n = jobs(spark, lambda: boost.critical_by_closures(both, ids(spark, [0]), sketch.centres(both.vertices, 0, 100, "1c")).collect())
     last = [s for s, c in sketch.centres(g.vertices, 0, 100, "1c").collect() if c == 59]
-    assert last and sorted(map(tuple, found)) == sorted((s, 59) for s in last)
+    assert last
+    return Graph.of(g.edges.union(wide), BOOST, g.vertices.union(wide.selectExpr("explode(array(src, dst)) id", "0D weight").distinct())), ids(spark, [0]), sorted(last)
+
+
+def test_critical_on_millions_of_edges_takes_no_job_a_hop(spark):
+    g, seeds, last = millions(spark)
+    found, n = jobs(spark, lambda: boost.critical_by_closures(g, seeds, sketch.centres(g.vertices, 0, 100, "1c")).collect())
+    assert sorted(map(tuple, found)) == [(s, 59) for s in last]
     assert n < 40
 
 
+def test_greedy_critical_on_millions_of_edges_takes_no_job_a_hop(spark):
+    g, seeds, last = millions(spark)
+    found, n = jobs(spark, lambda: boost.cover_critical(boost.critical_by_closures(g, seeds, sketch.centres(g.vertices, 0, 100, "1c")), 2, g.vertices, seeds).collect())
+    assert sorted(map(tuple, found)) == [(0, 59, len(last)), (1, 1, 0)]
+    assert n < 70
+
+
 @pytest.mark.parametrize("shift", [0, 1 << 33])
 def test_packed_edges_are_all_edges(spark, monkeypatch, shift):
     monkeypatch.setattr(whole, "PACKED", 7)
