@@ -369,6 +369,13 @@ def test_sketch_stats_on_millions_of_edges_take_no_job_a_hop(spark):
     assert n < 70
 
 
+def test_full_select_on_millions_of_edges_takes_no_job_a_hop(spark):
+    g, seeds, last = millions(spark)
+    found, n = jobs(spark, lambda: boost.select(boost.boost_sketches(g, seeds, 100, 2), 1, g.vertices).collect())
+    assert [tuple(r) for r in found] == [(0, 59, len(last))]
+    assert n < 70
+
+
 @pytest.mark.parametrize("shift", [0, 1 << 33])
 def test_packed_edges_are_all_edges(spark, monkeypatch, shift):
     monkeypatch.setattr(whole, "PACKED", 7)
