@@ -376,6 +376,13 @@ def test_full_select_on_millions_of_edges_takes_no_job_a_hop(spark):
     assert n < 70
 
 
+def test_sketch_critical_on_millions_of_edges_takes_no_job_a_hop(spark):
+    g, seeds, last = millions(spark)
+    found, n = jobs(spark, lambda: boost.boost_sketches(g, seeds, 100, 2).critical.collect())
+    assert sorted(map(tuple, found)) == [(s, 59) for s in last]
+    assert n < 60
+
+
 @pytest.mark.parametrize("shift", [0, 1 << 33])
 def test_packed_edges_are_all_edges(spark, monkeypatch, shift):
     monkeypatch.setattr(whole, "PACKED", 7)
