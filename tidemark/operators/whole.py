@@ -38,7 +38,8 @@ class Into:
             for k in range(len(parts)):
                 out[end : end + len(parts[k])] = parts[k]
                 end += len(parts[k])
-                parts[k] = None  # its memory goes before the next is copied
+                parts[k] = None
+            give_back()  # before the next column is copied
             return out
 
         names, many = taken(dst), taken(n).astype(np.int64)
@@ -158,7 +159,6 @@ def walk(trials: DataFrame, edges: DataFrame, of_trial, schema: str, name: str)
             return
         batch = asks = c = None  # arrays in them would stay
         into = Into(*held)
-        give_back()
         for sketch_id, start in wanted:
             found = of_trial(into, sketch_id, start)
             if found is None:
